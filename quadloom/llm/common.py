@@ -1,16 +1,23 @@
-"""What the training-data operators share: inputs, written tables and word splitting."""
+"""What the training-data operators share: inputs, written tables, blocks of texts and word hashes."""
 
 from __future__ import annotations
 
+import functools
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode's White_Space characters, as a class for regular expressions.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Bytes of text that a task works on at once (one document at least).
+BLOCK_BYTES = 1 << 20
 
 
 def texts(documents: DataFrame) -> DataFrame:
@@ -18,35 +25,140 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def raw_texts(documents: DataFrame) -> DataFrame:
+    """As texts(), but the text as its UTF-8 bytes."""
+    return texts(documents).select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quadloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share, from spark.checkpoint.dir; one of our own where a local session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _own_folder()
     return at.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read again: later steps start from files, so a lost executor costs no recomputation.
 
-    The files go when the session ends."""
+    The shuffle files behind the table are let go at once, the table's own when the session ends."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(at)
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Block:
+    """Some documents' words, as places in one array of bytes; a word is a run of bytes other than x09-x0D and x20."""
+
+    __slots__ = ("data", "doc_start", "ends", "first", "lengths", "n_docs", "starts")
+
+    def __init__(self, raw: list[bytes], lower: bool = False):
+        joined = b"\n".join(raw)
+        if lower:
+            joined = joined.lower()
+        self.data = data = np.frombuffer(joined, np.uint8)
+        self.n_docs = len(raw)
+        self.lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.doc_start = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ((data - np.uint8(9)) > 4) & (data != 32)
+        change = np.diff(inside)
+        self.starts = np.flatnonzero(change == 1)
+        self.ends = np.flatnonzero(change == -1)
+        #: The first word of each document, and the number of all words.
+        self.first = np.searchsorted(self.starts, self.doc_start)
+
+    def words_of(self, i: int) -> slice:
+        return slice(int(self.first[i]), int(self.first[i + 1]))
+
+
+def blocks(batch: pa.RecordBatch, column: int = 1, lower: bool = False, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
+    """The batch's documents from row i to row j, by the megabyte or so; a null text counts as empty."""
+    raw = batch.column(column)
+    n, i = len(raw), 0
+    while i < n:
+        some, size, j = [], 0, i
+        while j < n and (size < most or j == i):
+            t = raw[j].as_py() or b""
+            size += len(t)
+            some.append(t)
+            j += 1
+        yield i, j, Block(some, lower)
+        i = j
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        n = max(n, BLOCK_BYTES * 2)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose every output bit hangs on every input bit."""
+    h = h ^ (h >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(b: Block) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, from differences of one running sum."""
+    up, down = _powers(len(b.data) + 1)
+    total = np.zeros(len(b.data) + 1, np.uint64)
+    np.cumsum(_BYTES[b.data] * up[: len(b.data)], out=total[1:])
+    h = (total[b.ends] - total[b.starts]) * down[b.starts]
+    return mix(h + (b.ends - b.starts).astype(np.uint64))
+
+
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k consecutive words."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += words[i : i + n]
+    return mix(h)
+
+
 #: White space and the word after it, or white space at the end of the text. The byte-level BPE's own
 #: pattern always ends a pre-token between a word's last character and white space, and looks no
 #: further ahead than the end of a run of white space, so each of these is a whole number of pre-tokens.
 SPACED_WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: A word, for tokenizers that drop white space.
+WORD = re.compile(f"[^{WHITE}]+")
 
 
 class IdCache:
-    """Ids of spaced words by a tokenizers file; holds a bounded number of words.
+    """Ids of texts by a tokenizers file; holds a bounded number of words.
 
     split: pattern of the pieces of text that the tokenizer treats independently."""
 
@@ -60,8 +172,6 @@ class IdCache:
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         known = self.known
         words = self.split.findall(text)
         try:
@@ -69,11 +179,16 @@ class IdCache:
         except KeyError:
             pass
         new = list({w for w in words if w not in known})
-        encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         if len(known) + len(found) > self.most:
             kept = {w: known[w] for w in words if w in known}
             known.clear()
             known.update(kept)
         known.update(found)
         return b"".join([known[w] for w in words])
+
+
+@functools.lru_cache(2)
+def id_cache(path: str, spaced: bool) -> IdCache:
+    """One cache for all tasks of a Python worker."""
+    return IdCache(path, SPACED_WORD if spaced else WORD)

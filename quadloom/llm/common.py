@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode's White_Space characters, as a class for regular expressions.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
+#: Letters and digits with white space, a stop or the end of the text after them.
+_RUN = f"[A-Za-z0-9{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0xFF)}]+(?![^{WHITE}.,!?;:])"
 #: Bytes of text that a task works on at once (one document at least).
 BLOCK_BYTES = 1 << 20
 
@@ -149,12 +151,12 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-#: White space and the word after it, or white space at the end of the text. The byte-level BPE's own
-#: pattern always ends a pre-token between a word's last character and white space, and looks no
-#: further ahead than the end of a run of white space, so each of these is a whole number of pre-tokens.
-SPACED_WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: A word, for tokenizers that drop white space.
-WORD = re.compile(f"[^{WHITE}]+")
+#: Pieces of text that the byte-level BPE treats independently: its pattern ends a pre-token between a word's last
+#: character and white space, and between an ASCII or Latin-1 letter or digit and a stop, and looks no further
+#: ahead than the end of a run of white space. So each of these is a whole number of pre-tokens.
+SPACED_WORD = re.compile(f"[{WHITE}]*{_RUN}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: The same for tokenizers that drop white space.
+WORD = re.compile(f"{_RUN}|[^{WHITE}]+")
 
 
 class IdCache:

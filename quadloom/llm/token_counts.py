@@ -1,16 +1,18 @@
 """Token counts without ids: pieces are counted once per distinct pre-token and joined to frequencies.
 
-A scan turns each block of documents into postings, one row per pre-token of the block with the
-documents that hold it and how often. Distinct pre-tokens are counted by the tokenizer, joined to
-the postings by pre-token, and the products summed by document. A frequent pre-token has one row per block,
-whatever its number of documents, so no key is hot. Nulls count as empty texts, an empty text
-has no tokens, and each row of the input has its row of the output, repeated ids too.
+A scan turns each block of documents into postings, one row per pre-token of the block with the places of
+the documents that hold it, as often as they hold it. Distinct pre-tokens are counted by the tokenizer, joined to
+the postings by pre-token, and summed by document. A frequent pre-token has one row per block, whatever its
+number of documents, so no key is hot. (What is called a pre-token here is SPACED_WORD, a whole number of
+the tokenizer's own.) Nulls count as empty texts, an empty text has no tokens, and each row of the input has
+its row of the output, repeated ids too.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,50 +22,60 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import SPACED_WORD, texts, written
 
-BLOCK_DOCS = 1 << 14
-BLOCK_POSTINGS = 3_000_000
+BLOCK_DOCS = 1 << 16
+BLOCK_POSTINGS = 4_000_000
 #: Documents whose sums a task holds before it passes them on.
 HELD = 4_000_000
 
-_POSTINGS = "block long, pretoken string, place int, doc_id long, n_bytes long, places binary, times binary"
-_ARROW = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("places", pa.binary()), ("times", pa.binary())])
+_POSTINGS = "block long, pretoken string, place int, doc_id long, n_bytes long, places binary"
+_ARROW = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("places", pa.binary())])
+
+
+def _steps(places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places, list after list, as bytes: each the step from the one before in its list, 255 to go on. Also where each list ends."""
+    ends = np.cumsum(lengths)
+    step = np.diff(places, prepend=0)
+    begins = ends - lengths
+    step[begins] = places[begins]
+    at = np.cumsum(step // 255 + 1)
+    out = np.full(at[-1] if len(at) else 0, 255, np.uint8)
+    out[at - 1] = step % 255
+    return out, at[ends - 1]
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number = TaskContext.get().partitionId(), 0
     docs: list[tuple] = []
-    held: dict[str, list[int]] = {}
+    held: defaultdict[str, list[int]] = defaultdict(list)
     size = 0
 
     def block():
         at = (task << 31) + number
         n = len(docs)
-        yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.string()), pa.array(range(n), pa.int32()), pa.array([d for d, _ in docs], pa.int64()), pa.array([b for _, b in docs], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_ARROW)
+        yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.string()), pa.array(range(n), pa.int32()), pa.array([d for d, _ in docs], pa.int64()), pa.array([b for _, b in docs], pa.int64()), pa.nulls(n, pa.binary())], schema=_ARROW)
         tokens = list(held)
         for i in range(0, len(tokens), 20_000):
             some = tokens[i : i + 20_000]
-            pairs = [np.array(held[t], np.int64) for t in some]
             n = len(some)
-            yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.array(some, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([p[0::2].astype("<u2").tobytes() for p in pairs], pa.binary()), pa.array([p[1::2].astype("u1").tobytes() for p in pairs], pa.binary())], schema=_ARROW)
+            lists = [held[t] for t in some]
+            data, ends = _steps(np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, n))
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            places = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.array(some, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), places], schema=_ARROW)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
             place = len(docs)
             docs.append((doc_id, len(text.encode())))
-            counts = Counter(SPACED_WORD.findall(text))
-            size += len(counts)
-            for token, times in counts.items():
-                entry = held.get(token)
-                if entry is None:
-                    entry = held[token] = []
-                while times > 255:
-                    entry += (place, 255)
-                    times -= 255
-                entry += (place, times)
+            tokens = SPACED_WORD.findall(text)
+            size += len(tokens)
+            for token in tokens:
+                held[token].append(place)
             if len(docs) >= BLOCK_DOCS or size >= BLOCK_POSTINGS:
                 yield from block()
-                docs, held, size, number = [], {}, 0, number + 1
+                docs, size, number = [], 0, number + 1
+                held = defaultdict(list)
     if docs:
         yield from block()
 
@@ -90,53 +102,44 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = 0
 
     def out():
-        names = ["block", "sums"]
         for b, s in sums.items():
-            yield pa.record_batch([pa.array([b], pa.int64()), pa.array([s.astype("<u4").tobytes()], pa.binary())], names=names)
+            at = np.flatnonzero(s)
+            yield pa.record_batch([pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["block", "place", "n"])
 
     for batch in batches:
-        blocks = batch.column(0).to_numpy(zero_copy_only=False)
-        pieces = batch.column(3).to_numpy(zero_copy_only=False)
-        places, times = batch.column(1), batch.column(2)
-        lengths = np.array([len(x) for x in times.to_pylist()], np.int64)
-        flat_place = np.frombuffer(b"".join(places.to_pylist()), "<u2")
-        flat = np.frombuffer(b"".join(times.to_pylist()), "u1") * np.repeat(pieces, lengths)
-        of = np.repeat(blocks, lengths)
-        order = np.argsort(of, kind="stable")
-        cut = np.flatnonzero(np.diff(of[order])) + 1
-        for part in np.split(order, cut):
-            if len(part):
-                b = int(of[part[0]])
-                add = np.bincount(flat_place[part], weights=flat[part]).astype(np.int64)
-                old = sums.get(b)
-                if old is None:
-                    sums[b], cells = add, cells + len(add)
-                elif len(old) < len(add):
-                    add[: len(old)] += old
-                    sums[b], cells = add, cells + len(add) - len(old)
-                else:
-                    old[: len(add)] += add
+        blocks, pieces = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        lists = batch.column(1).to_pylist()
+        order = np.argsort(blocks, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+            if not len(part):
+                continue
+            some = [lists[i] for i in part.tolist()]
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            step = np.frombuffer(b"".join(some), np.uint8)
+            total = np.cumsum(step, dtype=np.int64)
+            begins = np.cumsum(lengths) - lengths
+            place = total - np.repeat(total[begins] - step[begins], lengths)
+            real = step != 255
+            add = np.bincount(place[real], weights=np.repeat(pieces[part], lengths)[real]).astype(np.int64)
+            b = int(blocks[part[0]])
+            old = sums.get(b, np.empty(0, np.int64))
+            if len(old) < len(add):
+                old, add = add, old
+            old[: len(add)] += add
+            cells += len(old) - len(sums.get(b, ()))
+            sums[b] = old
         if cells > HELD:
             yield from out()
             sums, cells = {}, 0
     yield from out()
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = np.frombuffer(raw, "<u4").astype(np.int64)
-            at = np.flatnonzero(s)
-            yield pa.record_batch([pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["block", "place", "n"])
-
-
 def token_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each document under a byte-level BPE tokenizer file."""
     table = written(texts(documents).mapInArrow(_postings, _POSTINGS), "token-postings")
-    postings = table.where("pretoken IS NOT NULL").select("block", "pretoken", "places", "times")
-    pieces = postings.select("pretoken").distinct().mapInArrow(_pieces(tokenizer_path), "pretoken string, pieces long")
-    joined = postings.join(pieces, "pretoken").select("block", "places", "times", "pieces")
-    sums = joined.mapInArrow(_sums, "block long, sums binary").mapInArrow(_totals, "block long, place int, n long")
-    n = sums.groupBy("block", "place").agg(F.sum("n").alias("n_tokens"))
+    postings = table.where("pretoken IS NOT NULL").select("block", "pretoken", "places")
+    pieces = written(postings.select("pretoken").distinct().mapInArrow(_pieces(tokenizer_path), "pretoken string, pieces long"), "pieces")
+    joined = postings.join(pieces, "pretoken").select("block", "places", "pieces")
+    n = joined.mapInArrow(_sums, "block long, place int, n long").groupBy("block", "place").agg(F.sum("n").alias("n_tokens"))
     docs = table.where("pretoken IS NULL").select("block", "place", "doc_id", "n_bytes")
     return docs.join(n, ["block", "place"], "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))

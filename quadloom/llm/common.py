@@ -6,6 +6,7 @@ import functools
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,17 +48,20 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *, release: bool = True) -> DataFrame:
     """df as a table in the shared folder, read again: later steps start from files, so a lost executor costs no recomputation.
 
-    The shuffle files behind the table are let go at once, the table's own when the session ends."""
+    The table's files go when the session ends; release: the shuffle files behind it go at once (Spark's cleaner
+    removes them when the JVM's garbage collection finds them unused, the second time for those of the last query)."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2 * release):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -15,14 +15,14 @@ def components(edges: DataFrame, nodes: DataFrame, *, start: DataFrame | None =
     earlier call over some of the edges. Each round takes the least label of the neighbours and then the
     label of one's root, so paths shorten by half; it ends with a round that changes nothing.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", release=False)
     own = F.struct(F.col("rank").alias("rank"), F.col("node").alias("node"))
     if start is None:
         labels = nodes.join(both.select(F.col("a").alias("node")).distinct(), "node").select("node", own.alias("label"))
     else:
         known = start.select("node", F.struct(F.col("root_rank").alias("rank"), F.col("root").alias("node")).alias("known"))
         labels = nodes.join(known, "node", "left").select("node", F.coalesce("known", own).alias("label"))
-    labels = written(labels, "labels")
+    labels = written(labels, "labels", release=False)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         roots = labels.select("node", F.col("label.node").alias("root"), "label")
@@ -31,7 +31,7 @@ def components(edges: DataFrame, nodes: DataFrame, *, start: DataFrame | None =
         step = roots.join(met, "root", "left").select("node", "label", F.coalesce(F.least("label", "met"), "label").alias("new"))
         jump = step.select(F.col("node").alias("via"), F.col("new").alias("far"))
         after = step.join(jump, F.col("new.node") == jump.via, "left").select("node", "label", F.coalesce(F.least("new", "far"), "new").alias("new"))
-        after = written(after, "labels")
+        after = written(after, "labels", release=False)
         labels = after.select("node", F.col("new").alias("label"))
         if after.where(F.col("new") != F.col("label")).isEmpty():
             return labels.select("node", F.col("label.node").alias("root"), F.col("label.rank").alias("root_rank"))

@@ -160,7 +160,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 3, percent: in
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "pairs", release=False)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
@@ -169,7 +169,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 3, percent: in
         labels = components(links, nodes) if labels is None else components(links, nodes, start=labels)
         if labels is not None:
             whole = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("root_rank", "rank").alias("root_rank"))
-            labels = written(whole, "labels")
+            labels = written(whole, "labels", release=False)
     if labels is not None:
         now = members.join(labels.select("node", "root"), "node")
         span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import binary_ids, language, near_dup, packing, quality, substring_dedup, token_counts
+from quadloom.llm import binary_ids, fingerprints, language, near_dup, packing, quality, secrets, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_documents(spark, sf_dir))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(_documents(spark, sf_dir), window=20)
 
@@ -47,6 +55,6 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.binary_ids(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op4_best_fit_packing, op5_quality_rules, op8_substring_dedup, op9_language_id, op10_binary_ids)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op7_document_fingerprints, op8_substring_dedup, op9_language_id, op10_binary_ids)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -100,29 +100,42 @@ def profiles(labelled: DataFrame, *, size: int = 300, train_docs: int = 2000, se
     return out
 
 
+class _Predictor:
+    def __init__(self, found: dict[str, list[int]], size: int):
+        self.langs, self.size = sorted(found), size
+        self.known = np.unique(np.array([g for v in found.values() for g in v], np.uint64))
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, np.int64)
+        for k, lang in enumerate(self.langs):
+            self.ranks[k, np.searchsorted(self.known, np.array(found[lang], np.uint64))] = np.arange(len(found[lang]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        c = _symbols(text or "")
+        if not self.langs or not c.any():
+            return "und", 0.0
+        top = _top(*_grams(c), self.size)
+        at = np.minimum(np.searchsorted(self.known, top), len(self.known) - 1)
+        there = self.ranks[:, np.where(self.known[at] == top, at, len(self.known))]
+        away = np.where(there < 0, self.size, np.abs(there - np.arange(len(top)))).sum(axis=1)
+        k = int(away.argmin())
+        return self.langs[k], 1.0 - float(away[k]) / (self.size * len(top))
+
+
 def _predicted(found: dict[str, list[int]], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = sorted(found)
-        known = np.unique(np.array([g for v in found.values() for g in v], np.uint64))
-        ranks = np.full((len(langs), len(known) + 1), -1, np.int64)
-        for k, lang in enumerate(langs):
-            ranks[k, np.searchsorted(known, np.array(found[lang], np.uint64))] = np.arange(len(found[lang]))
+        predict_one = _Predictor(found, size)
+        for batch in batches:
+            out = [predict_one(text.as_py()) for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    return run
+
+
+def _identified(found: dict[str, list[int]], size: int, least: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict_one = _Predictor(found, size)
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column(1):
-                c = _symbols(text.as_py() or "")
-                if not langs or len(c) < 2 or not c.any():
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                top = _top(*_grams(c), size)
-                at = np.minimum(np.searchsorted(known, top), len(known) - 1)
-                there = ranks[:, np.where(known[at] == top, at, len(known))]
-                away = np.where(there < 0, size, np.abs(there - np.arange(len(top)))).sum(axis=1)
-                k = int(away.argmin())
-                pred.append(langs[k])
-                score.append(1.0 - float(away[k]) / (size * len(top)))
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            out = (predict_one(text.as_py()) for text in batch.column(at))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in out], pa.bool_()))
 
     return run
 
@@ -132,6 +145,16 @@ def predict(documents: DataFrame, found: dict[str, list[int]], *, size: int = 30
     return texts(documents).mapInArrow(_predicted(found, size), "doc_id long, lang_pred string, score double")
 
 
+def identified(documents: DataFrame, *, least: float = 0.2, size: int = 300, train_docs: int = 2000) -> DataFrame:
+    """The documents, all columns, that have a language with a score of `least` or more; the rows stay where they are."""
+    found = profiles(_labelled(documents), size=size, train_docs=train_docs)
+    return documents.mapInArrow(_identified(found, size, least, documents.columns.index("text")), documents.schema)
+
+
+def _labelled(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out())
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document takes no part in training: a fixed quarter, by its id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -139,5 +162,4 @@ def held_out(doc_id: str = "doc_id"):
 
 def identify(documents: DataFrame, *, size: int = 300, train_docs: int = 2000) -> DataFrame:
     """Learns from the documents that aren't held out and predicts all."""
-    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out())
-    return predict(documents, profiles(labelled, size=size, train_docs=train_docs), size=size).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(documents, profiles(_labelled(documents), size=size, train_docs=train_docs), size=size).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -83,7 +83,7 @@ def _scan(k: int, bands: int, rows: int):
             for i, sets in _sets(batch, k):
                 digests = [_digest(s) if len(s) else None for s in sets]
                 keys = [_band_keys(s, bands, rows) if len(s) else None for s in sets]
-                yield pa.record_batch([batch.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.record_batch([batch.column(0).slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -123,10 +123,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(_alike(percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id is its component's)."""
+    return _grouped(documents, **options).drop("key")
+
+
+def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """The documents, all columns, less those whose component has a document with a lesser doc_id."""
+    gone = _grouped(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    own = documents.select(F.struct(*documents.columns).alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
+    return own.join(gone, own.id.eqNullSafe(gone._id) & (own.key == gone._key), "left_anti").select("own.*")
+
+
+def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
     docs = raw_texts(documents)
-    scanned = written(docs.mapInArrow(_scan(shingle_words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "shingles")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    scanned = written(keyed.mapInArrow(_scan(shingle_words, bands, rows), "doc_id long, key long, n_shingles long, digest binary, bands array<long>"), "shingles")
     rank = F.coalesce("doc_id", F.lit(LAST))
     classes = scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min(rank).alias("rank"), F.max("n_shingles").alias("size"), F.min("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -183,6 +195,6 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 3, percent: in
     of_class = classes.select("digest", "rank", "node")
     of_class = of_class.select("digest", "rank").withColumn("least", F.col("rank")) if labels is None else of_class.join(labels, "node", "left").select("digest", F.coalesce("root_rank", "rank").alias("least"))
     of_class = of_class.select("digest", F.when(F.col("least") != LAST, F.col("least")).alias("least"))
-    out = scanned.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = scanned.select("doc_id", "key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

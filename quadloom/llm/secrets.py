@@ -111,14 +111,12 @@ def secret_report(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
 def redacted(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """The documents, all columns, each run of overlapping spans in their texts replaced by its first kind in brackets."""
     some = find_secrets(documents, scope=scope).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all").alias("_spans")).distinct()
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    out = documents.withColumn("_key", F.md5(F.col("text").cast("string")))
-    out = out.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (out["_key"] == some["_key"]), "left")
-    # `left`: the text's end before what comes next; spans are sorted by start.
+    own = documents.select(F.struct(*documents.columns).alias("own"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.md5(F.col("text").cast("string")).alias("key"))
+    out = own.join(some, own.id.eqNullSafe(some._id) & (own.key == some._key), "left")
     cut = """aggregate(_spans, struct('' as done, 0L as at),
         (acc, s) -> CASE WHEN s.start >= acc.at
             THEN struct(concat(acc.done, substring(text, cast(acc.at as int) + 1, cast(s.start - acc.at as int)), '[', s.kind, ']') as done, s.end as at)
             ELSE struct(acc.done as done, greatest(acc.at, s.end) as at) END,
         acc -> concat(acc.done, substring(text, cast(acc.at as int) + 1)))"""
     text = F.when(F.col("_spans").isNotNull(), F.expr(cut)).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*own)
+    return out.select(F.col("own").withField("text", text).alias("own")).select("own.*")

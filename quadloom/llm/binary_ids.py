@@ -58,8 +58,8 @@ def _pack(path: str, end_id: int, width: int, block_ids: int):
             return pa.record_batch([pa.array([x], t) for x, t in zip((shard, number, start, n, width, doc_ids, lengths, pack_bits(ids, width)), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), cache.of(batch.column(1)), strict=True):
+                ids = own + end
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -8,7 +8,9 @@ import re
 import tempfile
 import time
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +170,7 @@ class IdCache:
 
     split: pattern of the pieces of text that the tokenizer treats independently."""
 
-    def __init__(self, path: str, split: re.Pattern, most: int = 400_000):
+    def __init__(self, path: str, split: re.Pattern, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -176,22 +178,30 @@ class IdCache:
 
         self.tokenizer, self.split, self.most, self.known = Tokenizer.from_file(path), split, most, {}
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         known = self.known
-        words = self.split.findall(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(known) + len(found) > self.most:
-            kept = {w: known[w] for w in words if w in known}
+        lists = [self.split.findall(t) for t in texts]
+        new = set(chain.from_iterable(lists)).difference(known)
+        if len(known) + len(new) > self.most:
             known.clear()
-            known.update(kept)
-        known.update(found)
-        return b"".join([known[w] for w in words])
+            new = set(chain.from_iterable(lists))
+        new = list(new)
+        known.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
+    def of(self, column: pa.Array, most: int = 2 * BLOCK_BYTES) -> Iterator[bytes]:
+        """The ids of a column of texts, text by text; a null counts as empty."""
+        held, size = [], 0
+        for t in column:
+            t = t.as_py() or ""
+            held.append(t)
+            size += len(t)
+            if size >= most:
+                yield from self.ids(held)
+                held, size = [], 0
+        yield from self.ids(held)
 
 
 @functools.lru_cache(2)

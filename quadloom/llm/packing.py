@@ -39,8 +39,8 @@ def _cut(path: str, size: int, end_id: int):
         seen = [0] * (size + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = cache.ids(text.as_py() or "") + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), cache.of(batch.column(1)), strict=True):
+                ids = own + end
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
                     n = len(part) // 4

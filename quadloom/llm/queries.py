@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import binary_ids, fingerprints, language, near_dup, packing, quality, secrets, substring_dedup, token_counts
+from quadloom.llm import binary_ids, fingerprints, language, near_dup, packing, quality, secrets, sentencepiece_ids, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir), shingle_words=3, percent=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ids.digest(sentencepiece_ids.encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), size=2048, end_id=0)
 
@@ -55,6 +59,6 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.binary_ids(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op7_document_fingerprints, op8_substring_dedup, op9_language_id, op10_binary_ids)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_sentencepiece, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op7_document_fingerprints, op8_substring_dedup, op9_language_id, op10_binary_ids)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -148,7 +148,8 @@ def predict(documents: DataFrame, found: dict[str, list[int]], *, size: int = 30
 def identified(documents: DataFrame, *, least: float = 0.2, size: int = 300, train_docs: int = 2000) -> DataFrame:
     """The documents, all columns, that have a language with a score of `least` or more; the rows stay where they are."""
     found = profiles(_labelled(documents), size=size, train_docs=train_docs)
-    return documents.mapInArrow(_identified(found, size, least, documents.columns.index("text")), documents.schema)
+    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(_identified(found, size, least, 1), own.schema).select("own.*")
 
 
 def _labelled(documents: DataFrame) -> DataFrame:

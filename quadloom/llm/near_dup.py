@@ -7,8 +7,9 @@ turn. Bands of coordinates are buckets of candidates.
 
 Documents with equal sets (by a 128-bit digest) are one class and one node from then on, so copies never
 meet each other. In a bucket, members are first compared with the one that shares most buckets with others (a
-star, not all pairs); then, round by round, with the best member of another component; when stars no longer
-join much, all pairs of the bucket's members that are still in different components are compared. So any two
+star, not all pairs); then with the best member of another component; when stars no longer
+join much, members that are still in different components are compared: all pairs of small buckets as rows,
+those of large ones in tiles of bounded size, of which only the links come out. So any two
 nodes that share a bucket are either linked, connected by links, or found unlike by their full sets. A pair at
 the threshold of 0.85 misses all 25 bands of 5 with a chance of 4e-7.
 
@@ -32,6 +33,8 @@ from quadloom.llm.graph import components
 
 BANDS, ROWS = 25, 5
 LAST = 0x7FFFFFFFFFFFFFFF
+#: Members up to which all pairs of a bucket become rows, and members of larger buckets that are compared at once.
+SMALL, TILE = 16, 512
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -89,14 +92,14 @@ def _scan(k: int, bands: int, rows: int):
 
 
 def _candidates(k: int):
-    """(rank, text, node, digest) to (node, shingles) of the rows whose text has the node's digest."""
+    """(rank, text, node, digest, bands) to (node, shingles, bands) of the rows whose text has the node's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, digests = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, sets in _sets(batch, k):
-                own = [(nodes[i + j], s.tobytes()) for j, s in enumerate(sets) if len(s) and _digest(s) == digests[i + j]]
-                yield pa.record_batch([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["node", "shingles"])
+                own = [j for j, s in enumerate(sets) if len(s) and _digest(s) == digests[i + j]]
+                yield pa.record_batch([pa.array([nodes[i + j] for j in own], pa.int64()), pa.array([sets[j].tobytes() for j in own], pa.binary()), batch.column(4).take(pa.array([i + j for j in own], pa.int64()))], names=["node", "shingles", "bands"])
 
     return run
 
@@ -123,6 +126,60 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(_alike(percent), "a long, b long")
 
 
+def _compared(percent: int):
+    """Links between the members of a tile (bucket, i, j, node, root, tile, shingles, bands), by their full sets.
+
+    A pair that shares several buckets is compared in that of its first band only. What two sets can share is at most the
+    number of either's shingles that occur in another member too, which spares most comparisons."""
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, bucket = t["i"][0].as_py(), t["j"][0].as_py(), t["bucket"][0].as_py()
+        node, root, tile = (t[c].to_numpy() for c in ("node", "root", "tile"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+        bands = np.stack([x.values.to_numpy() for x in t["bands"]])
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = np.add.reduceat((n[inverse] > 1).astype(np.int64), np.cumsum(size) - size)
+        own = np.flatnonzero(bands == bucket)[0] % bands.shape[1]
+        left = np.flatnonzero(tile == i)
+        right = left if i == j else np.flatnonzero(tile == j)
+        found = []
+        for a in left.tolist():
+            b = right[right > a] if i == j else right
+            both = size[a] + size[b]
+            most = np.minimum(common[a], common[b])
+            b = b[(root[b] != root[a]) & (100 * most >= percent * (both - most))]
+            if own:
+                b = b[~(bands[b, :own] == bands[a, :own]).any(axis=1)]
+            for k in b.tolist():
+                z = np.concatenate([sets[a], sets[k]])
+                z.sort()
+                shared = int((z[1:] == z[:-1]).sum())
+                if 100 * shared >= percent * (len(z) - shared):
+                    found.append((node[a], node[k]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _within_large(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members in different components of buckets (bucket, node, root) of any size.
+
+    A bucket's members in its most frequent component (which need no comparing with one another) and the others are dealt into
+    tiles of about TILE; a pair of tiles is one group, so groups are bounded and the rows sent grow with the others' tiles."""
+    main = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    main = main.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("in_main"), F.ceil((F.col("n") - F.col("m.n")) / TILE).cast("int").alias("others"))
+    chance = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    own = open_.join(main, "bucket").withColumn("tile", F.when(F.col("root") == F.col("main"), -1 - chance(F.col("in_main"))).otherwise(chance(F.col("others"))))
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    with_main = F.transform(F.sequence(F.lit(1), F.col("in_main")), lambda m: pair(F.col("tile"), -m))
+    with_others = F.transform(every, lambda o: pair(F.least("tile", o), F.greatest("tile", o)))
+    to = F.when(F.col("tile") < 0, F.transform(every, lambda o: pair(o, F.col("tile")))).otherwise(F.concat(with_main, with_others))
+    dealt = own.select("bucket", "node", "root", "tile", F.explode(to).alias("to")).select("bucket", "to.i", "to.j", "node", "root", "tile")
+    return dealt.join(sets, "node").select("bucket", "i", "j", "node", "root", "tile", "shingles", "bands").groupBy("bucket", "i", "j").applyInArrow(_compared(percent), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id is its component's)."""
     return _grouped(documents, **options).drop("key")
@@ -131,11 +188,11 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """The documents, all columns, less those whose component has a document with a lesser doc_id."""
     gone = _grouped(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    own = documents.select(F.struct(*documents.columns).alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
+    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
     return own.join(gone, own.id.eqNullSafe(gone._id) & (own.key == gone._key), "left_anti").select("own.*")
 
 
-def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
+def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2) -> DataFrame:
     docs = raw_texts(documents)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     scanned = written(keyed.mapInArrow(_scan(shingle_words, bands, rows), "doc_id long, key long, n_shingles long, digest binary, bands array<long>"), "shingles")
@@ -149,9 +206,9 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     members = written(members.join(weight, "node").select("bucket", "node", "size", "weight"), "members")
 
-    some = classes.join(weight.select("node"), "node").select("rank", "node", "digest")
+    some = classes.join(weight.select("node"), "node").select("rank", "node", "digest", "bands")
     ranked = docs.select(rank.alias("rank"), "text").join(some, "rank")
-    sets = written(ranked.select("rank", "text", "node", "digest").mapInArrow(_candidates(shingle_words), "node long, shingles binary"), "sets")
+    sets = written(ranked.select("rank", "text", "node", "digest", "bands").mapInArrow(_candidates(shingle_words), "node long, shingles binary, bands array<long>"), "sets")
     nodes = some.select("node", "rank")
 
     fits = F.lit(100) * F.least("size", "other_size") >= F.lit(percent) * F.greatest("size", "other_size")
@@ -184,12 +241,14 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
             labels = written(whole, "labels", release=False)
     if labels is not None:
         now = members.join(labels.select("node", "root"), "node")
-        span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-        open_ = now.join(span, "bucket")
-        other = open_.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-        pairs = open_.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits)
+        span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "n")
+        open_ = written(now.join(span, "bucket").select("bucket", "node", "size", "root", "n"), "open")
+        few = open_.where(F.col("n") <= SMALL)
+        other = few.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+        pairs = few.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits)
         pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = written(_links(pairs, sets, percent), "links")
+        large = open_.where(F.col("n") > SMALL).select("bucket", "node", "root")
+        found = written(_links(pairs, sets, percent).union(_within_large(large, sets, percent)), "links")
         if not found.isEmpty():
             labels = components(links.union(found), nodes, start=labels)
     of_class = classes.select("digest", "rank", "node")

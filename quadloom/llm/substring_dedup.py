@@ -205,7 +205,7 @@ def without_repeats(documents: DataFrame, *, window: int = 20) -> DataFrame:
     some = left.select(F.col("rank").alias("_rank"), F.col("key").alias("_key"), F.decode("kept", "UTF-8").alias("_kept")).distinct()
     words = F.array_join(F.filter(F.split(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
     tie = F.xxhash64(F.unhex(F.sha2(F.coalesce(words, F.lit("")), 256)))
-    own = documents.select(F.struct(*documents.columns).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"), tie.alias("_tie"))
+    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"), tie.alias("_tie"))
     out = own.join(some, ["_rank", "_key"], "left").join(copies.withColumn("_copy", F.lit(True)), ["_rank", "_tie"], "left")
     text = F.when(F.col("_copy"), F.lit("")).otherwise(F.coalesce("_kept", F.col("own.text")))
     return out.select(F.col("own").withField("text", text).alias("own")).select("own.*")

@@ -20,7 +20,7 @@ def fixed_chunks(documents: DataFrame, text: str = "text", size: int = SIZE, ove
     """Chunks of `size` characters, each beginning size - overlap after the one before; an empty text has none."""
     step = size - overlap
     n = F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / step)).cast("int")
-    n = F.when(F.length(text) == 0, 0).otherwise(F.greatest(n, F.lit(1)))
+    n = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(n, F.lit(1)))
     return documents.withColumn("chunk_index", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))).withColumn("chunk_text", F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size)))
 
 

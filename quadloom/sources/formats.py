@@ -153,7 +153,7 @@ def csv_lines(*columns: str) -> Column:
 def string_list(c: Column | str) -> Column:
     """A list given as JSON, or else separated by commas; null or empty give an empty list."""
     c = F.col(c) if isinstance(c, str) else c
-    split = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.from_json(F.when(F.trim(c).startswith("["), c), "array<string>"), split, F.array().cast("array<string>"))
 
 

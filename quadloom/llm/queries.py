@@ -61,4 +61,40 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash_near_dup, op3_sentencepiece, op4_best_fit_packing, op5_quality_rules, op6_secret_scans, op7_document_fingerprints, op8_substring_dedup, op9_language_id, op10_binary_ids)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+_OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ') AS g FROM w, unnest(range(1, greatest(2, len(ws) - 1))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN n ON a = doc_id GROUP BY a"""
+
+_OP5 = rf"""WITH w AS (SELECT doc_id, text, {_WORDS.format("text")} AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+three AS (SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM three WHERE c IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat FROM win, range(3) r(d) WHERE k > 1 GROUP BY ALL),
+most AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, word, count(*) AS k FROM word GROUP BY ALL) GROUP BY ALL),
+figures AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars, count(*) FILTER (length(regexp_replace(word, '[^A-Z]', '', 'g')) >= 2 AND NOT regexp_matches(word, '[a-z]|[^\x00-\x7F]')) AS caps,
+    count(*) FILTER (regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS letters FROM word GROUP BY ALL),
+f AS (SELECT w.doc_id, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars, coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS symbols, coalesce(n_dup, 0) AS n_dup, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat, 0) AS n_repeat, caps, letters, most
+    FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN most USING (doc_id) LEFT JOIN figures USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words, n < 50 OR 100 * n_repeat > 50 * n AS base_failed,
+    n >= 50 AND 100 * n_repeat <= 50 * n AND 5 * symbols < n AND chars BETWEEN 2 * n AND 20 * n AND 2 * n_dup <= n_lines AND 2 * caps <= n AND 10 * letters >= 6 * n AND 10 * most <= 3 * n AS kept FROM f"""
+
+_OP8 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i, true AS hit FROM again, range(20) r(k)),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)
+SELECT w.doc_id, count(word)::BIGINT AS n_words, count(hit)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY word.i) FILTER (hit IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN word USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = word.i GROUP BY w.doc_id"""
+
+#: By the figures' definitions alone, for tables with distinct doc_ids. The others have no SQL: it can't express tokenizers,
+#: profiles, trees and places of matches.
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dup": _OP2, "op5_quality_rules": _OP5, "op8_substring_dedup": _OP8}

@@ -197,8 +197,8 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     scanned = written(keyed.mapInArrow(_scan(shingle_words, bands, rows), "doc_id long, key long, n_shingles long, digest binary, bands array<long>"), "shingles")
     rank = F.coalesce("doc_id", F.lit(LAST))
-    classes = scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min(rank).alias("rank"), F.max("n_shingles").alias("size"), F.min("bands").alias("bands"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(rank.alias("rank"), "key")).alias("lead"), F.max("n_shingles").alias("size"), F.min("bands").alias("bands"))
+    classes = written(classes.select("digest", "lead.rank", "lead.key", "size", "bands", F.monotonically_increasing_id().alias("node")), "classes")
 
     placed = classes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -206,8 +206,8 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     members = written(members.join(weight, "node").select("bucket", "node", "size", "weight"), "members")
 
-    some = classes.join(weight.select("node"), "node").select("rank", "node", "digest", "bands")
-    ranked = docs.select(rank.alias("rank"), "text").join(some, "rank")
+    some = classes.join(weight.select("node"), "node").select("rank", "key", "node", "digest", "bands")
+    ranked = keyed.select(rank.alias("rank"), "key", "text").join(some, ["rank", "key"])
     sets = written(ranked.select("rank", "text", "node", "digest", "bands").mapInArrow(_candidates(shingle_words), "node long, shingles binary, bands array<long>"), "sets")
     nodes = some.select("node", "rank")
 

@@ -22,7 +22,7 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x2
 #: Letters and digits with white space, a stop or the end of the text after them.
 _RUN = f"[A-Za-z0-9{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0xFF)}]+(?![^{WHITE}.,!?;:])"
 #: Bytes of text that a task works on at once (one document at least).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def texts(documents: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        n = max(n, BLOCK_BYTES * 2)
+        n = 1 << n.bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(n, base, np.uint64)
             p[0] = 1
@@ -191,7 +191,7 @@ class IdCache:
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
-    def of(self, column: pa.Array, most: int = 2 * BLOCK_BYTES) -> Iterator[bytes]:
+    def of(self, column: pa.Array, most: int = 8 * BLOCK_BYTES) -> Iterator[bytes]:
         """The ids of a column of texts, text by text; a null counts as empty."""
         held, size = [], 0
         for t in column:

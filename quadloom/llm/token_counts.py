@@ -28,6 +28,8 @@ from quadloom.llm.common import SPACED_WORD, texts, written
 BLOCK_DOCS = 1 << 16
 BLOCK_POSTINGS = 4_000_000
 OFTEN = 8
+#: Documents whose sums make one row.
+CHUNK = 1024
 #: Documents whose sums a task holds before it passes them on.
 HELD = 4_000_000
 
@@ -118,14 +120,15 @@ def _pieces(path: str):
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by block and place over what a task has read, held for a bounded number of documents."""
+    """Sums by block and place over what a task has read, CHUNK places a row, held for a bounded number of documents."""
     sums: dict[int, np.ndarray] = {}
     cells = 0
 
     def out():
         for b, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.record_batch([pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["block", "place", "n"])
+            n = -(-len(s) // CHUNK)
+            rows = [s[k * CHUNK : (k + 1) * CHUNK].astype("<i8").tobytes() for k in range(n)]
+            yield pa.record_batch([pa.array([b] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(rows, pa.binary())], names=["of", "part", "sums"])
 
     for batch in batches:
         blocks, pieces = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -155,6 +158,15 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _added(docs: pa.Table, sums: pa.Table) -> pa.Table:
+    """The documents of one part of a block (place, doc_id, n_bytes, n_rare) with the sums of all tasks for it."""
+    n = np.zeros(CHUNK, np.int64)
+    for x in sums["sums"]:
+        s = np.frombuffer(x.as_buffer(), "<i8")
+        n[: len(s)] += s
+    return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": docs["n_rare"].to_numpy() + n[docs["place"].to_numpy() % CHUNK]})
+
+
 def token_counts(documents: DataFrame, tokenizer_path: str, *, often: int = OFTEN) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each document under a byte-level BPE tokenizer file.
 
@@ -163,6 +175,7 @@ def token_counts(documents: DataFrame, tokenizer_path: str, *, often: int = OFTE
     postings = table.where("pretoken IS NOT NULL").select("block", "pretoken", "places")
     pieces = postings.select("pretoken").distinct().mapInArrow(_pieces(tokenizer_path), "pretoken string, pieces long")
     joined = postings.join(pieces, "pretoken").select("block", "places", "pieces")
-    n = joined.mapInArrow(_sums, "block long, place int, n long").groupBy("block", "place").agg(F.sum("n").alias("n"))
-    docs = table.where("pretoken IS NULL").select("block", "place", "doc_id", "n_bytes", "n_rare")
-    return docs.join(n, ["block", "place"], "left").select("doc_id", "n_bytes", (F.col("n_rare") + F.coalesce("n", F.lit(0))).alias("n_tokens"))
+    sums = joined.mapInArrow(_sums, "of long, part int, sums binary")
+    docs = table.where("pretoken IS NULL").select("block", F.expr(f"place div {CHUNK}").cast("int").alias("chunk"), "place", "doc_id", "n_bytes", "n_rare")
+    # A part has CHUNK documents and one row of sums from each task.
+    return docs.groupBy("block", "chunk").cogroup(sums.groupBy("of", "part")).applyInArrow(lambda d, s: _added(d, s), "doc_id long, n_bytes long, n_tokens long")

@@ -56,7 +56,7 @@ def _words(b: Block, i: int) -> list[bytes]:
 
 
 def _scan(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("anchors", pa.list_(pa.int64())), ("again", pa.list_(pa.int8()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("n_words", pa.int64()), ("digest", pa.binary()), ("anchors", pa.list_(pa.int64())), ("again", pa.list_(pa.int8()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +65,7 @@ def _scan(k: int):
                 cut = np.searchsorted(begin, b.first)
                 found = [np.unique(anchors[cut[d] : cut[d + 1]].view(np.int64), return_counts=True) for d in range(b.n_docs)]
                 digests = [hashlib.sha256(b" ".join(_words(b, d))).digest() for d in range(b.n_docs)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.diff(b.first).astype(np.int64)), pa.array(digests, pa.binary()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([(f[1] > 1).astype(np.int8) for f in found], pa.list_(pa.int8()))], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(b.first).astype(np.int64)), pa.array(digests, pa.binary()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([(f[1] > 1).astype(np.int8) for f in found], pa.list_(pa.int8()))], schema=schema)
 
     return run
 
@@ -149,11 +149,11 @@ def _tie(digest: str = "digest") -> Column:
 
 
 def _decided(documents: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's class (doc_id, n_words, rank, tie, digest, first: the class's least rank), and what is left of the texts that lose some of their words."""
+    """Each row's class (doc_id, key: its text's hash, n_words, rank, tie, digest, first: the class's least rank), and what is left of the texts that lose some of their words."""
     rank = F.coalesce("doc_id", F.lit(LAST)).alias("rank")
     docs = raw_texts(documents)
-    scanned = written(docs.mapInArrow(_scan(k), "doc_id long, n_words long, digest binary, anchors array<long>, again array<tinyint>"), "anchors")
-    rows = scanned.select("doc_id", "n_words", rank, _tie().alias("tie"), "digest")
+    scanned = written(docs.select("doc_id", "text", F.md5("text").alias("key")).mapInArrow(_scan(k), "doc_id long, key string, n_words long, digest binary, anchors array<long>, again array<tinyint>"), "anchors")
+    rows = scanned.select("doc_id", "key", "n_words", rank, _tie().alias("tie"), "digest")
     firsts = rows.groupBy("digest").agg(F.min("rank").alias("first"))
 
     anchors = scanned.select(rank, _tie().alias("tie"), F.explode(F.arrays_zip("anchors", "again")).alias("x")).select("rank", "tie", F.col("x.anchors").alias("anchor"), F.col("x.again").alias("again"))
@@ -200,12 +200,10 @@ def without_repeats(documents: DataFrame, *, window: int = 20) -> DataFrame:
     A text that loses nothing stays as it is, one that loses some words has the others joined by one space, one
     that loses all is empty."""
     rows, left = _decided(documents, window)
-    # Only what a row's own text says about it: its id and its hash.
-    copies = rows.where((F.col("rank") != F.col("first")) & (F.col("n_words") >= window)).select(F.col("rank").alias("_rank"), F.col("tie").alias("_tie")).distinct()
-    some = left.select(F.col("rank").alias("_rank"), F.col("key").alias("_key"), F.decode("kept", "UTF-8").alias("_kept")).distinct()
-    words = F.array_join(F.filter(F.split(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
-    tie = F.xxhash64(F.unhex(F.sha2(F.coalesce(words, F.lit("")), 256)))
-    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"), tie.alias("_tie"))
-    out = own.join(some, ["_rank", "_key"], "left").join(copies.withColumn("_copy", F.lit(True)), ["_rank", "_tie"], "left")
-    text = F.when(F.col("_copy"), F.lit("")).otherwise(F.coalesce("_kept", F.col("own.text")))
-    return out.select(F.col("own").withField("text", text).alias("own")).select("own.*")
+    copies = rows.where((F.col("rank") != F.col("first")) & (F.col("n_words") >= window)).select("rank", "key", F.lit("").alias("kept"))
+    some = left.select("rank", "key", F.decode("kept", "UTF-8").alias("kept")).union(copies)
+    some = some.groupBy(F.col("rank").alias("_rank"), F.col("key").alias("_key")).agg(F.min("kept").alias("_kept"))
+    # One join by what a row's own text says about it, its id and its hash.
+    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"))
+    text = F.coalesce("_kept", F.col("own.text"))
+    return own.join(some, ["_rank", "_key"], "left").select(F.col("own").withField("text", text).alias("own")).select("own.*")

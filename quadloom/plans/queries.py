@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms, text, vectors
-from quadloom.operators import conflicts, evidence, ingest, patterns, quads, reasoning, resolution, retrieval
+from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval
 from quadloom.operators import jobs as job_ops
 from quadloom.operators.common import first_by
 from quadloom.operators.upsert import replace_group, upsert
@@ -415,6 +415,30 @@ def q_chunk_recursive(spark, sf):
     return chunking.chunk_documents(views.table(spark, sf, "documents"), key="doc_id")
 
 
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+(\s+|$)'), lambda s: trim(s) <> ''))::BIGINT AS n_sentences FROM documents")
+def q_sentence_count(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", extraction.sentence_count("text").cast("long").alias("n_sentences"))
+
+
+@query()
+def q_recognise(spark, sf):
+    return extraction.recognise(views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text")))
+
+
+@query()
+def q_extract(spark, sf):
+    docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
+    return extraction.extract(docs, spark.createDataFrame([("the", KS + "related_to"), ("of_the", KS + "part_of")], "synonym string, predicate string"))
+
+
+@query("SELECT event_id AS content_id, CASE WHEN event_type = 'purchase' THEN 'event' ELSE 'triple' END AS shape, CASE WHEN event_type = 'error' THEN 'incomplete triple' END AS rejected FROM events")
+def q_items_of_answers(spark, sf):
+    e = views.table(spark, sf, "events")
+    triple = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"), F.when(F.col("event_type") != "error", F.lit("did")).alias("predicate"), F.col("event_type").alias("object"), F.when(F.col("event_type") == "purchase", F.col("ts").cast("string")).alias("occurred_at"))
+    answers = e.select(F.col("event_id").alias("content_id"), F.concat(F.lit("Sure: ```json "), F.to_json(F.struct(F.array(triple).alias("relations"))), F.lit("```")).alias("answer"))
+    return extraction.items_of(answers).select("content_id", "shape", "rejected")
+
+
 # Items, coreference
 
 

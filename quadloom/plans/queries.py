@@ -404,10 +404,10 @@ def q_chunk_fixed(spark, sf):
 
 
 @query("""WITH c AS (SELECT doc_id, k, greatest(1, ceil((length(text) - 50) / 450.0)::BIGINT) AS n FROM documents, unnest(range(greatest(1, ceil((length(text) - 50) / 450.0)::BIGINT))) t(k) WHERE length(text) > 0)
-SELECT doc_id, k::BIGINT AS chunk_index, CASE WHEN n > 10 THEN n END AS chunks_capped_from FROM c WHERE k < 10""")
+SELECT doc_id, k::BIGINT AS chunk_index, CASE WHEN n > 10 THEN n ELSE -1 END AS chunks_capped_from FROM c WHERE k < 10""")
 def q_chunk_cap(spark, sf):
     out = chunking.fixed_chunks(views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), "text"), size=500, overlap=50)
-    return ingest.capped_chunks(out, 10).select(F.col("content_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunks_capped_from").cast("long").alias("chunks_capped_from"))
+    return ingest.capped_chunks(out, 10).select(F.col("content_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.coalesce(F.col("chunks_capped_from").cast("long"), F.lit(-1)).alias("chunks_capped_from"))
 
 
 @query()

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def rows(df):
-    plain = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else round(float(x), 5) if isinstance(x, float) else str(x)
+    plain = lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else str(x) if isinstance(x, (str, bool)) or not hasattr(x, "__round__") else round(float(x), 5)
     return Counter(tuple(map(plain, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 

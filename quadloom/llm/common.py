@@ -170,7 +170,7 @@ class IdCache:
 
     split: pattern of the pieces of text that the tokenizer treats independently."""
 
-    def __init__(self, path: str, split: re.Pattern, most: int = 500_000):
+    def __init__(self, path: str, split: re.Pattern, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -6,13 +6,11 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.functions import terms, text, vectors
+from quadloom.functions import terms, text
 from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval
 from quadloom.operators import jobs as job_ops
-from quadloom.operators.common import first_by
 from quadloom.operators.upsert import replace_group, upsert
 from quadloom.plans import ontology, views
 from quadloom.sources import chunking, formats

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.text import first_json_object
 from quadloom.functions.terms import slugify
+from quadloom.operators.common import small
 
 _ITEM = "subject string, predicate string, object string, uri string, rdf_type string, label string, occurred_at string, properties map<string,string>, confidence double, knowledge_type string"
 ANSWER = ", ".join(f"{k} array<struct<{_ITEM.replace(' ', ':').replace(',:', ', ')}>>" for k in ("entities", "relations", "items"))
@@ -60,13 +61,14 @@ def extract(chunks: DataFrame, synonyms: DataFrame, text: str = "chunk_text") ->
 
     content_id, chunk_index, subject, predicate, object, confidence."""
     sentences = chunks.select("content_id", "chunk_index", F.explode(F.split(text, r"[.!?\n]+\s*")).alias("sentence"))
-    words = sentences.withColumn("words", F.regexp_extract_all("sentence", F.lit(r"[\p{L}0-9_-]+"), F.lit(0))).where("size(words) BETWEEN 3 AND 40")
-    # One- to three-word phrases with a word on either side meet the synonyms in an equi-join.
-    spans = words.select("content_id", "chunk_index", "words", F.explode(F.sequence(F.lit(2), F.size("words") - 1)).alias("at"))
-    spans = spans.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("at + n <= size(words)")
-    phrase = F.lower(F.array_join(F.slice("words", F.col("at"), F.col("n")), "_"))
-    hits = spans.withColumn("synonym", phrase).join(synonyms, "synonym")
-    return hits.select("content_id", "chunk_index", slugify(F.element_at("words", F.col("at") - 1)).alias("subject"), "predicate", slugify(F.element_at("words", F.col("at") + F.col("n"))).alias("object"), F.lit(0.5).alias("confidence"))
+    words = sentences.withColumn("words", F.regexp_extract_all("sentence", F.lit(r"[\p{L}0-9_-]+"), F.lit(0))).where("size(words) >= 3")
+    # One- to three-word phrases with a word on either side meet the synonyms in an equi-join; a row has its own few words, however long the sentence.
+    around = F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i - 1).alias("before"), F.slice("words", i, 4).alias("next")))
+    spans = words.select("content_id", "chunk_index", F.explode(around).alias("span")).select("content_id", "chunk_index", "span.*")
+    spans = spans.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("n < size(next)")
+    phrase = F.lower(F.array_join(F.slice("next", F.lit(1), F.col("n")), "_"))
+    hits = spans.withColumn("synonym", phrase).join(small(synonyms), "synonym")
+    return hits.select("content_id", "chunk_index", slugify("before").alias("subject"), "predicate", slugify(F.element_at("next", F.col("n") + 1)).alias("object"), F.lit(0.5).alias("confidence"))
 
 
 def job_counters(chunks: DataFrame, embedded: DataFrame, extracted: DataFrame, items: DataFrame, mentions: DataFrame, triples: DataFrame) -> DataFrame:

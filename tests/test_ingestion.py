@@ -1,6 +1,8 @@
 """Items of answers, the stand-ins for models, and a whole run."""
 
 import datetime as dt
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -31,6 +33,21 @@ def test_extraction(spark):
     assert {("caffeine", "increases", "alertness"), ("rain", "causes", "floods")} <= got
 
 
+def test_extraction_from_sentences_of_any_length(spark):
+    filler = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{filler} caffeine leads to alertness {filler}. rain boosts growth.", f"caffeine boosts {filler}", f"{filler} boosts alertness", "boosts", "", "of boosts", " ".join(["sun boosts joy and"] * 5_000)]
+    synonyms = {"boosts": "p/up", "leads_to": "p/causes", "w7_w8_w9": "p/odd"}
+    chunks = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "content_id string, chunk_index int, chunk_text string")
+    want = Counter()
+    for i, t in enumerate(texts):
+        for sentence in re.split(r"[.!?\n]+\s*", t):
+            w = re.findall(r"[\w-]+", sentence)
+            want.update((i, w[k - 1], synonyms[p], w[k + n]) for n in (1, 2, 3) for k in range(1, len(w) - n) if (p := "_".join(w[k : k + n])) in synonyms)
+    got = extraction.extract(chunks, spark.createDataFrame(list(synonyms.items()), "synonym string, predicate string")).collect()
+    assert want[0, "caffeine", "p/causes", "alertness"] == 1 and want[6, "sun", "p/up", "joy"] == 5_000
+    assert Counter((r.chunk_index, r.subject, r.predicate, r.object) for r in got) == want
+
+
 def test_run(spark):
     rows = [("c1", "http://x/1", "Caffeine boosts alertness. Box contains ball.", None, "T", "web", dt.datetime(2024, 1, 1)), ("c2", "http://x/2", "", "caffeine reduces alertness.", None, "web", dt.datetime(2024, 1, 2))]
     content = spark.createDataFrame(rows, "content_id string, url string, raw_text string, summary string, title string, source_type string, ingested_at timestamp")

@@ -107,7 +107,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 def expand(quads: DataFrame, start: DataFrame, max_hops: int = 4, least: float = 0.1, limit: int | None = 200) -> DataFrame:
     """Edges reached from the start nodes, with the hop: along subjects, to objects that are URIs, over quads of enough confidence.
 
-    limit keeps so many edges, the first by hop, then by their terms."""
+    max_hops is the number of levels of edges: those that leave nodes h hops away (the start nodes are 0) have hop h + 1. limit keeps so many edges, the first by hop, then by their terms."""
     usable = quads.where(F.col("confidence") >= least).select(*SPO, "o_kind", "confidence")
     visited = cut_lineage(start.select("node").distinct())
     frontier, found = visited, None
@@ -121,6 +121,19 @@ def expand(quads: DataFrame, start: DataFrame, max_hops: int = 4, least: float =
     return found if limit is None else found.orderBy("hop", *SPO).limit(limit)
 
 
+def visited(edges: DataFrame, start: DataFrame, max_hops: int = 4, limit: int | None = 200) -> DataFrame:
+    """Nodes at most max_hops away, with their hop (the start nodes are 0), for the edges of expand(..., max_hops + 1, limit=limit).
+
+    Where the edges have reached the limit, nodes after the last edge's subject, by hop and name, aren't visited any more."""
+    reached = edges.where((F.col("o_kind") == "iri") & (F.col("hop") <= max_hops)).select(F.col("o").alias("node"), "hop")
+    nodes = start.select("node", F.lit(0).alias("hop")).unionByName(reached).groupBy("node").agg(F.min("hop").alias("hop"))
+    if limit is None:
+        return nodes
+    last = edges.agg(F.count("*").alias("_n"), F.max(F.struct("hop", "s")).alias("_last"))
+    before = (F.col("hop") + 1 < F.col("_last.hop")) | ((F.col("hop") + 1 == F.col("_last.hop")) & (F.col("node") <= F.col("_last.s")))
+    return nodes.crossJoin(F.broadcast(last)).where((F.col("_n") < limit) | before).drop("_n", "_last")
+
+
 def retract(quads: DataFrame, gone: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
     """The quads less the inferred ones that rest on the triples gone (triple_hash), at any remove; and what was taken, with its depth."""
     rests = cut_lineage(quads.where("graph = 'inferred'").select("triple_hash", F.explode("derived_from").alias("on")))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import text, vectors
 from quadloom.functions.terms import to_entity_uri, trust_tier
-from quadloom.operators.common import first_by
+from quadloom.operators.common import cut_lineage, first_by
 from quadloom.operators.conflicts import find_contradictions
 from quadloom.operators.jobs import readable
 from quadloom.operators.quads import pattern
-from quadloom.operators.reasoning import expand
+from quadloom.operators.reasoning import expand, visited
 
 RRF_K = 60
 OVERFETCH = 3
@@ -130,15 +130,21 @@ def _context(quads: DataFrame, triples: DataFrame, chunks: DataFrame, entities:
 
 
 def retrieve(question: str, embed: Callable[[str], list[float]], *, chunks: DataFrame, content: DataFrame, quads: DataFrame, entities: DataFrame, predicates: DataFrame, jobs: DataFrame | None = None, kind: str | None = None, names: list[str] | None = None, least: float | None = None, max_sources: int = 5, max_hops: int = 4) -> Retrieved:
-    """Chunks and triples by the strategy that the question asks for. entities: uri, embedding; predicates: uri, embedding."""
+    """Chunks and triples by the strategy that the question asks for. entities: uri, embedding; predicates: uri, embedding.
+
+    By graph, the entities found are those resolved and the first 10 nodes visited (without query_id), and depth is the farthest visited node's hop."""
     kind, query = kind or intent(question), embed(question)
     near = lambda df, k, at_least=None: _near(df, query, k, at_least)
     tiered = pattern(quads).withColumn("trust_tier", trust_tier("graph"))
     resolved = resolve_names(names or [], embed, entities, quads) if kind != "semantic" else None
     if kind == "graph" and resolved is not None:
-        edges = expand(pattern(quads), resolved.select(F.col("uri").alias("node")), max_hops, max(least or 0.0, 0.1))
+        # Nodes max_hops away are visited too, so there is one more level of edges than hops.
+        start = resolved.select(F.col("uri").alias("node"))
+        edges = cut_lineage(expand(pattern(quads), start, max_hops + 1, max(least or 0.0, 0.1)))
+        nodes = visited(edges, start, max_hops)
+        names_found = resolved.unionByName(nodes.orderBy("hop", "node").limit(10).select(F.col("node").alias("uri")), allowMissingColumns=True)
         found = edges.join(tiered.drop("confidence", "o_kind"), ["s", "p", "o"]).withColumn("trust_tier", F.lit(None).cast("string"))
-        return _context(quads, found, search(chunks, content, query, question, limit=3, jobs=jobs), resolved, least, edges.agg(F.coalesce(F.max("hop"), F.lit(0)).alias("depth")))
+        return _context(quads, found, search(chunks, content, query, question, limit=3, jobs=jobs), names_found, least, nodes.agg(F.coalesce(F.max("hop"), F.lit(0)).alias("depth")))
     if kind == "entity" and resolved is not None:
         return _context(quads, tiered.join(resolved.select(F.col("uri").alias("s")), "s", "left_semi"), search(chunks, content, query, question, limit=3, jobs=jobs), resolved, least)
     near_entities = near(entities, 3)

@@ -68,6 +68,33 @@ def test_expansion_stops_at_literals_and_hops(spark):
     assert names(reasoning.expand(store, start, max_hops=2)) == {("a", "is_a", "b"), ("b", "is_a", "c"), ("b", "has_property", "Red")}
 
 
+def test_graph_retrieval_visits_the_farthest_nodes(spark):
+    chain = "abcdefgh"
+    store = made(spark, [*((x, "is_a", y) for x, y in zip(chain, chain[1:], strict=False)), ("b", "has_property", "Red")])
+    store = store.withColumn("knowledge_type", F.lit("claim"))
+    vector = lambda name: [1.0, 0.0] if name == "a" else [0.0, 1.0]
+    entities = spark.createDataFrame([(DATA + "a", [1.0, 0.0])], "uri string, embedding array<double>")
+    chunks = spark.createDataFrame([("k", "c", "text", [1.0, 0.0])], "chunk_id string, content_id string, chunk_text string, embedding array<double>")
+    content = spark.createDataFrame([("c", "u")], "content_id string, url string")
+    ask = lambda hops: retrieval.retrieve("how is a related", vector, chunks=chunks, content=content, quads=store, entities=entities, predicates=entities, kind="graph", names=["a"], max_hops=hops)
+    for hops in (0, 2, 4):
+        got = ask(hops)
+        edges = {(x, "is_a", y) for x, y in zip(chain[: hops + 1], chain[1:], strict=False)} | ({("b", "has_property", "Red")} if hops else set())
+        assert names(got.triples) == edges
+        assert got.depth.first().depth == hops
+        assert sorted(r.uri.rsplit("/", 1)[-1] for r in got.entities.collect()) == sorted(["a", *chain[: hops + 1]])
+
+
+def test_visited_nodes_end_with_the_edges(spark):
+    store = made(spark, [("a", "is_a", x) for x in "bcd"] + [(x, "is_a", x + str(i)) for x in "bcd" for i in range(2)])
+    start = spark.createDataFrame([(DATA + "a",)], "node string")
+    seen = lambda limit: {(r.node.rsplit("/", 1)[-1], r.hop) for r in reasoning.visited(reasoning.expand(store, start, 3, limit=limit), start, 2, limit).collect()}
+    assert seen(2) == {("a", 0)}
+    assert seen(5) == {("a", 0), ("b", 1)}
+    assert seen(6) == {("a", 0), ("b", 1), ("c", 1)}
+    assert len(seen(200)) == len(seen(None)) == 10
+
+
 def test_conflicts(spark):
     store = made(spark, [("a", "amount", "One"), ("a", "amount", "Two"), ("a", "is_a", "X"), ("a", "is_a", "Y"), ("a", "increases", "z"), ("a", "decreases", "z")])
     (value,) = conflicts.functional_conflicts(store, ontology.functional(spark)).collect()

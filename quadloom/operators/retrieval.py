@@ -173,12 +173,28 @@ def resolve_by_graph(asked: DataFrame, entities: DataFrame, quads: DataFrame, le
     return out.select("query_id", F.coalesce("near", "own").alias("uri"))
 
 
-def within_budget(chunks: DataFrame, order: str, budget: int = 48_000, text_column: str = "chunk_text") -> DataFrame:
+def within_budget(chunks: DataFrame, order: str, budget: int = 48_000, text_column: str = "chunk_text", ranges: int | None = None) -> DataFrame:
     """The chunks, in order, whose running total of characters stays within a prompt's budget.
 
-    One prompt's chunks only: a few dozen rows that a top-k has picked."""
-    total = F.sum(F.length(text_column)).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return chunks.withColumn("running_chars", total.cast("long")).where(F.col("running_chars") <= budget)
+    Chunks are dealt into ranges of the order; a window over the few ranges' totals says where each begins, and only those that begin
+    within the budget get a running total of their own. ranges=1 takes one window: for a few dozen rows that a top-k has picked."""
+    so_far = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = ranges or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = [r[0] for r in chunks.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(20 * ranges).collect()] if ranges > 1 else []
+    bounds = sorted(set(sorted(bounds)[20::20]))
+    if not bounds:
+        total = F.sum(F.length(text_column)).over(so_far(W.orderBy(order)))
+        return chunks.withColumn("running_chars", total.cast("long")).where(F.col("running_chars") <= budget)
+    # Nulls come first, as they sort.
+    at = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))))
+    dealt = chunks.withColumn("_range", at)
+    totals = dealt.groupBy("_range").agg(F.sum(F.length(text_column)).alias("_total"))
+    begins = totals.withColumn("_before", F.sum("_total").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
+    begins = begins.where(F.coalesce("_before", F.lit(0)) <= budget).select("_range", "_before")
+    own = F.sum(F.length(text_column)).over(so_far(W.partitionBy("_range").orderBy(order)))
+    total = F.when(own.isNotNull() | F.col("_before").isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    out = dealt.join(F.broadcast(begins), "_range").withColumn("running_chars", total.cast("long")).drop("_range", "_before")
+    return out.where(F.col("running_chars") <= budget)
 
 
 def sources(chunks: DataFrame, order: str) -> DataFrame:
@@ -192,7 +208,7 @@ def types_used(triples: DataFrame) -> DataFrame:
 
 def prompt(question: str, chunks: DataFrame, triples: DataFrame, order: str = "chunk_id") -> DataFrame:
     """One row: the question with its numbered sources and facts."""
-    listed = within_budget(chunks, order).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("running_chars", "chunk_text"))), lambda c: F.concat(F.lit("- "), c["chunk_text"])), "\n").alias("texts"))
+    listed = within_budget(chunks, order, ranges=1).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("running_chars", "chunk_text"))), lambda c: F.concat(F.lit("- "), c["chunk_text"])), "\n").alias("texts"))
     fact = F.concat_ws(" ", "s", "p", "o", F.concat(F.lit("("), F.coalesce("trust_tier", F.lit("unknown")), F.lit(")")))
     facts = triples.agg(F.array_join(F.sort_array(F.collect_list(fact)), "\n").alias("facts"))
     return listed.crossJoin(facts).select(F.concat(F.lit("Question: " + question + "\n\nSources:\n"), "texts", F.lit("\n\nFacts:\n"), "facts").alias("prompt"))

@@ -340,8 +340,7 @@ def q_name_resolve_semijoin(spark, sf):
 
 @query("""SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS running_chars FROM documents QUALIFY running_chars <= 48000""")
 def q_prompt_budget(spark, sf):
-    top = views.table(spark, sf, "documents").orderBy("doc_id").limit(200)
-    return retrieval.within_budget(top, "doc_id", text_column="text").select("doc_id", "n_chars", "running_chars")
+    return retrieval.within_budget(views.table(spark, sf, "documents"), "doc_id", text_column="text").select("doc_id", "n_chars", "running_chars")
 
 
 @query(f"WITH {views.PROVENANCE} SELECT source_url AS url, object FROM prov QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY chunk, object) = 1")

@@ -38,6 +38,17 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_prompt_budget_of_short_texts(spark, tmp_path):
+    texts = [None if i % 7 == 0 else "x" * (i % 90) for i in range(3_000)]
+    docs = pd.DataFrame({"doc_id": range(3_000), "text": texts, "n_chars": pd.array([None if t is None else len(t) for t in texts], "Int64")})
+    docs.sample(frac=1, random_state=1).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["q_prompt_budget"]).df()
+    assert len(want) > 1_000
+    assert rows(QUERIES["q_prompt_budget"](spark, str(tmp_path)).toPandas()) == rows(want)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

@@ -82,23 +82,30 @@ class _Counts:
         if gap < 2 or not self.pairs[gap]:
             return None
         a = np.arange(min(gap - 1, at_most), (gap + 1) // 2 - 1, -1)
-        ok = a[(self.left[a] > 0) & (self.left[gap - a] > 0)]
+        ok = a[(self.left[a] > (2 * a == gap)) & (self.left[gap - a] > 0)]
         return (int(ok[0]), gap - int(ok[0])) if len(ok) else None
 
     def fill(self, length: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that fill up a sequence that starts with `length`."""
+        """One, two or three lengths, available beside `length` as often as they are needed, that fill up a sequence that starts with it."""
         gap = self.size - length
         if gap == 0:
             return ()
-        if self.left[gap]:
-            return (gap,)
-        if found := self.pair(gap, self.size):
-            return found
-        a = np.arange(gap - 2, 0, -1)
-        for x in a[(self.left[a] > 0) & (self.pairs[gap - a] > 0)]:
-            if found := self.pair(gap - int(x), int(x)):
-                return (int(x), *found)
-        return None
+        self.left[length] -= 1
+        try:
+            if self.left[gap]:
+                return (gap,)
+            if found := self.pair(gap, self.size):
+                return found
+            a = np.arange(gap - 2, 0, -1)
+            for x in a[(self.left[a] > 0) & (self.pairs[gap - a] > 0)]:
+                self.left[x] -= 1
+                found = self.pair(gap - int(x), int(x))
+                self.left[x] += 1
+                if found:
+                    return (int(x), *found)
+            return None
+        finally:
+            self.left[length] += 1
 
 
 def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -84,6 +84,17 @@ def test_plans_use_every_piece_once(counts):
     assert sum(t for _, t in plan) <= max(1, 2 * total // 40 + 1)
 
 
+def test_fills_need_as_many_pieces_as_there_are():
+    assert packing._Counts({20: 1, 12: 1, 8: 1}, 40).fill(20) == (12, 8)
+    assert packing._Counts({20: 2, 12: 1, 8: 1}, 40).fill(20) == (20,)
+    assert packing._Counts({30: 1, 5: 1, 6: 1, 4: 1}, 40).fill(30) == (6, 4)
+    assert packing._Counts({30: 1, 5: 1}, 40).fill(30) is None
+    counts = {8: 1, 14: 2, 4: 2, 21: 2, 24: 1, 20: 2}
+    plan = packing.plan_packing(counts, 40)
+    assert sum(t for _, t in plan) == 4
+    assert sum((Counter({k: t * n for k, n in Counter(p).items()}) for p, t in plan), Counter()) == Counter(counts)
+
+
 @pytest.mark.parametrize("width", [1, 3, 13, 16, 17])
 def test_bits_come_back(width):
     ids = np.random.default_rng(1).integers(0, 1 << width, 1000)

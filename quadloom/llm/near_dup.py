@@ -231,6 +231,10 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs", release=False)
         if pairs.isEmpty():
+            # Other members of the buckets may still fit one another; so each node is its own root.
+            if labels is None:
+                labels = written(nodes.select("node", F.col("node").alias("root"), F.col("rank").alias("root_rank")), "labels", release=False)
+                tried = pairs
             break
         tried = pairs if tried is None else tried.union(pairs)
         found = written(_links(pairs, sets, percent), "links")
@@ -250,7 +254,7 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
         large = open_.where(F.col("n") > SMALL).select("bucket", "node", "root")
         found = written(_links(pairs, sets, percent).union(_within_large(large, sets, percent)), "links")
         if not found.isEmpty():
-            labels = components(links.union(found), nodes, start=labels)
+            labels = components(found if links is None else links.union(found), nodes, start=labels)
     of_class = classes.select("digest", "rank", "node")
     of_class = of_class.select("digest", "rank").withColumn("least", F.col("rank")) if labels is None else of_class.join(labels, "node", "left").select("digest", F.coalesce("root_rank", "rank").alias("least"))
     of_class = of_class.select("digest", F.when(F.col("least") != LAST, F.col("least")).alias("least"))

@@ -143,3 +143,15 @@ def test_large_buckets_in_tiles(spark, monkeypatch):
         rows.append((len(rows), " ".join(w)))
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=40, star_rounds=1).collect()
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == Counter(brute_components(rows, 3, 85))
+
+
+def test_heads_that_fit_no_other_member(spark):
+    w = [f"s4_{i}" for i in range(100)]
+    rows = [(0, " ".join(w + [f"x4_{i}" for i in range(40)])), (1, " ".join(w)), (2, " ".join([*w[:-1], "other"]))]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # so that the one bucket's head is the long text
+    try:
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == Counter(brute_components(rows, 3, 85))

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import functools
-import gc
 import re
 import tempfile
-import time
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -50,23 +48,41 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str, *, release: bool = True) -> DataFrame:
-    """df as a table in the shared folder, read again: later steps start from files, so a lost executor costs no recomputation.
-
-    The table's files go when the session ends; release: the shuffle files behind it go at once (Spark's cleaner
-    removes them when the JVM's garbage collection finds them unused, the second time for those of the last query)."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one, for a table; it goes when the session ends if nobody drops it before."""
     at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    for _ in range(2 * release):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    return at
+
+
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, *, at: str | None = None, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (in the folder `at` where one is named, in subfolders of column `by`), read again.
+
+    Later steps start from files, so a lost executor costs no recomputation, and the shuffle files behind the table aren't
+    needed any more and go at once."""
+    spark = df.sparkSession
+    at = at or new_folder(spark, label)
+    held = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(at)
+    finally:
+        spark.conf.set(_RELEASE, held)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def dropped(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables whose successors are written."""
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

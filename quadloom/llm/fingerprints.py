@@ -76,7 +76,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     placed = docs.withColumn("bucket", bucket.cast("int"))
     heads = placed.groupBy("bucket").agg(F.max(F.struct("rank", "tie")).alias("head"))
     # At most n rows: one for each bucket that has documents.
-    heads = written(heads.select("bucket", F.col("head.rank").alias("rank"), F.col("head.tie").alias("tie")), "heads", release=False)
+    heads = written(heads.select("bucket", F.col("head.rank").alias("rank"), F.col("head.tie").alias("tie")), "heads")
     above = heads.select("bucket", "rank", "tie", F.coalesce(F.lead("bucket").over(W.orderBy("bucket")), F.min("bucket").over(W.partitionBy())).alias("before"))
     sent = placed.join(F.broadcast(above), ["bucket", "rank", "tie"], "left")
     own = F.struct("bucket", F.lit(0).alias("guest"))

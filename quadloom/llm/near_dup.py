@@ -229,11 +229,11 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs", release=False)
+        pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             # Other members of the buckets may still fit one another; so each node is its own root.
             if labels is None:
-                labels = written(nodes.select("node", F.col("node").alias("root"), F.col("rank").alias("root_rank")), "labels", release=False)
+                labels = written(nodes.select("node", F.col("node").alias("root"), F.col("rank").alias("root_rank")), "labels")
                 tried = pairs
             break
         tried = pairs if tried is None else tried.union(pairs)
@@ -242,7 +242,7 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
         labels = components(links, nodes) if labels is None else components(links, nodes, start=labels)
         if labels is not None:
             whole = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("root_rank", "rank").alias("root_rank"))
-            labels = written(whole, "labels", release=False)
+            labels = written(whole, "labels")
     if labels is not None:
         now = members.join(labels.select("node", "root"), "node")
         span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "n")

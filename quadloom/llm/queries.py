@@ -28,7 +28,8 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_ids.digest(sentencepiece_ids.encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")))
+    path = _tokenizer("piece_bpe_32k.model")
+    return sentencepiece_ids.digest(sentencepiece_ids.encode(_documents(spark, sf_dir), path), path)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,25 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no piece of the model crosses: before the marks that stand for spaces, and between an ASCII
-letter and a stop where the model has no piece with such a pair. Each distinct unit is encoded once, by joins:
-its substrings up to the longest piece's length are exploded and joined to the table of pieces, which gives the
-unit's edges; edges are grouped by unit and folded, with Spark's `aggregate`, into a segmentation. The
-documents' units are then replaced by their ids, block by block.
+Texts are cut into units that no piece of the model crosses: before the marks that stand for spaces, between an ASCII letter
+and a stop where the model has no piece with such a pair, and in long units between any two code points that are
+neighbours in no piece. Each distinct unit is encoded once: its substrings up to the longest piece's length are exploded and joined to
+the table of pieces, which gives the unit's edges; edges are grouped by unit and folded, with Spark's `aggregate`, into a
+segmentation. An edge is one long (the piece's place by score, start, length, id), units are dealt out once, by a number of
+tasks that follows their number, and each carries the places in blocks of documents that ask for it. The answers go back by block, where
+the documents' units are replaced by their ids.
 
 The public model is a BPE model. A Viterbi fold takes the best sum of scores, which for BPE isn't what the library
 gives, so the fold runs over the same edges in the order of their scores instead: an edge is taken when it
-joins exactly two of the parts there are, which is BPE's merging. The parts are bits of a long, so units over 60 code points
-(words without a space in them) are encoded by the library itself, exactly. A code point without a piece becomes
-its bytes' pieces. Null and empty texts have no ids; each row has its row of the result.
+joins exactly two of the parts there are, which is BPE's merging. The parts are bits of a long; for units of more than 60 code points,
+whose substrings are exploded tile by tile, the same fold keeps its parts in a linked list. A code point without a piece becomes
+its bytes' pieces. Null and empty texts have no ids, an empty table has no rows, each row has its row of the result,
+and columns other than doc_id and text, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import texts, written
+from quadloom.llm.common import dropped, new_folder, partitions, texts, written
 
 SPACE = "▁"
+#: Code points of a unit whose parts fit the bits of a long; longer units are exploded by tiles of so many starts.
 FOLDED = 60
-BLOCK_UNITS = 1_500_000
+#: Units of a block of documents, units that a task folds, and units of documents that make one row.
+BLOCK_UNITS, TASK_UNITS, CHUNK_UNITS = 6_000_000, 100_000, 1 << 18
+#: Bits of an edge's fields from the lowest: the piece's id (all set: none, so bytes), its length, its start.
+_ID, _LEN, _START = 20, 7, 7
+_NUMBER = 23
 
-_ROWS = "block long, unit string, number int, doc_id long, units binary"
-_ARROW = pa.schema([("block", pa.int64()), ("unit", pa.string()), ("number", pa.int32()), ("doc_id", pa.int64()), ("units", pa.binary())])
+_ROWS = "kind string, block long, number long, at int, unit string, doc_ids array<long>, counts binary, units binary"
+_ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("at", pa.int32()), ("unit", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("units", pa.binary())])
 
 
 class Model:
@@ -45,146 +54,259 @@ class Model:
         ids = range(sp.vocab_size())
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.pieces = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in plain]
+        places = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
+        #: Piece, id and the place of its score from the best.
+        self.pieces = [(sp.id_to_piece(i), i, places[sp.get_score(i)]) for i in plain]
         self.longest = max(len(p) for p, _, _ in self.pieces)
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in self.pieces):
             raise ValueError("the model has pieces over several words")
+        if sp.vocab_size() >= (1 << _ID) - 1 or self.longest >= 1 << _LEN:
+            raise ValueError("the model has too many or too long pieces")
+        #: Neighbours within pieces.
+        self.pairs = frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
         stops = "".join(c for c in ".,!?;:" if not any(re.search(f"[A-Za-z]{re.escape(c)}", p) for p, _, _ in self.pieces))
         run = f"{SPACE}*[A-Za-z]+(?![^{SPACE}{stops}])|" if stops else ""
         self.unit = f"{run}{SPACE}*[^{SPACE}]+|{SPACE}+"
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        return spark.createDataFrame(self.pieces, "piece string, id int, place int")
 
 
-def _split(pattern: str):
+def _cut(unit: str, pairs: frozenset[str]) -> list[str]:
+    """The unit in parts that no piece crosses, by their neighbouring code points."""
+    ends = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+    return [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)], strict=True)]
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _split(pattern: str, pairs: frozenset[str], longest: int):
     units = re.compile(pattern, re.S)
 
-    def block(at: int, docs: list[tuple], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        n = len(docs)
-        yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.string()), pa.array(range(n), pa.int32()), pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.binary())], schema=_ARROW)
+    def rows(kind: str, of: int, n: int, **columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([kind] * n, pa.string()), pa.array([of] * n, pa.int64()), *(pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in list(_ARROW)[2:])], schema=_ARROW)
+
+    def block(at: int, doc_ids: list, counts: list[int], held: list[np.ndarray], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate(held) if held else np.empty(0, np.int64)
+        # Frequent units get small numbers.
+        order = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        every = rank[every]
+        counts = np.array(counts, np.int64)
+        ends = np.cumsum(counts)
+        chunk = (ends - counts) // CHUNK_UNITS
+        for part in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(chunk)) + 1):
+            if len(part):
+                a, b = part[0], part[-1] + 1
+                yield rows("documents", at, 1, doc_ids=[doc_ids[a:b]], counts=[_packed(counts[a:b])], units=[_packed(every[ends[a] - counts[a] : ends[b - 1]])])
         names = list(numbers)
-        for i in range(0, len(names), 20_000):
-            some = names[i : i + 20_000]
-            n = len(some)
-            yield pa.record_batch([pa.array([at] * n, pa.int64()), pa.array(some, pa.string()), pa.array(range(i, i + n), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_ARROW)
+        long_ = [k for k in order.tolist() if len(names[k]) > FOLDED]
+        short = [k for k in order.tolist() if len(names[k]) <= FOLDED] if long_ else order.tolist()
+        for i in range(0, len(short), 20_000):
+            some = short[i : i + 20_000]
+            yield rows("units", at, len(some), number=rank[some], unit=[names[k] for k in some])
+        for k in long_:
+            tiles = range(0, len(names[k]), FOLDED)
+            yield rows("tiles", at, len(tiles), number=[int(rank[k])] * len(tiles), at=list(tiles), unit=[names[k][t : t + FOLDED + longest - 1] for t in tiles])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packed = zstandard.ZstdCompressor(3).compress
-        task, number, size = TaskContext.get().partitionId(), 0, 0
-        docs: list[tuple] = []
-        numbers: dict[str, int] = {}
+        task, number, size = TaskContext.get().partitionId() << 20, 0, 0
+        doc_ids, counts, held = [], [], []
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 own = units.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                at = np.fromiter((numbers.setdefault(u, len(numbers)) for u in own), "<u4", len(own))
-                docs.append((doc_id, packed(at.tobytes())))
+                if max(map(len, own), default=0) > FOLDED:
+                    own = [p for u in own for p in ([u] if len(u) <= FOLDED else _cut(u, pairs))]
+                doc_ids.append(doc_id)
+                counts.append(len(own))
+                held.append(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)).astype(np.int32))
                 size += len(own)
                 if size >= BLOCK_UNITS:
-                    yield from block((task << 31) + number, docs, numbers)
-                    docs, numbers, size, number = [], {}, 0, number + 1
-        if docs:
-            yield from block((task << 31) + number, docs, numbers)
+                    yield from block(task + number, doc_ids, counts, held, dict(numbers))
+                    doc_ids, counts, held, size, number = [], [], [], 0, number + 1
+                    numbers.clear()
+        if doc_ids:
+            yield from block(task + number, doc_ids, counts, held, dict(numbers))
 
     return run
 
 
-def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """unit and its edges (start, len, score, ids): substrings that are pieces, and single code points that aren't, as bytes."""
+def lattice(units: DataFrame, model: Model, starts: str = "char_length(unit)") -> DataFrame:
+    """The units' rows, one for each edge: substrings that are pieces, and single code points that aren't.
+
+    start (from 1), len, and edge: one long, by whose order pieces of better scores come first, then those further left."""
     # As many rows as the model has pieces.
     pieces = F.broadcast(model.table(units.sparkSession))
-    spans = units.select("unit", F.explode(F.expr("sequence(1, char_length(unit))")).alias("start"))
-    spans = spans.select("unit", "start", F.explode(F.expr(f"sequence(1, least({model.longest}, char_length(unit) - start + 1))")).alias("len"))
+    spans = units.select("*", F.explode(F.expr(f"sequence(1, {starts})")).alias("start"))
+    spans = spans.select("*", F.explode(F.expr(f"sequence(1, least({model.longest}, char_length(unit) - start + 1))")).alias("len"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start"), F.col("len"))).join(pieces, "piece", "left").where("id IS NOT NULL OR len = 1")
-    as_bytes = F.expr(f"transform(sequence(0, octet_length(piece) - 1), i -> cast(conv(hex(substring(encode(piece, 'UTF-8'), i + 1, 1)), 16, 10) as int) + {model.bytes[0]})")
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes)
-    return edges.select("unit", (F.col("start") - 1).alias("start"), "len", F.coalesce("score", F.lit(0.0)).alias("score"), ids.alias("ids"))
+    none = (1 << _ID) - 1
+    edge = F.expr(f"shiftleft(cast(coalesce(place, 0) as bigint), {_ID + _LEN + _START}) | shiftleft(cast(start - 1 as bigint), {_ID + _LEN}) | shiftleft(cast(len as bigint), {_ID}) | coalesce(id, {none})")
+    return edges.withColumn("edge", edge).drop("piece", "id", "place")
+
+
+def _fold(first_byte: int) -> str:
+    """Expression for the ids of a unit from its edges, in the order of their scores."""
+    start, length, id_ = f"cast(shiftright(e, {_ID + _LEN}) & {(1 << _START) - 1} as int)", f"cast(shiftright(e, {_ID}) & {(1 << _LEN) - 1} as int)", f"cast(e & {(1 << _ID) - 1} as int)"
+    inner = f"shiftleft(shiftleft(1L, {length} - 1) - 1, {start} + 1)"
+    outer = f"(shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}))"
+    taken = f"m & {outer} = {outer} AND bit_count(m & {inner}) = 1"
+    parts = f"aggregate(filter(edges, e -> {length} > 1), shiftleft(1L, char_length(unit) + 1) - 1, (m, e) -> CASE WHEN {taken} THEN m & ~{inner} ELSE m END)"
+    # The edges that are parts, by their starts.
+    kept = f"array_sort(transform(filter(edges, e -> m & {outer} = {outer} AND m & {inner} = 0), e -> struct({start} as start, {id_} as id)))"
+    as_bytes = f"transform(sequence(0, octet_length(substring(unit, x.start + 1, 1)) - 1), i -> cast(conv(hex(substring(encode(substring(unit, x.start + 1, 1), 'UTF-8'), i + 1, 1)), 16, 10) as int) + {first_byte})"
+    ids = f"transform({kept}, x -> CASE WHEN x.id = {(1 << _ID) - 1} THEN {as_bytes} ELSE array(x.id) END)"
+    return f"flatten(transform(array({parts}), m -> {ids})[0])"
+
+
+def _folded_long(first_byte: int):
+    """As _fold(), for one unit of any length: its edges (block, number, at, edge, char) to its ids."""
+
+    def run(t: pa.Table) -> pa.Table:
+        edge = t["edge"].to_numpy()
+        place, length, id_ = edge >> (_ID + _LEN + _START), (edge >> _ID) & ((1 << _LEN) - 1), edge & ((1 << _ID) - 1)
+        start = t["at"].to_numpy().astype(np.int64) + ((edge >> (_ID + _LEN)) & ((1 << _START) - 1))
+        end = start + length
+        n = int(end.max())
+        after, part = list(range(1, n + 1)), [True] * n + [False]
+        order = np.lexsort((start, place))
+        order = order[length[order] > 1]
+        for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True):
+            if part[a] and (m := after[a]) < b and after[m] == b:
+                part[m], after[a] = False, b
+        kept = np.flatnonzero(np.array(part[:n])[start] & (np.array(after)[start] == end))
+        kept = kept[np.argsort(start[kept])]
+        chars = t["char"]
+        ids = [x for k in kept.tolist() for x in ([int(id_[k])] if id_[k] != (1 << _ID) - 1 else [b + first_byte for b in chars[k].as_py().encode()])]
+        return pa.table({"ats": pa.array([[(t["block"][0].as_py() << _NUMBER) + t["number"][0].as_py()]], pa.list_(pa.int64())), "ids": pa.array([ids], pa.list_(pa.int32()))})
 
+    return run
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """unit and ids of distinct units."""
-    short = units.where(F.char_length("unit") <= FOLDED)
-    grouped = lattice(short, model).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), "start", "len", "ids"))).alias("edges"))
-    inner = "shiftleft(shiftleft(1L, e.len - 1) - 1, e.start + 1)"
-    ends = "(shiftright(m, e.start) & 1) = 1 AND (shiftright(m, e.start + e.len) & 1) = 1"
-    fold = f"aggregate(filter(edges, e -> e.len > 1), shiftleft(1L, char_length(unit) + 1) - 1, (m, e) -> CASE WHEN {ends} AND bit_count(m & {inner}) = 1 THEN m & ~{inner} ELSE m END)"
-    kept = f"transform(array_sort(transform(filter(edges, e -> {ends} AND (m & {inner}) = 0), e -> struct(e.start, e.ids))), x -> x.ids)"
-    folded = grouped.withColumn("m", F.expr(fold)).select("unit", F.flatten(F.expr(kept)).alias("ids"))
-    long_ = units.where(F.char_length("unit") > FOLDED).select("unit").mapInArrow(_by_library(model.path), "unit string, ids array<int>")
-    return folded.unionByName(long_)
 
+def _at() -> str:
+    return f"shiftleft(block, {_NUMBER}) | number"
 
-def _by_library(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        lead = len(sp.encode("\n"))  # the mark put before a text, and the line break's byte, which joins nothing
-        for batch in batches:
-            ids = [sp.encode("\n" + u.replace(SPACE, " "))[lead:] for u in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
+def encode_units(table: DataFrame, model: Model) -> DataFrame:
+    """ats and ids of each distinct unit: the places (block and number) that ask for it, and its ids."""
+    rows = table.where("kind = 'units'")
+    tasks = max(partitions(table.sparkSession), -(-rows.count() // TASK_UNITS))
+    units = rows.select("unit", F.expr(_at()).alias("at")).repartition(tasks, "unit").groupBy("unit").agg(F.collect_list("at").alias("ats"))
+    # Only one edge of a unit takes its places along.
+    edges = lattice(units.withColumn("u", F.monotonically_increasing_id()), model).select("u", "unit", "edge", F.expr("CASE WHEN start = 1 AND len = 1 THEN ats END").alias("ats"))
+    grouped = edges.groupBy("u", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("ats", ignorenulls=True).alias("ats"))
+    folded = grouped.select("ats", F.expr(_fold(model.bytes[0])).alias("ids"))
+    tiles = lattice(table.where("kind = 'tiles'").select("block", "number", "at", "unit"), model, starts=f"least(char_length(unit), {FOLDED})")
+    tiles = tiles.select("block", "number", "at", "edge", F.expr("CASE WHEN len = 1 THEN substring(unit, start, 1) END").alias("char"))
+    return folded.unionByName(tiles.groupBy("block", "number").applyInArrow(_folded_long(model.bytes[0]), "ats array<long>, ids array<int>"))
 
-    return run
-
-
-def _gathered(docs: pa.Table, units: pa.Table) -> pa.Table:
-    """One block's documents (doc_id, units) and units (number, ids) to its documents' ids."""
-    import zstandard
 
-    unpacked = zstandard.ZstdDecompressor().decompress
-    number = units["number"].to_numpy()
-    lists = units["ids"].combine_chunks()
-    n = np.zeros(len(number) + 1, np.int64)
-    begin = np.zeros(len(number) + 1, np.int64)
-    offsets = lists.offsets.to_numpy()
-    flat, begin[number], n[number] = lists.values.to_numpy(), offsets[:-1], np.diff(offsets)
-    out = []
-    for x in docs["units"]:
-        own = np.frombuffer(unpacked(x.as_py()), "<u4")
-        ends = np.cumsum(n[own])
-        out.append(flat[np.repeat(begin[own] - ends + n[own], n[own]) + np.arange(ends[-1] if len(ends) else 0)])
-    return pa.table({"doc_id": docs["doc_id"].combine_chunks() if len(docs) else pa.array([], pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ats, ids) of a task's units to a row for each block that asks for some of them."""
+    ats, of, flat, n = [], [], [], []
+    seen = 0
+    for batch in batches:
+        lists, own = batch.column(0), batch.column(1)
+        counts = np.diff(lists.offsets.to_numpy())
+        ats.append(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
+        of.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
+        flat.append(own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()])
+        n.append(np.diff(own.offsets.to_numpy()))
+        seen += len(counts)
+    if not seen:
+        return
+    ats, of, flat, n = (np.concatenate(x).astype(np.int64) for x in (ats, of, flat, n))
+    begin = np.cumsum(n) - n
+    order = np.argsort(ats)
+    ats, of = ats[order], of[order]
+    for part in np.split(np.arange(len(ats)), np.flatnonzero(np.diff(ats >> _NUMBER)) + 1):
+        own = of[part]
+        k, ends = n[own], np.cumsum(n[own])
+        ids = flat[np.repeat(begin[own] - ends + k, k) + np.arange(ends[-1])]
+        numbers = ats[part] & ((1 << _NUMBER) - 1)
+        yield pa.record_batch([pa.array([int(ats[part[0]] >> _NUMBER)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(numbers, prepend=0), k, ids))], names=["of", "numbers", "counts", "ids"])
+
+
+def _gathered(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """One block's documents (doc_ids, counts, units) and its units' ids (numbers, counts, ids) to its documents' ids."""
+    parts = [(np.cumsum(_unpacked(a.as_py())), _unpacked(b.as_py()), _unpacked(c.as_py())) for a, b, c in zip(answers["numbers"], answers["counts"], answers["ids"], strict=True)]
+    number, each, flat = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+    n = np.zeros(len(number), np.int64)
+    begin = np.zeros(len(number), np.int64)
+    n[number], begin[number] = each, np.cumsum(each) - each
+    doc_ids, out = [], []
+    for ids, counts, units in zip(docs["doc_ids"], docs["counts"], docs["units"], strict=True):
+        own, k = _unpacked(units.as_py()), n[_unpacked(units.as_py())]
+        ends = np.cumsum(k)
+        every = flat[np.repeat(begin[own] - ends + k, k) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+        edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(_unpacked(counts.as_py()))]]).astype(np.int32)
+        doc_ids += ids.as_py()
+        out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(every)))
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
 
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids of each document, as the library gives them without begin and end."""
     model = Model(model_path)
-    table = written(texts(documents).mapInArrow(_split(model.unit), _ROWS), "units")
-    units = table.where("unit IS NOT NULL").select("block", "unit", "number")
-    known = written(encode_units(units.select("unit").distinct(), model), "unit-ids")
-    replies = units.join(known, "unit").select(F.col("block").alias("of"), "number", "ids")
-    docs = table.where("unit IS NULL").select("block", "doc_id", "units")
+    spark = documents.sparkSession
+    at = new_folder(spark, "units")
+    table = written(texts(documents).mapInArrow(_split(model.unit, model.pairs, model.longest), _ROWS), "units", at=at, by="kind")
+    answers = written(encode_units(table, model).mapInArrow(_answers, "of long, numbers binary, counts binary, ids binary"), "unit-ids")
+    docs = table.where("kind = 'documents'").select("block", "doc_ids", "counts", "units")
+    dropped(spark, f"{at}/kind=units", f"{at}/kind=tiles")
     # A block is bounded by its scan, so are the two groups that meet here.
-    return docs.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(lambda d, u: _gathered(d.select(["doc_id", "units"]), u), "doc_id long, ids array<int>")
+    return docs.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(lambda d, a: _gathered(d, a), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the text of ids, by a join with the pieces: spaces for marks, bytes for byte pieces, without the space put before a text.
+def _table(model: Model) -> list[bytes]:
+    out = [b""] * (max([*model.bytes, *(i for _, i, _ in model.pieces)]) + 1)
+    for p, i, _ in model.pieces:
+        out[i] = p.replace(SPACE, " ").encode()
+    for b, i in enumerate(model.bytes):
+        out[i] = bytes([b])
+    return out
 
-    Rows are told apart by a number of their own, so repeated doc_ids stay apart."""
-    model = Model(model_path)
-    spark = encoded.sparkSession
-    rows = written(encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id()), "encoded")
-    pieces = [(i, p.replace(SPACE, " ").encode()) for p, i, _ in model.pieces] + [(i, bytes([b])) for b, i in enumerate(model.bytes)]
-    table = F.broadcast(spark.createDataFrame(pieces, "id int, bytes binary"))
-    each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(table, "id")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("bytes").alias("h")))), lambda x: x["h"])
-    joined = each.groupBy("row").agg(F.unhex(F.array_join(listed, "")).alias("bytes"))
-    text = F.coalesce(F.decode(F.expr("substring(bytes, 2)"), "UTF-8"), F.lit(""))
-    return rows.select("row", "doc_id").join(joined, "row", "left").select("doc_id", text.alias("text"))
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _decoded(table: list[bytes], digests: bool):
+    import hashlib
     import zlib
 
-    for batch in batches:
-        lists = [np.asarray(x.values.to_numpy(), "<u4") for x in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64())], names=["doc_id", "n_pieces", "ids_crc32"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = table.__getitem__
+        for batch in batches:
+            lists = [np.asarray(x.values.to_numpy(), "<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column(1)]
+            # Without the space put before a text; bytes that aren't UTF-8 come out as replacement characters.
+            found = [b"".join(map(of, x.tolist()))[1:].decode("utf-8", "replace") for x in lists]
+            if digests:
+                columns = [pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in found], pa.string())]
+                yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+            else:
+                yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id and the text of ids: the pieces' texts with spaces for marks, the bytes of byte pieces, without the space put before a text."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(_table(Model(model_path)), False), "doc_id long, text string")
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces and ids_crc32 (of the ids as little-endian 32-bit numbers)."""
-    return encoded.select("doc_id", "ids").mapInArrow(_digest, "doc_id long, n_pieces long, ids_crc32 long")
+def digest(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers) and decoded_sha256 (of the text that the ids decode to)."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(_table(Model(model_path)), True), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

@@ -56,7 +56,8 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return at
 
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go afterwards, and batches for Python are bounded by bytes, for texts of any length.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 
 
 def written(df: DataFrame, label: str, *, at: str | None = None, by: str | None = None) -> DataFrame:
@@ -66,13 +67,15 @@ def written(df: DataFrame, label: str, *, at: str | None = None, by: str | None
     needed any more and go at once."""
     spark = df.sparkSession
     at = at or new_folder(spark, label)
-    held = spark.conf.get(_RELEASE, "false")
-    spark.conf.set(_RELEASE, "true")
+    held = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(at)
     finally:
-        spark.conf.set(_RELEASE, held)
+        for k, v in held.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -28,8 +28,7 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("piece_bpe_32k.model")
-    return sentencepiece_ids.digest(sentencepiece_ids.encode(_documents(spark, sf_dir), path), path)
+    return sentencepiece_ids.digests(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,10 @@ SPACE = "▁"
 FOLDED = 60
 #: Units of a block of documents, units that a task folds, and units of documents that make one row.
 BLOCK_UNITS, TASK_UNITS, CHUNK_UNITS = 6_000_000, 100_000, 1 << 18
-#: Bits of an edge's fields from the lowest: the piece's id (all set: none, so bytes), its length, its start.
-_ID, _LEN, _START = 20, 7, 7
+#: Bits of an edge's fields from the lowest: the piece's id (_NONE: no piece, so bytes), its span (start and length), above them its place.
+_ID, _SPAN = 20, 14
+_NONE, _LAST = (1 << _ID) - 1, (1 << 28) - 1
+#: Bits of a unit's number in its block.
 _NUMBER = 23
 
 _ROWS = "kind string, block long, number long, at int, unit string, doc_ids array<long>, counts binary, units binary"
@@ -60,7 +62,7 @@ class Model:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in self.pieces):
             raise ValueError("the model has pieces over several words")
-        if sp.vocab_size() >= (1 << _ID) - 1 or self.longest >= 1 << _LEN:
+        if sp.vocab_size() >= _NONE or FOLDED * (self.longest + 1) > 1 << _SPAN:
             raise ValueError("the model has too many or too long pieces")
         #: Neighbours within pieces.
         self.pairs = frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
@@ -79,17 +81,23 @@ def _cut(unit: str, pairs: frozenset[str]) -> list[str]:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Small numbers byte plane by byte plane, compressed."""
+    """Numbers of 32 bits, small ones often, compressed: a byte for those below 255, and the others' byte planes after them."""
     import zstandard
 
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    numbers = numbers.astype("<u4")
+    planes = np.ascontiguousarray(numbers[numbers >= 255].view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(3).compress(np.minimum(numbers, 255).astype(np.uint8).tobytes() + planes.tobytes() + len(numbers).to_bytes(8, "little"))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[-8:], "little")
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    planes = np.frombuffer(data, np.uint8, len(data) - n - 8, n).reshape(4, -1)
+    out[out == 255] = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return out
 
 
 def _split(pattern: str, pairs: frozenset[str], longest: int):
@@ -102,7 +110,7 @@ def _split(pattern: str, pairs: frozenset[str], longest: int):
         every = np.concatenate(held) if held else np.empty(0, np.int64)
         # Frequent units get small numbers.
         order = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         every = rank[every]
         counts = np.array(counts, np.int64)
@@ -138,50 +146,55 @@ def _split(pattern: str, pairs: frozenset[str], longest: int):
                 held.append(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)).astype(np.int32))
                 size += len(own)
                 if size >= BLOCK_UNITS:
-                    yield from block(task + number, doc_ids, counts, held, dict(numbers))
+                    yield from block(task + number, doc_ids, counts, held, numbers)
                     doc_ids, counts, held, size, number = [], [], [], 0, number + 1
                     numbers.clear()
         if doc_ids:
-            yield from block(task + number, doc_ids, counts, held, dict(numbers))
+            yield from block(task + number, doc_ids, counts, held, numbers)
 
     return run
 
 
 def lattice(units: DataFrame, model: Model, starts: str = "char_length(unit)") -> DataFrame:
-    """The units' rows, one for each edge: substrings that are pieces, and single code points that aren't.
+    """The units' rows, one for each edge: substrings that are pieces, and single code points, whether they are or not.
 
-    start (from 1), len, and edge: one long, by whose order pieces of better scores come first, then those further left."""
+    start (from 1), len, and edge: one long, by whose order pieces of better scores come first, then those further left; single code points come last."""
     # As many rows as the model has pieces.
     pieces = F.broadcast(model.table(units.sparkSession))
     spans = units.select("*", F.explode(F.expr(f"sequence(1, {starts})")).alias("start"))
     spans = spans.select("*", F.explode(F.expr(f"sequence(1, least({model.longest}, char_length(unit) - start + 1))")).alias("len"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start"), F.col("len"))).join(pieces, "piece", "left").where("id IS NOT NULL OR len = 1")
-    none = (1 << _ID) - 1
-    edge = F.expr(f"shiftleft(cast(coalesce(place, 0) as bigint), {_ID + _LEN + _START}) | shiftleft(cast(start - 1 as bigint), {_ID + _LEN}) | shiftleft(cast(len as bigint), {_ID}) | coalesce(id, {none})")
+    place = f"cast(CASE WHEN len = 1 THEN {_LAST} ELSE place END as bigint)"
+    edge = F.expr(f"shiftleft({place}, {_ID + _SPAN}) | shiftleft(cast((start - 1) * {model.longest + 1} + len as bigint), {_ID}) | coalesce(id, {_NONE})")
     return edges.withColumn("edge", edge).drop("piece", "id", "place")
 
 
-def _fold(first_byte: int) -> str:
-    """Expression for the ids of a unit from its edges, in the order of their scores."""
-    start, length, id_ = f"cast(shiftright(e, {_ID + _LEN}) & {(1 << _START) - 1} as int)", f"cast(shiftright(e, {_ID}) & {(1 << _LEN) - 1} as int)", f"cast(e & {(1 << _ID) - 1} as int)"
-    inner = f"shiftleft(shiftleft(1L, {length} - 1) - 1, {start} + 1)"
-    outer = f"(shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}))"
-    taken = f"m & {outer} = {outer} AND bit_count(m & {inner}) = 1"
-    parts = f"aggregate(filter(edges, e -> {length} > 1), shiftleft(1L, char_length(unit) + 1) - 1, (m, e) -> CASE WHEN {taken} THEN m & ~{inner} ELSE m END)"
-    # The edges that are parts, by their starts.
-    kept = f"array_sort(transform(filter(edges, e -> m & {outer} = {outer} AND m & {inner} = 0), e -> struct({start} as start, {id_} as id)))"
-    as_bytes = f"transform(sequence(0, octet_length(substring(unit, x.start + 1, 1)) - 1), i -> cast(conv(hex(substring(encode(substring(unit, x.start + 1, 1), 'UTF-8'), i + 1, 1)), 16, 10) as int) + {first_byte})"
-    ids = f"transform({kept}, x -> CASE WHEN x.id = {(1 << _ID) - 1} THEN {as_bytes} ELSE array(x.id) END)"
-    return f"flatten(transform(array({parts}), m -> {ids})[0])"
+def _fold(longest: int) -> str:
+    """Expression for a unit's parts from its edges, in the order of their scores: span and id of each, as one long, from left to right.
+
+    A unit's parts begin where the bits of a long are set. An edge is taken if both of its ends and one place between them are set: that place goes."""
+    spans = [(start, n) for start in range(FOLDED) for n in range(longest + 1)]
+    bits = lambda values: "array(" + ", ".join(f"{v % (1 << 62)}L" for v in values) + ")"
+    whole = bits((2 << start + n) - (1 << start) for start, n in spans)
+    inner = bits(max(0, (1 << start + n) - (2 << start)) for start, n in spans)
+    outer = bits((1 << start) | (1 << start + n) for start, n in spans)
+    span = f"shiftright(e, {_ID}) & {(1 << _SPAN) - 1}"
+    joined = "slice(edges, 1, size(edges) - char_length(unit))"
+    taken = f"bit_count(m & {whole}[{span}]) = 3 AND bit_count(m & {inner}[{span}]) = 1"
+    parts = f"aggregate({joined}, shiftleft(2L, char_length(unit)) - 1, (m, e) -> CASE WHEN {taken} THEN m & ~{inner}[{span}] ELSE m END)"
+    kept = f"transform(filter(edges, e -> m & {whole}[{span}] = {outer}[{span}]), e -> e & {(1 << _ID + _SPAN) - 1})"
+    return f"sort_array(transform(array({parts}), m -> {kept})[0])"
 
 
-def _folded_long(first_byte: int):
-    """As _fold(), for one unit of any length: its edges (block, number, at, edge, char) to its ids."""
+def _folded_long(model: Model):
+    longest, first_byte = model.longest, model.bytes[0]
+
+    """As _fold(), for one unit of any length from its tiles' edges (block, number, at, edge, char), and at once its answer as _answers() gives it."""
 
     def run(t: pa.Table) -> pa.Table:
         edge = t["edge"].to_numpy()
-        place, length, id_ = edge >> (_ID + _LEN + _START), (edge >> _ID) & ((1 << _LEN) - 1), edge & ((1 << _ID) - 1)
-        start = t["at"].to_numpy().astype(np.int64) + ((edge >> (_ID + _LEN)) & ((1 << _START) - 1))
+        span = (edge >> _ID) & ((1 << _SPAN) - 1)
+        place, length, start = edge >> (_ID + _SPAN), span % (longest + 1), t["at"].to_numpy().astype(np.int64) + span // (longest + 1)
         end = start + length
         n = int(end.max())
         after, part = list(range(1, n + 1)), [True] * n + [False]
@@ -193,85 +206,108 @@ def _folded_long(first_byte: int):
         kept = np.flatnonzero(np.array(part[:n])[start] & (np.array(after)[start] == end))
         kept = kept[np.argsort(start[kept])]
         chars = t["char"]
-        ids = [x for k in kept.tolist() for x in ([int(id_[k])] if id_[k] != (1 << _ID) - 1 else [b + first_byte for b in chars[k].as_py().encode()])]
-        return pa.table({"ats": pa.array([[(t["block"][0].as_py() << _NUMBER) + t["number"][0].as_py()]], pa.list_(pa.int64())), "ids": pa.array([ids], pa.list_(pa.int32()))})
+        ids = [x for k in kept.tolist() for x in ([int(edge[k] & _NONE)] if edge[k] & _NONE != _NONE else [b + first_byte for b in chars[k].as_py().encode()])]
+        return pa.table({"of": t["block"][:1], **{name: pa.array([_packed(np.array(x))], pa.binary()) for name, x in (("numbers", [t["number"][0].as_py()]), ("counts", [len(ids)]), ("ids", ids))}})
 
     return run
 
 
-def _at() -> str:
-    return f"shiftleft(block, {_NUMBER}) | number"
+_ANSWERS = "of long, numbers binary, counts binary, ids binary"
 
 
 def encode_units(table: DataFrame, model: Model) -> DataFrame:
-    """ats and ids of each distinct unit: the places (block and number) that ask for it, and its ids."""
+    """The ids of each distinct unit, as rows for the blocks that ask for it (of: the block; numbers, counts, ids: packed)."""
     rows = table.where("kind = 'units'")
     tasks = max(partitions(table.sparkSession), -(-rows.count() // TASK_UNITS))
-    units = rows.select("unit", F.expr(_at()).alias("at")).repartition(tasks, "unit").groupBy("unit").agg(F.collect_list("at").alias("ats"))
+    units = rows.select("unit", F.expr(f"shiftleft(block, {_NUMBER}) | number").alias("at")).repartition(tasks, "unit").groupBy("unit").agg(F.collect_list("at").alias("ats"))
     # Only one edge of a unit takes its places along.
     edges = lattice(units.withColumn("u", F.monotonically_increasing_id()), model).select("u", "unit", "edge", F.expr("CASE WHEN start = 1 AND len = 1 THEN ats END").alias("ats"))
     grouped = edges.groupBy("u", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("ats", ignorenulls=True).alias("ats"))
-    folded = grouped.select("ats", F.expr(_fold(model.bytes[0])).alias("ids"))
+    folded = grouped.select("ats", "unit", F.expr(_fold(model.longest)).alias("parts")).mapInArrow(_answers(model), _ANSWERS)
     tiles = lattice(table.where("kind = 'tiles'").select("block", "number", "at", "unit"), model, starts=f"least(char_length(unit), {FOLDED})")
     tiles = tiles.select("block", "number", "at", "edge", F.expr("CASE WHEN len = 1 THEN substring(unit, start, 1) END").alias("char"))
-    return folded.unionByName(tiles.groupBy("block", "number").applyInArrow(_folded_long(model.bytes[0]), "ats array<long>, ids array<int>"))
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ats, ids) of a task's units to a row for each block that asks for some of them."""
-    ats, of, flat, n = [], [], [], []
-    seen = 0
-    for batch in batches:
-        lists, own = batch.column(0), batch.column(1)
-        counts = np.diff(lists.offsets.to_numpy())
-        ats.append(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
-        of.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
-        flat.append(own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()])
-        n.append(np.diff(own.offsets.to_numpy()))
-        seen += len(counts)
-    if not seen:
-        return
-    ats, of, flat, n = (np.concatenate(x).astype(np.int64) for x in (ats, of, flat, n))
-    begin = np.cumsum(n) - n
-    order = np.argsort(ats)
-    ats, of = ats[order], of[order]
-    for part in np.split(np.arange(len(ats)), np.flatnonzero(np.diff(ats >> _NUMBER)) + 1):
-        own = of[part]
-        k, ends = n[own], np.cumsum(n[own])
-        ids = flat[np.repeat(begin[own] - ends + k, k) + np.arange(ends[-1])]
-        numbers = ats[part] & ((1 << _NUMBER) - 1)
-        yield pa.record_batch([pa.array([int(ats[part[0]] >> _NUMBER)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(numbers, prepend=0), k, ids))], names=["of", "numbers", "counts", "ids"])
-
-
-def _gathered(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """One block's documents (doc_ids, counts, units) and its units' ids (numbers, counts, ids) to its documents' ids."""
-    parts = [(np.cumsum(_unpacked(a.as_py())), _unpacked(b.as_py()), _unpacked(c.as_py())) for a, b, c in zip(answers["numbers"], answers["counts"], answers["ids"], strict=True)]
-    number, each, flat = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+    return folded.unionByName(tiles.groupBy("block", "number").applyInArrow(_folded_long(model), _ANSWERS))
+
+
+def _answers(model: Model):
+    """(ats, unit, parts) of a task's units to a row for each block that asks for some of them, with code points without a piece as bytes."""
+    wide, first_byte = model.longest + 1, model.bytes[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ats, of, flat, n = [], [], [], []
+        seen = 0
+        for batch in batches:
+            lists, own = batch.column(0), batch.column(2)
+            counts, k = np.diff(lists.offsets.to_numpy()), np.diff(own.offsets.to_numpy())
+            parts = own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()]
+            ids = parts & _NONE
+            if (ids == _NONE).any():
+                each = np.repeat(np.arange(len(k)), k)
+                bare = np.flatnonzero(ids == _NONE)
+                units = batch.column(1)
+                put, wider = [[x] for x in ids.tolist()], k.copy()
+                for i in bare.tolist():
+                    row = int(each[i])
+                    put[i] = [first_byte + b for b in units[row].as_py()[int(parts[i] >> _ID) // wide].encode()]
+                    wider[row] += len(put[i]) - 1
+                ids, k = np.array([x for p in put for x in p], np.int64), wider
+            ats.append(lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()])
+            of.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
+            flat.append(ids)
+            n.append(k)
+            seen += len(counts)
+        if not seen:
+            return
+        ats, of, flat, n = (np.concatenate(x).astype(np.int64) for x in (ats, of, flat, n))
+        begin = np.cumsum(n) - n
+        order = np.argsort(ats)
+        ats, of = ats[order], of[order]
+        for part in np.split(np.arange(len(ats)), np.flatnonzero(np.diff(ats >> _NUMBER)) + 1):
+            own = of[part]
+            k, ends = n[own], np.cumsum(n[own])
+            ids = flat[np.repeat(begin[own] - ends + k, k) + np.arange(ends[-1])]
+            numbers = ats[part] & ((1 << _NUMBER) - 1)
+            yield pa.record_batch([pa.array([int(ats[part[0]] >> _NUMBER)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(numbers, prepend=0), k, ids))], names=["of", "numbers", "counts", "ids"])
+
+    return run
+
+
+def _gathered(docs: pa.Table, answers: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """One block's documents (doc_ids, counts, units) and its units' ids (numbers, counts, ids) to doc_ids, all their ids, and where each one's end; chunk by chunk."""
+    parts = [(np.cumsum(_unpacked(a.as_py())), _unpacked(b.as_py()), _unpacked(c.as_py()).astype("<u4")) for a, b, c in zip(answers["numbers"], answers["counts"], answers["ids"], strict=True)]
+    number, each, flat = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, "<u4") for i in range(3))
     n = np.zeros(len(number), np.int64)
     begin = np.zeros(len(number), np.int64)
     n[number], begin[number] = each, np.cumsum(each) - each
-    doc_ids, out = [], []
     for ids, counts, units in zip(docs["doc_ids"], docs["counts"], docs["units"], strict=True):
-        own, k = _unpacked(units.as_py()), n[_unpacked(units.as_py())]
-        ends = np.cumsum(k)
-        every = flat[np.repeat(begin[own] - ends + k, k) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
-        edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(_unpacked(counts.as_py()))]]).astype(np.int32)
-        doc_ids += ids.as_py()
-        out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(every)))
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+        own = _unpacked(units.as_py())
+        k = n[own]
+        ends = np.concatenate([[0], np.cumsum(k)])
+        yield ids.as_py(), flat[np.repeat(begin[own] - ends[1:] + k, k) + np.arange(ends[-1])], ends[np.cumsum(_unpacked(counts.as_py()))]
 
 
-def encode(documents: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and ids of each document, as the library gives them without begin and end."""
-    model = Model(model_path)
+def _listed(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    doc_ids, lists = [], []
+    for own, ids, ends in _gathered(docs, answers):
+        doc_ids += own
+        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
+
+
+def _encoded(documents: DataFrame, model: Model, gather, schema: str) -> DataFrame:
     spark = documents.sparkSession
     at = new_folder(spark, "units")
     table = written(texts(documents).mapInArrow(_split(model.unit, model.pairs, model.longest), _ROWS), "units", at=at, by="kind")
-    answers = written(encode_units(table, model).mapInArrow(_answers, "of long, numbers binary, counts binary, ids binary"), "unit-ids")
+    answers = written(encode_units(table, model), "unit-ids")
     docs = table.where("kind = 'documents'").select("block", "doc_ids", "counts", "units")
     dropped(spark, f"{at}/kind=units", f"{at}/kind=tiles")
     # A block is bounded by its scan, so are the two groups that meet here.
-    return docs.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(lambda d, a: _gathered(d, a), "doc_id long, ids array<int>")
+    return docs.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(lambda d, a: gather(d, a), schema)
+
+
+def encode(documents: DataFrame, model_path: str) -> DataFrame:
+    """doc_id and ids of each document, as the library gives them without begin and end."""
+    return _encoded(documents, Model(model_path), _listed, "doc_id long, ids array<int>")
 
 
 def _table(model: Model) -> list[bytes]:
@@ -283,30 +319,37 @@ def _table(model: Model) -> list[bytes]:
     return out
 
 
-def _decoded(table: list[bytes], digests: bool):
-    import hashlib
-    import zlib
+def _text(table: list[bytes], ids: np.ndarray) -> bytes:
+    """Without the space put before a text; bytes that aren't UTF-8 come out as replacement characters."""
+    return b"".join(map(table.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace").encode()
+
+
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id and the text of ids: the pieces' texts with spaces for marks, the bytes of byte pieces; null ids give an empty text."""
+    table = _table(Model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = table.__getitem__
         for batch in batches:
-            lists = [np.asarray(x.values.to_numpy(), "<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column(1)]
-            # Without the space put before a text; bytes that aren't UTF-8 come out as replacement characters.
-            found = [b"".join(map(of, x.tolist()))[1:].decode("utf-8", "replace") for x in lists]
-            if digests:
-                columns = [pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in found], pa.string())]
-                yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
-            else:
-                yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "text"])
+            found = [_text(table, x.values.to_numpy()) if x.is_valid else b"" for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
-    return run
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the text of ids: the pieces' texts with spaces for marks, the bytes of byte pieces, without the space put before a text."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(_table(Model(model_path)), False), "doc_id long, text string")
+def digests(documents: DataFrame, model_path: str) -> DataFrame:
+    """Encodes the documents and decodes the ids again: doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers) and decoded_sha256 (of the ids' text)."""
+    import hashlib
+    import zlib
+
+    model = Model(model_path)
+    table = _table(model)
 
+    def digested(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for doc_ids, ids, ends in _gathered(docs, answers):
+            for doc_id, a, b in zip(doc_ids, [0, *ends.tolist()], ends.tolist(), strict=False):
+                rows.append((doc_id, b - a, zlib.crc32(ids[a:b].tobytes()), hashlib.sha256(_text(table, ids[a:b])).hexdigest()))
+        types = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded_sha256": pa.string()}
+        return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types.items())})
 
-def digest(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers) and decoded_sha256 (of the text that the ids decode to)."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(_table(Model(model_path)), True), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return _encoded(documents, model, digested, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

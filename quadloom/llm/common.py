@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode's White_Space characters, as a class for regular expressions.
@@ -21,13 +21,31 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x2
 _RUN = f"[A-Za-z0-9{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0xFF)}]+(?![^{WHITE}.,!?;:])"
 #: Bytes of text that a task works on at once (one document at least).
 BLOCK_BYTES = 1 << 18
+#: Bytes of a batch of rows for Python (one row at least).
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def texts(documents: DataFrame) -> DataFrame:
-    """doc_id and text alone: other columns, whatever their names, take no part."""
+    """doc_id and text alone: other columns, whatever their names, take no part.
+
+    Bounds the batches that the session sends to Python by bytes, as texts may be of any length."""
+    conf = documents.sparkSession.conf
+    now = conf.get(_BATCH)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(documents: DataFrame) -> Column:
+    """All columns of a row as one, so that none can clash with ours."""
+    return F.struct(*(F.col(quoted(c)) for c in documents.columns)).alias("own")
+
+
 def raw_texts(documents: DataFrame) -> DataFrame:
     """As texts(), but the text as its UTF-8 bytes."""
     return texts(documents).select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -56,8 +74,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return at
 
 
-#: Settings while a table is written: its shuffle files go afterwards, and batches for Python are bounded by bytes, for texts of any length.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, label: str, *, at: str | None = None, by: str | None = None) -> DataFrame:
@@ -67,22 +84,22 @@ def written(df: DataFrame, label: str, *, at: str | None = None, by: str | None
     needed any more and go at once."""
     spark = df.sparkSession
     at = at or new_folder(spark, label)
-    held = {k: spark.conf.get(k) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
+    held = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
     try:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(at)
     finally:
-        for k, v in held.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(at)
+        spark.conf.set(_RELEASE, held)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.folder = at
+    return out
 
 
-def dropped(spark: SparkSession, *folders: str) -> None:
-    """Deletes tables whose successors are written."""
-    for at in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of written(), or folders, whose successors are written."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table.folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import written
+from quadloom.llm.common import dropped, written
 
 
 def components(edges: DataFrame, nodes: DataFrame, *, start: DataFrame | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, nodes: DataFrame, *, start: DataFrame | None =
     else:
         known = start.select("node", F.struct(F.col("root_rank").alias("rank"), F.col("root").alias("node")).alias("known"))
         labels = nodes.join(known, "node", "left").select("node", F.coalesce("known", own).alias("label"))
-    labels = written(labels, "labels")
+    held = labels = written(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         roots = labels.select("node", F.col("label.node").alias("root"), "label")
@@ -32,6 +32,8 @@ def components(edges: DataFrame, nodes: DataFrame, *, start: DataFrame | None =
         jump = step.select(F.col("node").alias("via"), F.col("new").alias("far"))
         after = step.join(jump, F.col("new.node") == jump.via, "left").select("node", "label", F.coalesce(F.least("new", "far"), "new").alias("new"))
         after = written(after, "labels")
-        labels = after.select("node", F.col("new").alias("label"))
+        dropped(edges.sparkSession, held)
+        held, labels = after, after.select("node", F.col("new").alias("label"))
         if after.where(F.col("new") != F.col("label")).isEmpty():
+            dropped(edges.sparkSession, both)
             return labels.select("node", F.col("label.node").alias("root"), F.col("label.rank").alias("root_rank"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import texts
+from quadloom.llm.common import texts, whole_rows
 
 #: N-grams counted at once.
 CHUNK = 1 << 19
@@ -148,7 +148,7 @@ def predict(documents: DataFrame, found: dict[str, list[int]], *, size: int = 30
 def identified(documents: DataFrame, *, least: float = 0.2, size: int = 300, train_docs: int = 2000) -> DataFrame:
     """The documents, all columns, that have a language with a score of `least` or more; the rows stay where they are."""
     found = profiles(_labelled(documents), size=size, train_docs=train_docs)
-    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.col("text").cast("string").alias("text"))
+    own = documents.select(whole_rows(documents), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_identified(found, size, least, 1), own.schema).select("own.*")
 
 

@@ -9,7 +9,8 @@ Documents with equal sets (by a 128-bit digest) are one class and one node from
 meet each other. In a bucket, members are first compared with the one that shares most buckets with others (a
 star, not all pairs); then with the best member of another component; when stars no longer
 join much, members that are still in different components are compared: all pairs of small buckets as rows,
-those of large ones in tiles of bounded size, of which only the links come out. So any two
+those of large ones in tiles of bounded bytes, of which only the links come out. What is told of a bucket goes to its members by
+bucket and salt, so large buckets are no hot keys. So any two
 nodes that share a bucket are either linked, connected by links, or found unlike by their full sets. A pair at
 the threshold of 0.85 misses all 25 bands of 5 with a chance of 4e-7.
 
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import blocks, mix, raw_texts, window_hashes, word_hashes, written
+from quadloom.llm.common import blocks, dropped, mix, raw_texts, whole_rows, window_hashes, word_hashes, written
 from quadloom.llm.graph import components
 
 BANDS, ROWS = 25, 5
 LAST = 0x7FFFFFFFFFFFFFFF
-#: Members up to which all pairs of a bucket become rows, and members of larger buckets that are compared at once.
-SMALL, TILE = 16, 512
+#: Members up to which all pairs of a bucket become rows, and bytes of sets of larger buckets that make one tile (one set at least).
+SMALL, TILE_BYTES = 16, 1 << 20
+#: A bucket's members are dealt to so many keys, so that none gets all of a large bucket.
+SALTS = 256
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -162,15 +165,30 @@ def _compared(percent: int):
     return run
 
 
+def _told(rows: DataFrame, first: dict[str, str], then: dict[str, str]) -> DataFrame:
+    """Figures of each bucket, as a row for each (bucket, salt) that it has: `first` of its salts, then those of the bucket."""
+    by_salt = rows.groupBy("bucket", "salt").agg(*(F.expr(c).alias(k) for k, c in first.items()))
+    whole = by_salt.groupBy("bucket").agg(*(F.expr(c).alias(k) for k, c in then.items()), F.collect_list("salt").alias("salts"))
+    return whole.select("bucket", F.explode("salts").alias("salt"), *then)
+
+
+_PLACE = ["bucket", "salt"]
+_SPAN = {"least": "min(root)", "most": "max(root)"}
+_WHOLE_SPAN = {"least": "min(least)", "most": "max(most)"}
+
+
 def _within_large(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members in different components of buckets (bucket, node, root) of any size.
-
-    A bucket's members in its most frequent component (which need no comparing with one another) and the others are dealt into
-    tiles of about TILE; a pair of tiles is one group, so groups are bounded and the rows sent grow with the others' tiles."""
-    main = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
-    main = main.select("bucket", F.col("m.root").alias("main"), F.ceil(F.col("m.n") / TILE).cast("int").alias("in_main"), F.ceil((F.col("n") - F.col("m.n")) / TILE).cast("int").alias("others"))
-    chance = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    own = open_.join(main, "bucket").withColumn("tile", F.when(F.col("root") == F.col("main"), -1 - chance(F.col("in_main"))).otherwise(chance(F.col("others"))))
+    """Links between members in different components of buckets (bucket, salt, node, size, root) of any size.
+
+    A bucket's members in its heaviest component (which need no comparing with one another) and the others are dealt into
+    tiles of about TILE_BYTES; a pair of tiles is one group, so groups are bounded and the rows sent grow with the others' tiles."""
+    by_root = open_.groupBy("bucket", "root").agg(F.sum("size").alias("n"))
+    main = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+    tiles = lambda n: F.ceil(n * 8 / TILE_BYTES).cast("int")
+    main = main.select("bucket", F.col("m.root").alias("main"), tiles(F.col("m.n")).alias("in_main"), tiles(F.col("n") - F.col("m.n")).alias("others"))
+    main = main.join(open_.select(*_PLACE).distinct(), "bucket")
+    chance = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
+    own = open_.join(main, _PLACE).withColumn("tile", F.when(F.col("root") == F.col("main"), -1 - chance(F.col("in_main"))).otherwise(chance(F.col("others"))))
     every = F.sequence(F.lit(0), F.col("others") - 1)
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     with_main = F.transform(F.sequence(F.lit(1), F.col("in_main")), lambda m: pair(F.col("tile"), -m))
@@ -188,11 +206,12 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """The documents, all columns, less those whose component has a document with a lesser doc_id."""
     gone = _grouped(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
+    own = documents.select(whole_rows(documents), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
     return own.join(gone, own.id.eqNullSafe(gone._id) & (own.key == gone._key), "left_anti").select("own.*")
 
 
 def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 2) -> DataFrame:
+    spark = documents.sparkSession
     docs = raw_texts(documents)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     scanned = written(keyed.mapInArrow(_scan(shingle_words, bands, rows), "doc_id long, key long, n_shingles long, digest binary, bands array<long>"), "shingles")
@@ -200,13 +219,16 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
     classes = scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(rank.alias("rank"), "key")).alias("lead"), F.max("n_shingles").alias("size"), F.min("bands").alias("bands"))
     classes = written(classes.select("digest", "lead.rank", "lead.key", "size", "bands", F.monotonically_increasing_id().alias("node")), "classes")
 
-    placed = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(placed.join(shared, "bucket"), "members")
-    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    members = written(members.join(weight, "node").select("bucket", "node", "size", "weight"), "members")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+    placed = classes.select("node", "size", salt, F.explode("bands").alias("bucket"))
+    shared = _told(placed, {"n": "count(*)"}, {"members": "sum(n)"}).where("members > 1")
+    alone = written(placed.join(shared, _PLACE), "members")
+    weight = alone.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = written(alone.join(weight, "node").select(*_PLACE, "node", "size", "weight"), "members")
+    dropped(spark, alone)
+    weight = members.select("node").distinct()
 
-    some = classes.join(weight.select("node"), "node").select("rank", "key", "node", "digest", "bands")
+    some = classes.join(weight, "node").select("rank", "key", "node", "digest", "bands")
     ranked = keyed.select(rank.alias("rank"), "key", "text").join(some, ["rank", "key"])
     sets = written(ranked.select("rank", "text", "node", "digest", "bands").mapInArrow(_candidates(shingle_words), "node long, shingles binary, bands array<long>"), "sets")
     nodes = some.select("node", "rank")
@@ -216,47 +238,43 @@ def _grouped(documents: DataFrame, *, shingle_words: int = 3, percent: int = 85,
     for _ in range(star_rounds):
         now = members.withColumn("root", F.col("node")) if labels is None else members.join(labels.select("node", "root"), "node")
         # The heaviest member of each bucket; later, of those in another component than the bucket's least one.
-        open_ = now
-        if labels is not None:
-            span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-            open_ = now.join(span, "bucket")
-        heads = open_ if labels is None else open_.where("root <> least")
-        head = heads.groupBy("bucket").agg(F.max(F.struct("weight", "node", "size", "root")).alias("h"))
-        head = head.select("bucket", F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.root").alias("other_root"))
-        pairs = open_.join(head, "bucket").where((F.col("node") != F.col("other")) & fits)
+        head = "struct(weight, node, size, root)"
         if labels is not None:
-            pairs = pairs.where("root <> other_root")
+            now = written(now.join(_told(now, _SPAN, _WHOLE_SPAN).where("least < most"), _PLACE), "open")
+            head = f"CASE WHEN root <> least THEN {head} END"
+        heads = _told(now, {"h": f"max({head})"}, {"h": "max(h)"}).select(*_PLACE, F.col("h.node").alias("other"), F.col("h.size").alias("other_size"), F.col("h.root").alias("other_root"))
+        pairs = now.join(heads, _PLACE).where((F.col("root") != F.col("other_root")) & fits)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        if labels is not None:
+            dropped(spark, now)
         if pairs.isEmpty():
             # Other members of the buckets may still fit one another; so each node is its own root.
             if labels is None:
                 labels = written(nodes.select("node", F.col("node").alias("root"), F.col("rank").alias("root_rank")), "labels")
-                tried = pairs
             break
-        tried = pairs if tried is None else tried.union(pairs)
         found = written(_links(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
-        labels = components(links, nodes) if labels is None else components(links, nodes, start=labels)
-        if labels is not None:
-            whole = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("root_rank", "rank").alias("root_rank"))
-            labels = written(whole, "labels")
-    if labels is not None:
-        now = members.join(labels.select("node", "root"), "node")
-        span = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "n")
-        open_ = written(now.join(span, "bucket").select("bucket", "node", "size", "root", "n"), "open")
-        few = open_.where(F.col("n") <= SMALL)
-        other = few.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-        pairs = few.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits)
-        pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        large = open_.where(F.col("n") > SMALL).select("bucket", "node", "root")
-        found = written(_links(pairs, sets, percent).union(_within_large(large, sets, percent)), "links")
-        if not found.isEmpty():
-            labels = components(found if links is None else links.union(found), nodes, start=labels)
+        known = components(links, nodes, start=labels)
+        whole = nodes.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("root_rank", "rank").alias("root_rank"))
+        labels = written(whole, "labels")
+    now = members.join(labels.select("node", "root"), "node")
+    span = _told(now, _SPAN | {"n": "count(*)"}, _WHOLE_SPAN | {"n": "sum(n)"}).where("least < most").select(*_PLACE, "n")
+    open_ = written(now.join(span, _PLACE).select(*_PLACE, "node", "size", "root", "n"), "open")
+    few = open_.where(F.col("n") <= SMALL)
+    other = few.select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+    pairs = few.join(other, "bucket").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & fits)
+    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    large = open_.where(F.col("n") > SMALL).select(*_PLACE, "node", "size", "root")
+    found = written(_links(pairs, sets, percent).union(_within_large(large, sets, percent)), "links")
+    if not found.isEmpty():
+        labels = components(found if links is None else links.union(found), nodes, start=labels)
+    dropped(spark, sets, members, open_)
     of_class = classes.select("digest", "rank", "node")
-    of_class = of_class.select("digest", "rank").withColumn("least", F.col("rank")) if labels is None else of_class.join(labels, "node", "left").select("digest", F.coalesce("root_rank", "rank").alias("least"))
+    of_class = of_class.join(labels, "node", "left").select("digest", F.coalesce("root_rank", "rank").alias("least"))
     of_class = of_class.select("digest", F.when(F.col("least") != LAST, F.col("least")).alias("least"))
     out = scanned.select("doc_id", "key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))

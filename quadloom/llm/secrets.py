@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import written
+from quadloom.llm.common import whole_rows, written
 
 SCOPE = 200
 #: Kinds in the order in which spans with one start are listed.
@@ -111,7 +111,7 @@ def secret_report(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
 def redacted(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """The documents, all columns, each run of overlapping spans in their texts replaced by its first kind in brackets."""
     some = find_secrets(documents, scope=scope).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all").alias("_spans")).distinct()
-    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.md5(F.col("text").cast("string")).alias("key"))
+    own = documents.select(whole_rows(documents), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.md5(F.col("text").cast("string")).alias("key"))
     out = own.join(some, own.id.eqNullSafe(some._id) & (own.key == some._key), "left")
     cut = """aggregate(_spans, struct('' as done, 0L as at),
         (acc, s) -> CASE WHEN s.start >= acc.at

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import Block, blocks, mix, raw_texts, window_hashes, word_hashes, written
+from quadloom.llm.common import Block, blocks, mix, raw_texts, whole_rows, window_hashes, word_hashes, written
 
 ANCHOR_WORDS = 5
 LAST = 0x7FFFFFFFFFFFFFFF
@@ -204,6 +204,6 @@ def without_repeats(documents: DataFrame, *, window: int = 20) -> DataFrame:
     some = left.select("rank", "key", F.decode("kept", "UTF-8").alias("kept")).union(copies)
     some = some.groupBy(F.col("rank").alias("_rank"), F.col("key").alias("_key")).agg(F.min("kept").alias("_kept"))
     # One join by what a row's own text says about it, its id and its hash.
-    own = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"))
+    own = documents.select(whole_rows(documents), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"))
     text = F.coalesce("_kept", F.col("own.text"))
     return own.join(some, ["_rank", "_key"], "left").select(F.col("own").withField("text", text).alias("own")).select("own.*")

@@ -133,7 +133,7 @@ def test_empty_tables(none):
 
 def test_large_buckets_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 1)
-    monkeypatch.setattr(near_dup, "TILE", 5)
+    monkeypatch.setattr(near_dup, "TILE_BYTES", 5 * 100 * 8)
     r = np.random.default_rng(9)
     base, rows = [f"b{x}" for x in range(100)], []
     for k in range(70):

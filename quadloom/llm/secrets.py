@@ -8,12 +8,16 @@ as parts too. This is an interval join over buckets of `scope` code points, with
 last start of a class instead of all its parts, so its rows grow with the number of parts and not with pairs.
 
 Places are counted in code points, ends exclusive. Matches of a kind come leftmost first and don't overlap; weak spans
-that overlap a strong one are left out. A null text counts as empty and has no spans; each row stands for itself.
+that overlap a strong one are left out. A null text counts as empty and has no spans; each row stands for itself, an empty table has no
+rows, extra columns of any name take no part, and the time for a text grows with its length and its number of matches alone.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import whole_rows, written
@@ -21,45 +25,68 @@ from quadloom.llm.common import whole_rows, written
 SCOPE = 200
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
+_NAME, _VALUE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+"
+# Matches of a run of characters begin where the run does, so nothing is tried within runs.
 PATTERNS = {
-    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-    "access": r"AKIA[A-Z0-9]{16,}",
-    "hex": r"[0-9a-f]{24,}",
-    "weak_id": r"""(?:AKIA|ASIA)[A-Z0-9]{4,}|\b(?i:username|user|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
-    "weak_secret": r"[A-Za-z0-9+/_-]{16,}",
-    "endpoint": r"""\bhttps?://[^\s"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,4}:[0-9]{2,5}\b""",
+    "access": r"AKIA[A-Z0-9]{16,}+",
+    "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
+    "weak_id": r"""(?:AKIA|ASIA)[A-Z0-9]{4,}+|\b(?i:username|user|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+""",
+    "weak_secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
+    "endpoint": r"""\bhttps?://[^\s"'<>]++|(?<![A-Za-z0-9.-])[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){1,4}+:[0-9]{2,5}\b""",
 }
+#: What a text must hold, as it is or in lower case, for a pattern to match: looked for first, as it costs little.
+_NEEDS = {"assign": ((), ("passw", "secret", "token", "api")), "access": (("AKIA",), ()), "weak_id": (("AKIA", "ASIA"), ("user", "login", "account", "client")), "endpoint": ((":",), ())}
 _ID, _SECRET, _ENDPOINT = 1, 2, 4
 _PART = {"assign": _SECRET, "access": _ID, "hex": _SECRET, "weak_id": _ID, "weak_secret": _SECRET, "endpoint": _ENDPOINT}
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
+#: Put around matches; a text's own are taken for another code point, which no pattern tells from it.
+_MARK, _OTHER = chr(0xFDD0), chr(0xFDD1)
+
+
+def _marked(kind: str) -> Column:
+    """The text with marks around each match, so that it splits into gap, match, gap, match, ..., gap; a value assigned is a part of its own. Null if no match can be there."""
+    if kind == "assign":
+        pattern, put = f"({_NAME})({_VALUE})", f"{_MARK}$1{_MARK}$2{_MARK}"
+    else:
+        pattern, put = PATTERNS[kind], f"{_MARK}$0{_MARK}"
+    own = F.when(F.contains(F.col("text"), F.lit(_MARK)), F.translate("text", _MARK, _OTHER)).otherwise(F.col("text"))
+    out = F.regexp_replace(own, pattern, put)
+    if kind in _NEEDS:
+        cased, lower = _NEEDS[kind]
+        some = [F.contains(F.col("text"), F.lit(x)) for x in cased] + [F.contains(F.lower("text"), F.lit(x)) for x in lower]
+        out = F.when(functools.reduce(Column.__or__, some), out)
+    return out
+
+
 def _places(kind: str) -> Column:
-    """The matches' places from the lengths of the gaps and of the matches, by running sums over blocks of 256."""
-    pairs = f"transform(m_{kind}, (m, i) -> struct(cast(char_length(gaps_{kind}[i]) as bigint) as g, cast(char_length(m) as bigint) as m))"
-    block = f"""aggregate(slice(p, b * 256 + 1, 256), struct(0L as at, cast(array() as {_SPANS}) as found),
-        (acc, x) -> struct(acc.at + x.g + x.m as at, concat(acc.found, array(struct(acc.at + x.g as start, acc.at + x.g + x.m as end))) as found))"""
-    blocks = f"transform(transform(array({pairs}), p -> transform(sequence(0, (size(p) - 1) div 256), b -> {block})), d -> d)[0]"
-    joined = f"""aggregate({blocks}, struct(0L as at, cast(array() as {_SPANS}) as found),
-        (acc, d) -> struct(acc.at + d.at as at, concat(acc.found, transform(d.found, s -> struct(s.start + acc.at as start, s.end + acc.at as end))) as found), acc -> acc.found)"""
-    return F.expr(f"CASE WHEN size(m_{kind}) > 0 THEN {joined} ELSE cast(array() as {_SPANS}) END")
+    """The places of a kind's matches: running sums over the lengths of the parts, by blocks of 256 matches.
+
+    What depends on the text is bound to a variable before a loop over matches begins, so the text is split once."""
+    n, match, ok = 2, "char_length(p[2 * i + 1])", "true"
+    if kind == "assign":
+        n, match, ok = 3, "char_length(p[3 * i + 1]) + char_length(p[3 * i + 2])", "char_length(p[3 * i + 2]) >= 6"
+    if kind == "weak_secret":
+        ok = "p[2 * i + 1] RLIKE '[0-9]' AND p[2 * i + 1] RLIKE '[A-Za-z]'"
+    pairs = f"transform(sequence(0, (size(p) - 1) div {n} - 1), i -> struct(cast(char_length(p[{n} * i]) as bigint) as g, cast({match} as bigint) as m, {ok} as ok))"
+    block = f"""aggregate(slice(q, b * 256 + 1, 256), struct(0L as at, cast(array() as {_SPANS}) as found),
+        (acc, x) -> struct(acc.at + x.g + x.m as at, CASE WHEN x.ok THEN concat(acc.found, array(struct(acc.at + x.g as start, acc.at + x.g + x.m as end))) ELSE acc.found END as found))"""
+    blocks = f"transform(sequence(0, (size(q) - 1) div 256), b -> {block})"
+    shifted = f"""aggregate({blocks}, struct(0L as at, cast(array() as array<{_SPANS}>) as found),
+        (acc, d) -> struct(acc.at + d.at as at, concat(acc.found, array(transform(d.found, s -> struct(s.start + acc.at as start, s.end + acc.at as end)))) as found), acc -> flatten(acc.found))"""
+    whole = f"transform(array({pairs}), q -> {shifted})[0]"
+    split = f"transform(array(split(t, '{_MARK}', -1)), p -> {whole})[0]"
+    return F.expr(f"transform(array(marked_{kind}), t -> CASE WHEN contains(t, '{_MARK}') THEN {split} ELSE cast(array() as {_SPANS}) END)[0]")
 
 
 def _matched(documents: DataFrame) -> DataFrame:
     """doc_id, key (the text's hash) and the spans of each kind, as arrays; nothing is linked yet."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     one = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    two = one.select("*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in PATTERNS.items()))
-    gaps = {k: F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)) for k, p in PATTERNS.items()}
-    values = F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", F.lit(PATTERNS["assign"]), F.lit(1)))
-    three = two.select("doc_id", F.md5("text").alias("key"), *(f"m_{k}" for k in KINDS), values.alias("values"), *(g.alias(f"gaps_{k}") for k, g in gaps.items()))
-    four = three.select("doc_id", "key", "values", "m_weak_secret", *(_places(k).alias(k) for k in KINDS))
-    long_values = F.expr("filter(assign, (s, i) -> char_length(values[i]) >= 6)")
-    mixed = F.expr(r"filter(weak_secret, (s, i) -> m_weak_secret[i] RLIKE '[0-9]' AND m_weak_secret[i] RLIKE '[A-Za-z]')")
-    five = four.select("doc_id", "key", long_values.alias("assign"), "access", "hex", "weak_id", mixed.alias("weak_secret"), "endpoint")
-    clear = "filter({0}, w -> NOT exists(concat(assign, access, hex), s -> s.start < w.end AND w.start < s.end))"
-    return five.select("doc_id", "key", "assign", "access", "hex", *(F.expr(clear.format(k)).alias(k) for k in ("weak_id", "weak_secret", "endpoint")))
+    two = one.select("doc_id", F.md5("text").alias("key"), *(_marked(k).alias(f"marked_{k}") for k in KINDS))
+    return two.select("doc_id", "key", *(_places(k).alias(k) for k in KINDS))
 
 
 def _as_parts(n: int, kind: str) -> Column:
@@ -71,10 +98,16 @@ def _as_listed(n: int, kind: str) -> Column:
 
 
 def _linked(found: DataFrame, scope: int) -> DataFrame:
-    """row and the weak spans (start, place in KINDS, kind, end) that have complementary parts within the scope."""
+    """row and the weak spans (start, place in KINDS, kind, end) that no strong span overlaps and that have complementary parts within the scope."""
     ids, secrets = "(size(access) + size(weak_id))", "(size(assign) + size(hex) + size(weak_secret))"
     some = found.where(f"size(weak_id) + size(weak_secret) + size(endpoint) > 0 AND ({ids} > 0 OR size(endpoint) > 0) AND {secrets} > 0")
-    parts = some.select("row", F.explode(F.concat(*(_as_parts(n, k) for n, k in enumerate(KINDS)))).alias("p")).select("row", "p.*").withColumn("bucket", F.expr(f"start div {scope}"))
+    parts = some.select("row", F.explode(F.concat(*(_as_parts(n, k) for n, k in enumerate(KINDS)))).alias("p")).select("row", "p.*")
+    # A strong span that begins before a weak one or with it and ends in it, or the next one that begins, if it does so in it.
+    strong = lambda c: F.when(F.col("kind") < 3, F.col(c))
+    before = F.coalesce(F.max(strong("end")).over(W.partitionBy("row").orderBy("start")) > F.col("start"), F.lit(False))
+    after = F.coalesce(F.min(strong("start")).over(W.partitionBy("row").orderBy(F.desc("start"))) < F.col("end"), F.lit(False))
+    parts = parts.withColumn("hit", before | after).where("kind < 3 OR NOT hit").withColumn("bucket", F.expr(f"start div {scope}"))
+    parts = written(parts.select("row", "start", "end", "kind", "part", "bucket"), "parts")
     ends = parts.groupBy("row", "bucket", "part").agg(F.min("start").alias("least"), F.max("start").alias("most"))
     weak = parts.where(F.col("kind") >= 3).withColumn("near", F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)")))
     ends = ends.select("row", F.col("bucket").alias("near"), F.col("part").alias("other"), "least", "most")

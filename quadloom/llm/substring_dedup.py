@@ -9,7 +9,8 @@ always lie at the same place of paths with the same anchor. Then, by joins:
    whole, so a path that doesn't branch (its anchor has no other content) is settled as one row;
 3. where an anchor has several contents, the paths branch, and their earliest places are opened into single
    windows, each of which keeps its earliest source coordinates (document, start);
-4. the repeated spans go back to their documents, whose words they cover are removed.
+4. paths that follow each other, in their document and at the source of their copies, become one longer path;
+5. these repeated spans go back to their documents, whose words they cover are removed.
 
 Documents with the same words are one class: the one with the least doc_id stands for it, all words of the others
 repeat. "Earlier" is by doc_id, then start; rows with the same doc_id and words are one document, those with the
@@ -25,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import Block, blocks, mix, raw_texts, whole_rows, window_hashes, word_hashes, written
+from quadloom.llm.common import Block, blocks, dropped, mix, raw_texts, whole_rows, window_hashes, word_hashes, written
 
 ANCHOR_WORDS = 5
 LAST = 0x7FFFFFFFFFFFFFFF
@@ -74,21 +76,19 @@ _PATHS = "anchor long, content long, rank long, tie long, start long, n long, lo
 
 
 def _repeatable(k: int):
-    """(rank, text, digest, tie, repeated anchors) to the paths of these anchors."""
+    """(rank, text, tie, repeated anchors) to the paths of these anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks, ties = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            digests = batch.column(2)
+            ranks, ties = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for i, _, b in blocks(batch):
                 begin, n, anchors, words = _paths(b, k)
                 windows = window_hashes(words, k)
                 cut = np.searchsorted(begin, b.first)
                 take = []
                 for d in range(b.n_docs):
-                    if hashlib.sha256(b" ".join(_words(b, d))).digest() == digests[i + d].as_py():
-                        own = np.arange(cut[d], cut[d + 1])
-                        take.append(own[np.isin(anchors[own].view(np.int64), batch.column(4)[i + d].values.to_numpy())])
+                    own = np.arange(cut[d], cut[d + 1])
+                    take.append(own[np.isin(anchors[own].view(np.int64), batch.column(3)[i + d].values.to_numpy())])
                 take = np.concatenate(take) if take else np.empty(0, np.int64)
                 if not len(take):
                     continue
@@ -121,27 +121,20 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x) for x in (anchor, np.concatenate(held) if held else np.empty(0, np.int64), rank, tie, start + place)], names=["anchor", "window", "rank", "tie", "start"])
 
 
-def _cut(k: int):
-    """(rank, text, digest, tie, key, starts, ns) to what is left of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(i) for i in range(7)), strict=True):
-                rank, text, digest, tie, key, starts, ns = (x.as_py() if c not in (5, 6) else x.values.to_numpy() for c, x in enumerate(row))
-                words = (text or b"").split()
-                if hashlib.sha256(b" ".join(words)).digest() != digest:
-                    continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + ns + k - 1, -1)
-                left = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                kept = b" ".join([words[w] for w in left.tolist()])
-                out.append((rank, tie, key, len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept))
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["rank", "tie", "key", "n_removed", "kept_sha256", "kept"])
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, text, tie, starts, ends) to what is left of the text."""
+    for batch in batches:
+        out = []
+        for rank, text, tie, starts, ends in zip(*(batch.column(i) for i in range(5)), strict=True):
+            words = (text.as_py() or b"").split()
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, starts.values.to_numpy(), 1)
+            np.add.at(edge, ends.values.to_numpy(), -1)
+            left = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+            kept = b" ".join([words[w] for w in left.tolist()])
+            out.append((rank.as_py(), tie.as_py(), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["rank", "tie", "n_removed", "kept_sha256", "kept"])
 
 
 def _tie(digest: str = "digest") -> Column:
@@ -149,38 +142,52 @@ def _tie(digest: str = "digest") -> Column:
 
 
 def _decided(documents: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's class (doc_id, key: its text's hash, n_words, rank, tie, digest, first: the class's least rank), and what is left of the texts that lose some of their words."""
+    """Each row's class (doc_id, key: its text's hash, n_words, rank, tie, digest, first: the class's least rank), and what is left of the texts that lose some of their words (rank, tie)."""
+    spark = documents.sparkSession
     rank = F.coalesce("doc_id", F.lit(LAST)).alias("rank")
-    docs = raw_texts(documents)
-    scanned = written(docs.select("doc_id", "text", F.md5("text").alias("key")).mapInArrow(_scan(k), "doc_id long, key string, n_words long, digest binary, anchors array<long>, again array<tinyint>"), "anchors")
+    docs = raw_texts(documents).select("doc_id", rank, "text", F.md5("text").alias("key"))
+    scanned = written(docs.select("doc_id", "text", "key").mapInArrow(_scan(k), "doc_id long, key string, n_words long, digest binary, anchors array<long>, again array<tinyint>"), "anchors")
     rows = scanned.select("doc_id", "key", "n_words", rank, _tie().alias("tie"), "digest")
-    firsts = rows.groupBy("digest").agg(F.min("rank").alias("first"))
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("lead")).select("digest", F.col("lead.rank").alias("first"), F.col("lead.key").alias("lead_key"))
 
     anchors = scanned.select(rank, _tie().alias("tie"), F.explode(F.arrays_zip("anchors", "again")).alias("x")).select("rank", "tie", F.col("x.anchors").alias("anchor"), F.col("x.again").alias("again"))
-    # Copies have one tie, so they don't make their anchors repeat.
+    # Copies have one tie, so they don't make their anchors repeat. What rows are joined with is written first, so that Spark can split the rows of a frequent key.
     repeated = anchors.groupBy("anchor").agg(F.min("tie").alias("a"), F.max("tie").alias("b"), F.max("again").alias("again")).where("a < b OR again > 0").select("anchor")
+    repeated = written(repeated, "repeated")
     marked = anchors.select("anchor", "rank", "tie").join(repeated, "anchor", "left_semi").groupBy("rank", "tie").agg(F.collect_set("anchor").alias("anchors"))
-    leaders = rows.join(firsts.withColumnRenamed("first", "rank"), ["digest", "rank"], "left_semi").select("rank", "tie", "digest").distinct()
-    marked = written(marked.join(leaders, ["rank", "tie"]).select("rank", "tie", "digest", "anchors"), "marked")
+    leaders = firsts.select(F.col("first").alias("rank"), _tie().alias("tie"), F.col("lead_key").alias("key"))
+    marked = written(marked.join(leaders, ["rank", "tie"]), "marked")
+    dropped(spark, repeated)
 
-    keyed = docs.select(rank, "text")
-    paths = keyed.join(marked, "rank").select("rank", "text", "digest", "tie", "anchors").mapInArrow(_repeatable(k), _PATHS)
+    # A null doc_id has many rows, so texts are found by their hashes too.
+    keyed = docs.select("rank", "key", "text")
+    paths = keyed.join(marked, ["rank", "key"]).select("rank", "text", "tie", "anchors").mapInArrow(_repeatable(k), _PATHS)
     paths = written(paths, "paths")
     place = F.struct("rank", "tie", "start")
-    earliest = paths.groupBy("anchor", "content").agg(F.min(place).alias("earliest"), F.max("loops").alias("loops"))
-    branching = earliest.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("loops").alias("loops")).where("contents > 1 OR loops").select("anchor")
-    earliest = written(earliest.select("anchor", "content", "earliest"), "earliest")
-    known = paths.join(earliest, ["anchor", "content"])
-    whole = known.where(place != F.col("earliest")).select("rank", "tie", "start", "n")
-    heads = known.where(place == F.col("earliest")).join(branching, "anchor", "left_semi").select("anchor", "rank", "tie", "start", "windows")
+    earliest = written(paths.groupBy("anchor", "content").agg(F.min(place).alias("earliest"), F.max("loops").alias("loops")), "earliest")
+    branching = written(earliest.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("loops").alias("loops")).where("contents > 1 OR loops").select("anchor"), "branching")
+    known = paths.join(earliest.drop("loops"), ["anchor", "content"])
+    whole = known.where(place != F.col("earliest")).select("rank", "tie", "start", "n", "earliest")
+    heads = known.where(place == F.col("earliest")).select("anchor", "rank", "tie", "start", "windows").join(branching, "anchor", "left_semi")
     windows = written(heads.mapInArrow(_opened, "anchor long, window long, rank long, tie long, start long"), "windows")
-    source = windows.groupBy("anchor", "window").agg(F.min(place).alias("earliest"))
-    single = windows.join(source, ["anchor", "window"]).where(place != F.col("earliest")).select("rank", "tie", "start", F.lit(1).cast("long").alias("n"))
-    spans = whole.union(single).groupBy("rank", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spans = written(spans.select("rank", "tie", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns")).join(marked.select("rank", "tie", "digest"), ["rank", "tie"]), "spans")
-    hit = keyed.join(spans, "rank").select("rank", "text", "digest", "tie", F.md5("text").alias("key"), "starts", "ns")
-    left = hit.mapInArrow(_cut(k), "rank long, tie long, key string, n_removed long, kept_sha256 string, kept binary")
-    return rows.join(firsts, "digest"), left
+    source = windows.groupBy("anchor", "window").agg(F.min(place).alias("earliest"), F.max(place).alias("last")).where("earliest < last").drop("last")
+    source = written(source, "sources")
+    single = windows.join(source, ["anchor", "window"]).where(place != F.col("earliest")).select("rank", "tie", "start", F.lit(1).cast("long").alias("n"), "earliest")
+    spans = _compacted(whole.union(single), k).groupBy("rank", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = written(spans.join(leaders, ["rank", "tie"]).select("rank", "key", "tie", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")), "spans")
+    dropped(spark, marked, paths, earliest, branching, windows, source)
+    left = keyed.join(spans, ["rank", "key"]).select("rank", "text", "tie", "starts", "ends").mapInArrow(_cut, "rank long, tie long, n_removed long, kept_sha256 string, kept binary")
+    return rows.join(firsts.drop("lead_key"), "digest"), left
+
+
+def _compacted(spans: DataFrame, k: int) -> DataFrame:
+    """Paths and windows (rank, tie, start, n windows, earliest: the place of the same windows) that follow each other both where
+    they are and at their source, as one span of words (rank, tie, start, end, source) each."""
+    along = W.partitionBy("rank", "tie", "source", "shift").orderBy("start")
+    own = spans.select("rank", "tie", "start", (F.col("start") + F.col("n")).alias("next"), F.struct("earliest.rank", "earliest.tie").alias("source"), (F.col("start") - F.col("earliest.start")).alias("shift"))
+    new = F.when(F.max("next").over(along.rowsBetween(W.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1)
+    own = own.withColumn("new", new).withColumn("path", F.sum("new").over(along))
+    return own.groupBy("rank", "tie", "source", "shift", "path").agg(F.min("start").alias("start"), (F.max("next") + (k - 1)).alias("end")).drop("path")
 
 
 def repeated_words(documents: DataFrame, *, window: int = 20) -> DataFrame:
@@ -201,7 +208,7 @@ def without_repeats(documents: DataFrame, *, window: int = 20) -> DataFrame:
     that loses all is empty."""
     rows, left = _decided(documents, window)
     copies = rows.where((F.col("rank") != F.col("first")) & (F.col("n_words") >= window)).select("rank", "key", F.lit("").alias("kept"))
-    some = left.select("rank", "key", F.decode("kept", "UTF-8").alias("kept")).union(copies)
+    some = rows.where("rank = first").select("rank", "tie", "key").join(left, ["rank", "tie"]).select("rank", "key", F.decode("kept", "UTF-8").alias("kept")).union(copies)
     some = some.groupBy(F.col("rank").alias("_rank"), F.col("key").alias("_key")).agg(F.min("kept").alias("_kept"))
     # One join by what a row's own text says about it, its id and its hash.
     own = documents.select(whole_rows(documents), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_rank"), F.md5(F.col("text").cast("binary")).alias("_key"))

@@ -1,9 +1,15 @@
-"""A pipeline from raw documents to packed training sequences; each stage works on what the one before it kept."""
+"""A pipeline from raw documents to packed training sequences; each stage works on what the one before it kept.
+
+Null and empty texts, and those without letters, go in the first stage, which needs a column `lang` to learn from; repeated rows are
+one document for near duplicates (each row of a kept one stays) and stay rows of their own elsewhere. An empty table gives an empty result. Extra columns, whatever
+their names, go through all stages but the last; n_chars follows the text where the table has such a column of numbers.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quadloom.llm import language, near_dup, packing, secrets, substring_dedup
 from quadloom.llm.common import written
@@ -11,7 +17,8 @@ from quadloom.llm.queries import _tokenizer
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return docs.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"])) if isinstance(kinds.get("n_chars"), NumericType) else docs
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 20 words or more that occur earlier go; so do documents that lose all their words."""
-    return _counted(substring_dedup.without_repeats(docs, window=20)).where("n_chars > 0")
+    return _counted(substring_dedup.without_repeats(docs, window=20).where("text <> ''"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,11 @@ def validity_text(ts: Column | str, is_date: Column) -> Column:
     return F.when(is_date, F.date_format(_col(ts), "yyyy-MM-dd")).otherwise(F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def iso_date(c: Column | str) -> Column:
+    """The date or time of an ISO 8601 text, null for any other text."""
+    return F.when(_col(c).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(_col(c)))
+
+
 def section_header(*levels: Column | str) -> Column:
     """Headings from the first level down, without the empty ones."""
     return F.array_join(F.filter(F.array(*map(_col, levels)), lambda h: h.isNotNull() & (h != "")), " > ")

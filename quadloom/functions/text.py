@@ -38,33 +38,48 @@ def analyze(c: Column | str) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
+def _word(terms: list[str]) -> str:
+    return "(?<![a-z0-9])(?:" + "|".join(terms) + ")(?![a-z0-9])"
+
+
+def holds_any(c: Column | str, terms: list[str]) -> Column:
+    """Whether a text has one of the terms (words of query_terms()) as a word: one pass, without its list of words."""
+    return F.lower(c).rlike(_word(terms)) if terms else F.lit(False)
+
+
+def text_rank(c: Column | str, terms: list[str]) -> Column:
+    """As ts_rank(), from the terms' numbers in the text itself."""
+    return _rank([F.regexp_count(F.lower(c), F.lit(_word([t]))) for t in terms])
+
+
 def matches(words: Column | str, terms: list[str]) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, terms)).cast("array<string>")) if terms else F.lit(False)
 
 
 def ts_rank(words: Column, terms: list[str]) -> Column:
     """Each term adds 0.1 times the sum of 1/j^2 up to its number of places, over the limit of that sum; then the mean over the terms."""
-    if not terms:
+    return _rank([F.size(words) - F.size(F.array_remove(words, t)) for t in terms])
+
+
+def _rank(counts: list[Column]) -> Column:
+    if not counts:
         return F.lit(0.0)
     total = F.lit(0.0)
-    for t in terms:
-        n = F.size(words) - F.size(F.array_remove(words, t))
+    for n in counts:
         squares = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j).cast("double"))
         total = total + 0.1 * squares / _LIMIT
-    return total / len(terms)
+    return total / len(counts)
 
 
 def _first_object(t: str | None) -> str | None:
+    import contextlib
     import re
 
-    decode = json.JSONDecoder().raw_decode
-    t = re.sub(r"<think>.*?</think>", "", t or "", flags=re.S).replace("```json", "").replace("```", "")
-    at = t.find("{")
-    while at >= 0:
-        try:
-            return json.dumps(decode(t[at:])[0])
-        except ValueError:
-            at = t.find("{", at + 1)
+    answer = re.sub(r"<think>.*?</think>|```(?:json)?", "", t or "", flags=re.S)
+    decoder = json.JSONDecoder()
+    for brace in re.finditer("{", answer):
+        with contextlib.suppress(ValueError):
+            return json.dumps(decoder.raw_decode(answer, brace.start())[0])
     return None
 
 

@@ -24,6 +24,14 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def similarity(a: Column | str, query: list[float]) -> Column:
+    """cosine() with a vector at hand, whose length is taken once."""
+    import math
+
+    length = math.sqrt(math.fsum(float(x) ** 2 for x in query))
+    return F.try_divide(dot(a, literal(query)), norm(a) * F.lit(length))
+
+
 def literal(v: list[float]) -> Column:
     return F.lit([float(x) for x in v]).cast("array<double>")
 
@@ -46,6 +54,6 @@ def hashing_embedder(width: int = 64):
             n = np.linalg.norm(v)
             return (v / n if n else v).astype("float32").tolist()
 
-        return texts.map(one)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return embed

@@ -32,6 +32,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Of each key the first row by the order."""
-    return df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+def first_by(df: DataFrame, keys: list[str], *order, most: int = 1) -> DataFrame:
+    """Of each key the first row by the order, or so many of them."""
+    return df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most).drop("_place")

@@ -42,6 +42,17 @@ def find_contradictions(new: DataFrame, quads: DataFrame) -> DataFrame:
     return new.join(held, ["s", "p"]).where("o <> other")
 
 
+def strongest_other(new: DataFrame, quads: DataFrame) -> DataFrame:
+    """The new triples (s, p, o) with `existing`: the greatest confidence of another stored object of their subject and predicate.
+
+    As strongest(find_contradictions()), from the two best objects of each subject and predicate instead of all pairs."""
+    each = quads.groupBy("s", "p", "o").agg(F.max("confidence").alias("c"))
+    best = each.groupBy("s", "p").agg(F.max(F.struct("c", "o")).alias("_best"))
+    next_ = each.join(best, ["s", "p"]).where(F.col("o") != F.col("_best.o")).groupBy("s", "p").agg(F.max("c").alias("_next"))
+    out = new.join(best, ["s", "p"]).join(next_, ["s", "p"], "left")
+    return out.withColumn("existing", F.when(F.col("o") != F.col("_best.o"), F.col("_best.c")).otherwise(F.col("_next"))).drop("_best", "_next").where("existing IS NOT NULL")
+
+
 def find_opposites(new: DataFrame, quads: DataFrame, opposites: DataFrame) -> DataFrame:
     """For each new triple the stored ones with an opposite predicate, declared in either direction; distinct by predicate and confidence."""
     both = small(opposites.select(F.col("p1").alias("p"), F.col("p2").alias("other_p")).union(opposites.select(F.col("p2").alias("p"), F.col("p1").alias("other_p"))).distinct())

@@ -48,7 +48,7 @@ def recognise(chunks: DataFrame, gazetteer: DataFrame | None = None, text: str =
     """A stand-in for a model: runs of capitalised words as entities of each chunk, linked where the gazetteer (name, label, wikidata_id) knows them.
 
     content_id, chunk_index, pos, text, label, wikidata_id."""
-    found = F.regexp_extract_all(text, F.lit(r"\b[A-Z][\p{L}0-9]+(?:\s[A-Z][\p{L}0-9]+)*"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][\p{L}0-9]+(?:\s[A-Z][\p{L}0-9]+)*"), F.lit(0))
     rows = chunks.select("content_id", "chunk_index", F.posexplode(found).alias("pos", "text"))
     if gazetteer is None:
         return rows.withColumns({"label": F.lit("MISC"), "wikidata_id": F.lit(None).cast("string")})

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.operators.reasoning import closure
@@ -85,6 +85,37 @@ def path(quads: DataFrame, s: str, p: str, o: str, *, at_least: int = 1, max_dep
     return pairs.select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:]))
 
 
+def step(quads: DataFrame, p: str, *, backward: bool = False) -> DataFrame:
+    """Pairs (s, o) that a predicate connects, once each; backward: the path ^p."""
+    pairs = quads.where(F.col("p") == p).select("s", "o").distinct()
+    return pairs.select(F.col("o").alias("s"), F.col("s").alias("o")) if backward else pairs
+
+
+def then(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The path a/b of pairs (s, o)."""
+    return a.select("s", F.col("o").alias("_m")).join(b.select(F.col("s").alias("_m"), "o"), "_m").select("s", "o").distinct()
+
+
+def either(*paths: DataFrame) -> DataFrame:
+    """The path a|b."""
+    return reduce(lambda a, b: a.union(b), paths).distinct()
+
+
+def maybe(path_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The path a?, with each of the nodes (node) connected to itself."""
+    return either(path_, nodes.select(F.col("node").alias("s"), F.col("node").alias("o")))
+
+
+def bind(a: DataFrame, **values_: Column) -> DataFrame:
+    """BIND: new variables from expressions over the others."""
+    return a.withColumns(values_)
+
+
+def reifiers(quads: DataFrame) -> DataFrame:
+    """A reifier for each quad (its graph and hash), with the triple it reifies and its annotations, as rdf:reifies has them."""
+    return quads.select(F.concat_ws("#", "graph", "triple_hash").alias("reifier"), "s", "p", "o", *ANNOTATIONS)
+
+
 def annotations(quads: DataFrame) -> DataFrame:
     """Each annotation of a quad as a row (graph, s, p, o, name, value), as a variable annotation predicate would see it."""
     each = F.map_from_arrays(F.array(*map(F.lit, ANNOTATIONS)), F.array(*(F.col(c).cast("string") for c in ANNOTATIONS)))

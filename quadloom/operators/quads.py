@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import is_uri, normalised_object, short_type, to_entity_uri, to_predicate_uri, triple_hash
-from quadloom.operators.common import first_by
+from quadloom.operators.common import first_by, small
 
 KEY = ["graph", "s", "p", "o"]
 
@@ -31,6 +31,15 @@ def pattern(quads: DataFrame, s: str | None = None, p: str | None = None, o: str
     return quads
 
 
+def write(quads: DataFrame, at: str) -> None:
+    """The store as files in a folder for each graph, so that a restriction to graphs reads theirs alone."""
+    quads.repartition("graph", F.pmod(F.xxhash64("s"), F.lit(64))).write.partitionBy("graph").parquet(at)
+
+
+def by_hash(quads: DataFrame, triple_hash: str) -> DataFrame:
+    return quads.where(F.col("triple_hash") == triple_hash)
+
+
 def knowledge_query(quads: DataFrame, subject: str | None = None, predicate: str | None = None, object_: str | None = None) -> DataFrame:
     """As pattern(), with labels made into URIs; at least one term is needed, and an object matches as URI or as literal."""
     if not (subject or predicate or object_):
@@ -59,7 +68,8 @@ def insert(quads: DataFrame, new: DataFrame, order: str = "seq") -> tuple[DataFr
     """The quads with the new ones, and the new ones with is_new: the first of its key that its graph doesn't hold.
 
     A key's first annotations stay; the same triple may be in several graphs."""
-    held = quads.select(*KEY).distinct().withColumn("_held", F.lit(True))
+    # Of the store only the batch's keys take part.
+    held = quads.select(*KEY).join(small(new.select(*KEY).distinct()), KEY, "left_semi").distinct().withColumn("_held", F.lit(True))
     marked = new.join(held, KEY, "left")
     first = first_by(marked, KEY, F.col(order)).select(*KEY, F.col(order).alias("_first"))
     marked = marked.join(first, KEY).withColumn("is_new", F.col("_held").isNull() & (F.col(order) == F.col("_first"))).drop("_held", "_first")
@@ -70,7 +80,7 @@ def insert(quads: DataFrame, new: DataFrame, order: str = "seq") -> tuple[DataFr
 def update_confidence(quads: DataFrame, updates: DataFrame) -> DataFrame:
     """Sets confidences by (s, p, o), in every graph that holds the triple; the last update of a triple (greatest seq) counts."""
     last = first_by(updates, ["s", "p", "o"], F.desc("seq")).select("s", "p", "o", F.col("confidence").alias("_new"))
-    return quads.join(last, ["s", "p", "o"], "left").withColumn("confidence", F.coalesce("_new", "confidence")).drop("_new").select(*quads.columns)
+    return quads.join(small(last), ["s", "p", "o"], "left").withColumn("confidence", F.coalesce("_new", "confidence")).drop("_new").select(*quads.columns)
 
 
 def counts(quads: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ before, and a lost executor costs no more than its own tasks. They end when a le
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,16 +67,20 @@ def _hashed(df: DataFrame) -> DataFrame:
 _RULES = ("inverse", "transitive", "type_inheritance")
 
 
-def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive: DataFrame, max_depth: int = 3) -> DataFrame:
+def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive: DataFrame, max_depth: int = 3, more: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None) -> DataFrame:
     """What each trigger leads to, with its depth, as if triggers came alone: derived triples meet stored ones only, those
     already stored (in any graph) or seen aren't derived again, and the first derivation wins, by depth, then the place of what
-    it comes from, then the rule. triggers: s, p, o, o_kind, confidence, triple_hash, as stored in `quads`."""
+    it comes from, then the rule. triggers: s, p, o, o_kind, confidence, triple_hash, as stored in `quads`.
+    more: further rules by method, after the three built in: from the frontier and the quads to rows as inverse_step() gives them."""
+    rules = [*_RULES, *(more or {})]
     stored = quads.select(*SPO).distinct()
     frontier = triggers.withColumns({"trigger": F.col("triple_hash"), "path": F.lit("")})
     done, seen = None, triggers.select(F.col("triple_hash").alias("trigger"), *SPO)
     for depth in range(1, max_depth + 1):
         found = inverse_step(frontier, inverses).unionByName(transitive_step(frontier, quads, transitive)).unionByName(inheritance_step(frontier, quads))
-        rule = F.array_position(F.array(*map(F.lit, _RULES)), F.col("method"))
+        for rule in (more or {}).values():
+            found = found.unionByName(rule(frontier, quads))
+        rule = F.array_position(F.array(*map(F.lit, rules)), F.col("method"))
         place = F.concat_ws("/", "path", F.concat(rule.cast("string"), F.lit(":"), F.array_join("derived_from", "+")))
         found = found.withColumn("path", place).join(stored, SPO, "left_anti").join(seen, ["trigger", *SPO], "left_anti")
         found = first_by(found, ["trigger", *SPO], "path").withColumn("depth", F.lit(depth))

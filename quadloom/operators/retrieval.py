@@ -43,14 +43,14 @@ def _ranked(found: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 
 def vector_topk(chunks: DataFrame, query: list[float], k: int, key: str = "chunk_id") -> DataFrame:
-    return _ranked(chunks.withColumn("similarity", vectors.cosine("embedding", vectors.literal(query))), "similarity", key, k)
+    return _ranked(chunks.withColumn("similarity", vectors.similarity("embedding", query)), "similarity", key, k)
 
 
 def text_topk(chunks: DataFrame, question: str, k: int, key: str = "chunk_id") -> DataFrame:
     """Chunks with any of the question's words, by ts_rank."""
     terms = text.query_terms(question)
-    words = chunks.withColumn("_words", text.analyze("chunk_text")).where(text.matches("_words", terms))
-    return _ranked(words.withColumn("rank", text.ts_rank(F.col("_words"), terms)).drop("_words"), "rank", key, k)
+    found = chunks.where(text.holds_any("chunk_text", terms))
+    return _ranked(found.withColumn("rank", text.text_rank("chunk_text", terms)), "rank", key, k)
 
 
 def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
@@ -67,8 +67,10 @@ def search(chunks: DataFrame, content: DataFrame, query: list[float], question:
     own = chunks.join(eligible(content, jobs, **filters).select("content_id"), "content_id", "left_semi")
     if not question:
         return vector_topk(own, query, limit).withColumn("rrf_score", F.col("similarity"))
-    fused = fuse(vector_topk(own, query, limit * OVERFETCH), text_topk(own, question, limit * OVERFETCH), limit)
-    return fused.join(own, "chunk_id").join(content, "content_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("vector_place"), "text_place")
+    # Texts and contents are joined to the last few rows alone.
+    by_vector = vector_topk(own.select("chunk_id", "embedding"), query, limit * OVERFETCH)
+    fused = fuse(by_vector, text_topk(own.select("chunk_id", "chunk_text"), question, limit * OVERFETCH).drop("chunk_text"), limit)
+    return F.broadcast(fused).join(chunks, "chunk_id").join(content, "content_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("vector_place"), "text_place")
 
 
 def knn_join(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, *, chunk_rows: int = 50_000, query_rows: int = 2_000) -> DataFrame:
@@ -85,16 +87,18 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, least: float | None =
     def best(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        empty = pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("query_id", object), ("item_id", object), ("similarity", float))})
         q, i = q[q.embedding.notna()], i[i.embedding.notna()].sort_values("item_id")
         if not len(q) or not len(i):
             return empty
         unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, np.nan)
         scores = np.nan_to_num(unit(np.stack(q.embedding).astype(float)) @ unit(np.stack(i.embedding).astype(float)).T, nan=-np.inf)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(q)), top.shape[1])
-        out = pd.DataFrame({"query_id": q.query_id.to_numpy()[at], "item_id": i.item_id.to_numpy()[top.ravel()], "similarity": scores[at, top.ravel()]})
-        return out[out.similarity > -np.inf]
+        at, to = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+        real = scores[at, to] > -np.inf
+        at, to = at[real], to[real]
+        plain = lambda ids, n: pd.Series([ids.iloc[k] for k in n.tolist()], dtype=ids.dtype if ids.dtype.kind in "iu" else object)
+        return pd.DataFrame({"query_id": plain(q.query_id, at), "item_id": plain(i.item_id, to), "similarity": scores[at, to]})
 
     pairs = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(lambda q, i: best(q, i), f"query_id {q_type}, item_id {i_type}, similarity double")
     ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).where(F.col("place") <= k)
@@ -197,6 +201,16 @@ def within_budget(chunks: DataFrame, order: str, budget: int = 48_000, text_colu
     return out.where(F.col("running_chars") <= budget)
 
 
+def chunks_at(chunks: DataFrame, content_id, indexes: list[int]) -> DataFrame:
+    """The chunks of one content with the given places, in their order."""
+    return chunks.where((F.col("content_id") == content_id) & F.col("chunk_index").isin(indexes)).orderBy("chunk_index")
+
+
+def truncated(c: str, most: int = 4000):
+    """The beginning of a text, for prompts."""
+    return F.left(F.col(c), F.lit(most))
+
+
 def sources(chunks: DataFrame, order: str) -> DataFrame:
     """Distinct sources by URL, the first of each."""
     return first_by(chunks, ["url"], order)

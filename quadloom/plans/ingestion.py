@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.functions.terms import is_object_entity, is_uri
 from quadloom.operators import extraction, ingest, resolution
 from quadloom.operators.common import cut_lineage
 from quadloom.plans import ontology
@@ -23,10 +24,12 @@ class Run:
     counters: DataFrame
 
 
-def run(content: DataFrame, store: DataFrame, provenance: DataFrame, embed: Callable[[str], Column], *, gazetteer: DataFrame | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None, max_chunks: int = 50, max_depth: int = 3) -> Run:
+def run(content: DataFrame, store: DataFrame, provenance: DataFrame, embed: Callable[[str], Column], *, gazetteer: DataFrame | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None, max_chunks: int = 50, max_depth: int = 3, entities: DataFrame | None = None) -> Run:
     """Runs all phases over the contents (content_id, url, raw_text, summary, title, source_type, ingested_at).
 
-    embed: from a column's name to its vectors; extractor: from chunks to triples, else the built-in rule over the ontology's synonyms."""
+    embed: from a column's name to its vectors; extractor: from chunks to triples, else the built-in rule over the ontology's synonyms (a column
+    `rejected` says why a triple isn't taken). Recognised entities that no triple names come in as fallbacks. entities (uri, embedding): known ones, to
+    which subjects and objects that look like entities are resolved by alias or nearness; predicates are resolved to the ontology's."""
     spark = content.sparkSession
     own = content.withColumn("text", extraction.chosen_text(F.col("raw_text"), F.col("summary"), F.col("title"))).where("text IS NOT NULL")
     chunks = ingest.capped_chunks(chunk_documents(own), max_chunks)
@@ -34,9 +37,39 @@ def run(content: DataFrame, store: DataFrame, provenance: DataFrame, embed: Call
     mentions = cut_lineage(extraction.recognise(chunks, gazetteer))
     aliases = resolution.aliases(resolution.coreference_groups(mentions.withColumn("pos", F.struct("content_id", "chunk_index", "pos"))))
     found = extractor(chunks) if extractor else extraction.extract(chunks, ontology.synonyms(spark))
-    found = cut_lineage(resolution.canonicalise(found, aliases, ("subject", "object")))
+    if "rejected" not in found.columns:
+        found = found.withColumn("rejected", F.lit(None).cast("string"))
+    every = cut_lineage(resolution.canonicalise(found, aliases, ("subject", "object")))
+    found = cut_lineage(_resolved(every.where("rejected IS NULL").drop("rejected").unionByName(_fallbacks(mentions, every), allowMissingColumns=True), embed, entities, aliases))
     source = content.select("content_id", F.col("url").alias("source_url"), "source_type", "ingested_at")
     triples = found.join(source, "content_id").select(F.monotonically_increasing_id().alias("seq"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), "confidence", F.lit("claim").alias("knowledge_type"), "source_url", "source_type", F.lit("llm").alias("extractor"), "ingested_at")
     batch = ingest.ingest(cut_lineage(triples), store, provenance, ontology.inverses(spark), ontology.transitive(spark), ontology.opposites(spark), max_depth=max_depth)
-    none = found.select("content_id").withColumn("rejected", F.lit(None).cast("string"))
-    return Run(chunks, mentions, aliases, batch, extraction.job_counters(chunks, chunks, found, none, mentions, found))
+    return Run(chunks, mentions, aliases, batch, extraction.job_counters(chunks, chunks, every, every, mentions, found))
+
+
+def _fallbacks(mentions: DataFrame, found: DataFrame) -> DataFrame:
+    """Type and label of the recognised entities that no extracted triple of their chunk names."""
+    named = found.select("content_id", "chunk_index", F.explode(F.array("subject", "object")).alias("name"))
+    key = F.struct("content_id", "chunk_index")
+    own = mentions.select(key.alias("chunk_index"), "text", "label").distinct()
+    names = named.select(key.alias("chunk_index"), F.replace("name", F.lit("_"), F.lit(" ")).alias("name"))
+    missed = resolution.missed_entities(own, names).select("chunk_index.content_id", "chunk_index.chunk_index", F.col("text").alias("subject"), "rdf_type", "text", "confidence")
+    row = lambda p, o: F.struct(F.lit(p).alias("predicate"), F.col(o).alias("object"))
+    return missed.select("content_id", "chunk_index", "subject", F.explode(F.array(row(ingest.TYPE, "rdf_type"), row(ingest.LABEL, "text"))).alias("x"), "confidence").select("content_id", "chunk_index", "subject", "x.*", "confidence")
+
+
+def _resolved(found: DataFrame, embed: Callable[[str], Column], entities: DataFrame | None, aliases: DataFrame) -> DataFrame:
+    """Triples with subjects, predicates and objects that are entities resolved to URIs."""
+    spark = found.sparkSession
+    labels = lambda c: found.where(~is_uri(c)).select(F.col(c).alias("label")).distinct()
+    known = ontology.predicates(spark).select(F.col("predicate").alias("uri"), "label").withColumn("embedding", embed("label")).drop("label")
+    p = resolution.resolve_predicates(labels("predicate").withColumn("embedding", embed("label")), known, ontology.synonyms(spark))
+    out = found.join(p.select(F.col("label").alias("predicate"), F.col("uri").alias("_p")), "predicate", "left").withColumn("predicate", F.coalesce("_p", "predicate")).drop("_p")
+    if entities is None:
+        return out
+    names = labels("subject").union(labels("object").where(is_object_entity("label"))).distinct()
+    e = resolution.resolve_entities(names.withColumn("embedding", embed("label")), entities, aliases)[0].select("label", "uri")
+    for c in ("subject", "object"):
+        to = e.select(F.col("label").alias(c), F.col("uri").alias("_uri"))
+        out = out.join(to, c, "left").withColumn(c, F.coalesce("_uri", c)).drop("_uri")
+    return out

@@ -86,7 +86,7 @@ def uri(name: str) -> str:
 
 def predicates(spark: SparkSession) -> DataFrame:
     """predicate (URI), label, domain, materiality, transitive."""
-    rows = [(uri(r["predicate"]), r["predicate"], r["domain"], float(r["materiality"]), r["transitive"] == "yes") for r in _rows()]
+    rows = [(uri(r["predicate"]), r["predicate"].replace("_", " "), r["domain"], float(r["materiality"]), r["transitive"] == "yes") for r in _rows()]
     return spark.createDataFrame(rows, "predicate string, label string, domain string, materiality double, transitive boolean")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import terms, text
 from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval
 from quadloom.operators import jobs as job_ops
+from quadloom.operators.common import first_by
 from quadloom.operators.upsert import replace_group, upsert
 from quadloom.plans import ontology, views
 from quadloom.sources import chunking, formats
@@ -57,18 +58,18 @@ def q_chat_confidence(spark, sf):
 @query(f"""WITH {views.RETURN_FLAGS} SELECT a.s, a.o, round(a.confidence * (1 - max(b.confidence) * 0.5), 6) AS penalised FROM flags a JOIN flags b ON a.s = b.s AND a.p = b.p AND a.o <> b.o GROUP BY a.s, a.o, a.confidence""")
 def q_penalty(spark, sf):
     flags = views.return_flags(spark, sf)
-    worst = conflicts.strongest(conflicts.find_contradictions(flags, flags), ["s", "o", "confidence"])
+    worst = conflicts.strongest_other(flags, flags)
     return worst.select("s", "o", F.round(evidence.penalised(F.col("confidence"), F.col("existing")), 6).alias("penalised"))
 
 
-@query(f"""WITH {views.PROVENANCE}, w AS (SELECT * FROM (VALUES ('{KS}supplies', 0.8::DOUBLE)) t(predicate, materiality))
-SELECT subject, object, source_url, chunk, prov.confidence, materiality, round(prov.confidence * materiality, 6) AS score FROM prov JOIN w USING (predicate) WHERE ingested_at >= TIMESTAMP '1996-01-01' ORDER BY score DESC, ingested_at DESC, subject, object, source_url, chunk LIMIT 100""")
+@query(f"""WITH {views.PROVENANCE}, stored AS (SELECT subject, object, max(confidence) * 0.9 AS stored FROM prov WHERE extractor <> 'A' GROUP BY ALL), w AS (SELECT * FROM (VALUES ('{KS}supplies', 0.8::DOUBLE)) t(predicate, materiality))
+SELECT subject, object, source_url, chunk, round(coalesce(stored, prov.confidence), 6) AS confidence, materiality, round(coalesce(stored, prov.confidence) * materiality, 6) AS score FROM prov JOIN w USING (predicate) LEFT JOIN stored USING (subject, object) WHERE ingested_at >= TIMESTAMP '1996-01-01' ORDER BY score DESC, ingested_at DESC, subject, object, source_url, chunk LIMIT 100""")
 def q_entity_changes(spark, sf):
     prov = views.provenance(spark, sf)
     weights = spark.createDataFrame([(KS + "supplies", 0.8)], "predicate string, materiality double")
-    none = prov.select("subject", "predicate", "object", "confidence").limit(0)
-    out = evidence.changes(prov.withColumn("triple_hash", F.lit("")), none, weights, dt.datetime(1996, 1, 1))
-    return out.orderBy(F.desc("score"), F.desc("ingested_at"), "subject", "object", "source_url", "chunk").limit(100).select("subject", "object", "source_url", "chunk", "confidence", "materiality", _r("score"))
+    stored = prov.where("extractor <> 'A'").groupBy("subject", "predicate", "object").agg((F.max("confidence") * 0.9).alias("confidence"))
+    out = evidence.changes(prov.withColumn("triple_hash", F.lit("")), stored, weights, dt.datetime(1996, 1, 1)).withColumns({"confidence": F.round("confidence", 6), "score": F.round("score", 6)})
+    return out.orderBy(F.desc("score"), F.desc("ingested_at"), "subject", "object", "source_url", "chunk").limit(100).select("subject", "object", "source_url", "chunk", "confidence", "materiality", "score")
 
 
 @query(f"""WITH {views.PROVENANCE} SELECT subject, object, string_agg(source_url || ':' || extractor, ',' ORDER BY ingested_at, source_url, extractor) AS sources FROM prov GROUP BY ALL""")
@@ -79,9 +80,9 @@ def q_provenance_enrich(spark, sf):
     return out.select("subject", "object", F.array_join(F.transform("provenance", lambda x: F.concat_ws(":", x["source_url"], x["extractor"])), ",").alias("sources"))
 
 
-@query(f"""WITH {views.PROVENANCE} SELECT subject, object, chunk, o_orderstatus AS chunk_text FROM prov JOIN orders ON orderkey = o_orderkey WHERE confidence >= 0.85""")
+@query(f"""WITH {views.PROVENANCE} SELECT subject, object, chunk, o_orderstatus AS chunk_text FROM prov JOIN orders ON orderkey = o_orderkey""")
 def q_evidence(spark, sf):
-    prov = views.provenance(spark, sf).where("confidence >= 0.85").withColumn("triple_hash", terms.triple_hash("subject", "predicate", "object")).withColumnRenamed("orderkey", "chunk_id")
+    prov = views.provenance(spark, sf).withColumn("triple_hash", terms.triple_hash("subject", "predicate", "object")).withColumnRenamed("orderkey", "chunk_id")
     chunks = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderstatus").alias("chunk_text"))
     triples = prov.select("triple_hash").distinct()
     return evidence.evidence(triples, prov, chunks).select("subject", "object", "chunk", "chunk_text")
@@ -140,9 +141,9 @@ def q_insert_is_new(spark, sf):
     return marked.select(F.col("s").alias("subject"), F.col("o").alias("object"), "orderkey", "chunk", "is_new")
 
 
-@query(f"""WITH {views.QUADS} SELECT graph, s, p, o, CASE WHEN p = '{KS}located_in' THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM quads WHERE p IN ('{KS}located_in', '{KS}is_a')""")
+@query(f"""WITH {views.QUADS} SELECT graph, s, p, o, CASE WHEN p = '{KS}located_in' THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM quads""")
 def q_update_confidence(spark, sf):
-    own = views.quads(spark, sf).where(F.col("p").isin(KS + "located_in", KS + "is_a"))
+    own = views.quads(spark, sf)
     updates = own.where(F.col("p") == KS + "located_in").select("s", "p", "o", F.lit(0.5).alias("confidence"), F.lit(1).alias("seq"))
     return quads.update_confidence(own, updates).select("graph", "s", "p", "o", "confidence")
 
@@ -223,18 +224,18 @@ def q_accept_job(spark, sf):
     return job_ops.accepted(new, views.jobs(spark, sf)).select("job_id", "serving_job")
 
 
-@query(f"WITH {views.JOBS} SELECT CASE WHEN status IN ('completed', 'failed') THEN status ELSE 'failed' END AS status, count(*) AS n FROM jobs GROUP BY ALL")
+@query(f"WITH {views.JOBS} SELECT job_id, CASE WHEN status IN ('completed', 'failed') THEN status ELSE 'failed' END AS status, CASE WHEN status NOT IN ('completed', 'failed') THEN status END AS phase FROM jobs")
 def q_recover_jobs(spark, sf):
     own = views.jobs(spark, sf).withColumn("error", F.lit(None).cast("string"))
-    return job_ops.recovered(own).groupBy("status").agg(F.count("*").alias("n"))
+    return job_ops.recovered(own).select("job_id", "status", F.get_json_object("error", "$.phase").alias("phase"))
 
 
 @query("""SELECT o_custkey AS k, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS confidence, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY ALL""")
 def q_upsert_provenance(spark, sf):
     rows = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("confidence"), F.col("o_orderkey").alias("first_order"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
-    half = rows.where("first_order % 2 = 0")
-    empty = rows.drop("seq").limit(0)
-    return upsert(empty, half.unionByName(rows.where("first_order % 2 = 1")), ["k"], "seq", keep=("first_order",))
+    # What the first half of the orders left is there already.
+    before = rows.where("seq.o_orderdate < '1995-01-01'").groupBy("k").agg(F.max_by("confidence", "seq").alias("confidence"), F.min_by("first_order", "seq").alias("first_order"))
+    return upsert(before, rows.where("seq.o_orderdate >= '1995-01-01'"), ["k"], "seq", keep=("first_order",))
 
 
 @query("""SELECT doc_id AS k, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE source END AS title, n_chars AS since FROM documents UNION ALL SELECT -item_id - 1, 'added', length(text) FROM benchmark""")
@@ -317,25 +318,30 @@ def q_min_date(spark, sf):
     return retrieval.eligible(e, min_date=since).select("event_id")
 
 
-_KNN_SQL = """WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0
+_KNN_SQL = """WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 3)"""
 
 
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
     e = views.table(spark, sf, "embeddings")
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding")
 
 
 @query(_KNN_SQL + " SELECT query_id, item_id, round(sim, 6) AS similarity FROM near")
 def q_entity_resolve(spark, sf):
-    return retrieval.knn_join(*_asked(spark, sf), 3).select("query_id", "item_id", _r("similarity"))
+    # One more than asked for, as each query is its own nearest item.
+    near = retrieval.knn_join(*_asked(spark, sf), 4).where("query_id <> item_id")
+    return first_by(near, ["query_id"], "place", most=3).select("query_id", "item_id", _r("similarity"))
 
 
-@query(_KNN_SQL + f" SELECT query_id::VARCHAR AS query_id, CASE WHEN max(sim) >= 0.3 THEN '{DATA}' || arg_max(item_id, sim) END AS uri FROM near GROUP BY ALL HAVING max(sim) >= 0.3")
+@query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], list_transform(b.embedding::DOUBLE[], lambda x: -x)) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query_id::VARCHAR AS query_id, '{DATA}' || arg_max(item_id, sim) AS uri FROM near GROUP BY ALL HAVING max(sim) >= 0.3""")
 def q_name_resolve_semijoin(spark, sf):
+    # Vectors of names are turned round, so that no item is a name's own.
     asked, items = _asked(spark, sf)
+    asked = asked.select(F.col("query_id").cast("string").alias("query_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: -x).alias("embedding"))
     entities = items.select(F.concat(F.lit(DATA), F.col("item_id").cast("string")).alias("uri"), "embedding")
-    return retrieval.resolve_by_graph(asked.withColumn("query_id", F.col("query_id").cast("string")), entities, views.quads(spark, sf), 0.3)
+    return retrieval.resolve_by_graph(asked, entities, views.quads(spark, sf), 0.3)
 
 
 @query("""SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS running_chars FROM documents QUALIFY running_chars <= 48000""")
@@ -362,9 +368,9 @@ def q_slugify(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", terms.slugify("p_type").alias("slug"))
 
 
-@query(f"WITH {views.QUADS} SELECT s, p, o, sha256('<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '\"' || o || '\"' END) AS triple_hash FROM quads WHERE graph = 'extracted'")
+@query(f"WITH {views.QUADS} SELECT s, p, o, sha256('<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '\"' || o || '\"' END) AS triple_hash FROM quads")
 def q_triple_hash(spark, sf):
-    return views.quads(spark, sf).where("graph = 'extracted'").select("s", "p", "o", "triple_hash")
+    return views.quads(spark, sf).select("s", "p", "o", "triple_hash")
 
 
 @query("SELECT DISTINCT p_type, lower(p_brand) AS brand, regexp_matches(replace(lower(p_type), ' ', '_'), '^[a-z][a-z0-9_]*$') AND length(p_type) <= 60 AS is_entity FROM part")
@@ -382,11 +388,14 @@ def q_structured_csv_lines(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", formats.csv_lines("p_name", "p_size").alias("lines"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'html' WHEN regexp_matches(lower(regexp_replace(url, '^https?://[^/]*', '')), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(url), '\\.pdf$') THEN 'pdf' WHEN lower(html[1:5]) IN ('<!doc', '<html') THEN 'html' ELSE 'text' END AS format FROM pages".replace("lower(html[1:5]) IN ('<!doc', '<html')", "html[1:4] IN ('<!DO', '<htm')"))
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'html' WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN 'image' WHEN regexp_matches(lower(regexp_replace(url, '^https?://[^/]*', '')), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(url), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.(md|txt)$') THEN 'text'
+WHEN page_id % 7 = 0 THEN 'image' WHEN page_id % 7 = 1 THEN 'pdf' ELSE 'text' END AS format FROM pages""")
 def q_format_detect(spark, sf):
     own = views.table(spark, sf, "pages")
-    kind = F.when(F.col("page_id") % 3 == 0, "Text/HTML; charset=utf-8")
-    return own.select("page_id", formats.detect_format(kind, F.col("url"), F.col("html").cast("binary")).alias("format"))
+    n = F.col("page_id")
+    kind = F.when(n % 3 == 0, "Text/HTML; charset=utf-8").when((n % 3 == 1) & (n % 2 == 0), "image/tiff")
+    data = F.concat(F.when(n % 7 == 0, "GIF89a").when(n % 7 == 1, "%PDF-1.7").otherwise("GIF"), "html").cast("binary")
+    return own.select("page_id", formats.detect_format(kind, F.col("url"), data).alias("format"))
 
 
 @query()
@@ -417,15 +426,21 @@ def q_sentence_count(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", extraction.sentence_count("text").cast("long").alias("n_sentences"))
 
 
-@query()
+@query(r"WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-Z][\p{L}0-9]+(?:\s[A-Z][\p{L}0-9]+)*)', 1) AS l FROM documents) SELECT doc_id AS content_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text FROM f")
 def q_recognise(spark, sf):
-    return extraction.recognise(views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text")))
+    found = extraction.recognise(views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text")))
+    return found.select("content_id", F.col("pos").cast("long").alias("pos"), "text")
 
 
-@query()
+_SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+\s*')) AS sentence FROM documents), w AS (SELECT doc_id, regexp_extract_all(sentence, '[\p{{L}}0-9_-]+') AS w FROM s), syn AS (SELECT * FROM (VALUES ('the', '{KS}related_to'), ('of_the', '{KS}part_of')) t(synonym, predicate)),
+spans AS (SELECT doc_id, w[i - 1] AS a, lower(array_to_string(w[i:i + n - 1], '_')) AS phrase, w[i + n] AS b FROM w, unnest(range(2, len(w))) t(i), range(1, 4) r(n) WHERE i + n <= len(w))
+SELECT doc_id AS content_id, {_SLUG.format("a")} AS subject, predicate, {_SLUG.format("b")} AS object FROM spans JOIN syn ON phrase = synonym""")
 def q_extract(spark, sf):
     docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("content_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
-    return extraction.extract(docs, spark.createDataFrame([("the", KS + "related_to"), ("of_the", KS + "part_of")], "synonym string, predicate string"))
+    return extraction.extract(docs, spark.createDataFrame([("the", KS + "related_to"), ("of_the", KS + "part_of")], "synonym string, predicate string")).select("content_id", "subject", "predicate", "object")
 
 
 @query("SELECT event_id AS content_id, CASE WHEN event_type = 'purchase' THEN 'event' ELSE 'triple' END AS shape, CASE WHEN event_type = 'error' THEN 'incomplete triple' END AS rejected FROM events")
@@ -439,10 +454,15 @@ def q_items_of_answers(spark, sf):
 # Items, coreference
 
 
-@query(f"""SELECT event_id AS seq, 'user_' || user_id AS s, 'occurredAt' AS p, strftime(ts, '%Y-%m-%d') AS o FROM events UNION ALL SELECT event_id, 'user_' || user_id, 'k', json_extract_string(props, '$.k') FROM events""")
+@query(f"""WITH e AS (SELECT event_id AS seq, '{DATA}user_' || user_id AS s, event_type AS t, strftime(ts, '%Y-%m-%d') AS day, json_extract_string(props, '$.k') AS k FROM events)
+SELECT seq, s, '{KS}occurredAt' AS p, day AS o FROM e WHERE t NOT IN ('purchase', 'error') UNION ALL SELECT seq, s, '{KS}k', k FROM e WHERE t <> 'error'
+UNION ALL SELECT seq, s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'schema:Person' FROM e WHERE t = 'purchase' UNION ALL SELECT seq, s, 'http://www.w3.org/2000/01/rdf-schema#label', 'a buyer' FROM e WHERE t = 'purchase'
+UNION ALL SELECT seq, s, '{KS}had', 'an error' FROM e WHERE t = 'error'""")
 def q_expand_items(spark, sf):
     e = views.table(spark, sf, "events")
-    items = e.select(F.col("event_id").alias("seq"), F.lit("event").alias("shape"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("subject"), *(F.lit(None).cast("string").alias(c) for c in ("predicate", "object", "rdf_type", "label")), F.date_format("ts", "yyyy-MM-dd").alias("occurred_at"), F.from_json("props", "map<string,string>").alias("properties"), F.lit(1.0).alias("confidence"), F.lit("event").alias("knowledge_type"))
+    shape = F.when(F.col("event_type") == "purchase", "entity").when(F.col("event_type") == "error", "triple").otherwise("event")
+    texts = {"predicate": "had", "object": "an error", "rdf_type": "schema:Person", "label": "a buyer"}
+    items = e.select(F.col("event_id").alias("seq"), shape.alias("shape"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("subject"), *(F.lit(v).alias(c) for c, v in texts.items()), F.date_format("ts", "yyyy-MM-dd").alias("occurred_at"), F.from_json("props", "map<string,string>").alias("properties"), F.lit(1.0).alias("confidence"), F.lit("event").alias("knowledge_type"))
     return ingest.expand_items(items).select("seq", "s", "p", "o")
 
 
@@ -494,10 +514,11 @@ def q_type_inheritance(spark, sf):
     return reasoning.inheritance_step(own.where(F.col("p") == reasoning.IS_A), own).select("s", "o", _r("confidence"))
 
 
-@query(f"""WITH {views.QUADS}, t AS (SELECT * FROM quads WHERE p = '{KS}located_in' AND starts_with(s, '{DATA}supplier')) SELECT t.s, q.o, round(t.confidence * q.confidence, 6) AS confidence, 1::BIGINT AS depth FROM t JOIN quads q ON t.o = q.s AND q.p = t.p""")
+@query(f"""WITH {views.QUADS}, t AS (SELECT * FROM quads WHERE p = '{KS}located_in' AND starts_with(s, '{DATA}supplier')) SELECT t.s, q.o, round(t.confidence * q.confidence, 6) AS confidence, 1::BIGINT AS depth FROM t JOIN quads q ON t.o = q.s AND q.p = t.p
+UNION ALL SELECT t.s, q.o, round(t.confidence * q.confidence, 6), 1::BIGINT FROM quads t JOIN quads q ON t.o = q.s WHERE t.p = '{KS}is_a' AND q.p = '{KS}has_property'""")
 def q_infer_anti_existing(spark, sf):
-    own = views.quads(spark, sf).where(F.col("p") == KS + "located_in")
-    triggers = own.where(F.col("s").startswith(DATA + "supplier")).select("s", "p", "o", "o_kind", "confidence", "triple_hash")
+    own = views.quads(spark, sf)
+    triggers = own.where(((F.col("p") == KS + "located_in") & F.col("s").startswith(DATA + "supplier")) | (F.col("p") == KS + "is_a")).select("s", "p", "o", "o_kind", "confidence", "triple_hash")
     return reasoning.infer(triggers, own, ontology.inverses(spark), ontology.transitive(spark)).select("s", "o", _r("confidence"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -531,13 +552,13 @@ def q_outbox_fold(spark, sf):
 # Graph patterns
 
 
-@query(f"WITH {views.QUADS} SELECT a.s AS supplier, a.o AS part, b.o AS brand FROM quads a JOIN quads b ON a.o = b.s WHERE a.p = '{KS}supplies' AND b.p = '{KS}is_a' AND a.graph = 'extracted'")
+@query(f"WITH {views.QUADS}, a AS MATERIALIZED (SELECT s, o FROM quads WHERE p = '{KS}supplies' AND graph = 'extracted'), b AS MATERIALIZED (SELECT s, o FROM quads WHERE p = '{KS}is_a') SELECT a.s AS supplier, a.o AS part, b.o AS brand FROM a JOIN b ON a.o = b.s")
 def q_pattern_group(spark, sf):
     q = views.quads(spark, sf)
     return patterns.group(patterns.triple(q, "?supplier", KS + "supplies", "?part", graph="extracted"), patterns.triple(q, "?part", KS + "is_a", "?brand"))
 
 
-@query(f"WITH {views.QUADS} SELECT a.s AS part, a.o AS brand, b.s AS supplier, b.confidence AS c FROM quads a LEFT JOIN quads b ON b.o = a.s AND b.p = '{KS}supplies' AND b.confidence >= 0.8 WHERE a.p = '{KS}is_a'")
+@query(f"WITH {views.QUADS}, a AS MATERIALIZED (SELECT s, o FROM quads WHERE p = '{KS}is_a'), b AS MATERIALIZED (SELECT s, o, confidence FROM quads WHERE p = '{KS}supplies' AND confidence >= 0.8) SELECT a.s AS part, a.o AS brand, b.s AS supplier, b.confidence AS c FROM a LEFT JOIN b ON b.o = a.s")
 def q_pattern_optional(spark, sf):
     q = views.quads(spark, sf)
     strong = patterns.triple(q, "?supplier", KS + "supplies", "?part", confidence="?c").where("c >= 0.8")
@@ -571,7 +592,7 @@ def q_pattern_group_count(spark, sf):
     return found.groupBy("brand").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "brand").limit(15)
 
 
-@query("SELECT true AS result")
+@query(f"WITH {views.LOCATIONS} SELECT count(*) > 0 AS result FROM loc WHERE s = '{DATA}supplier_1'")
 def q_pattern_ask(spark, sf):
     return patterns.ask(patterns.triple(views.quads(spark, sf), DATA + "supplier_1", KS + "located_in", "?place"))
 

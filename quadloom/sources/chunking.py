@@ -78,7 +78,7 @@ def sections(text: str) -> Iterator[tuple[str, str]]:
 
 
 def chunks_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """The chunks of one text with their section and place in it; places are found from a cursor that only moves on."""
+    """The chunks of one text with their section and place in it; places are looked for from a cursor that only moves on, then from the beginning."""
     if not text.strip():
         return []
     if is_markdown(text):
@@ -90,9 +90,11 @@ def chunks_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]
     out, cursor = [], 0
     for k, (head, piece) in enumerate(parts):
         at = text.find(piece[:100], cursor)
+        if at < 0:
+            at = text.find(piece[:100])
         begin = at if at >= 0 else cursor
         out.append({"chunk_index": k, "chunk_text": piece, "section_header": head, "char_start": begin, "char_end": begin + len(piece)})
-        cursor = begin + 1 if at >= 0 else cursor
+        cursor = max(cursor, begin + 1)
     return out
 
 

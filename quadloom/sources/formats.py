@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Formats by declared type, by the URL's ending, and by the first bytes (hexadecimal), in order.
-BY_TYPE = {
-    "text/html": "html", "application/xhtml+xml": "html", "application/pdf": "pdf", "application/json": "json", "text/csv": "csv",
-    "text/plain": "text", "text/markdown": "md",
-}
-BY_ENDING = {".html": "html", ".htm": "html", ".pdf": "pdf", ".json": "json", ".csv": "csv", ".txt": "text", ".md": "md", ".markdown": "md", ".png": "image", ".jpg": "image", ".jpeg": "image", ".gif": "image", ".webp": "image"}
-BY_BYTES = {"25504446": "pdf", "89504E47": "image", "FFD8FF": "image", "474946": "image", "3C21444F": "html", "3C68746D": "html"}
+BY_TYPE = {"application/pdf": "pdf", "text/html": "html", "text/csv": "csv", "application/json": "json", "text/plain": "text"}
+BY_ENDING = {".pdf": "pdf", ".html": "html", ".htm": "html", ".csv": "csv", ".json": "json", ".txt": "text", ".md": "text", ".png": "image", ".jpg": "image", ".jpeg": "image", ".gif": "image", ".webp": "image"}
+BY_BYTES = {"25504446": "pdf", "89504E47": "image", "FFD8FF": "image", "474946383761": "image", "474946383961": "image"}
 
 MOST_BYTES = 50 * 1024 * 1024
 PARSED = "text string, title string, error string"
@@ -25,7 +22,7 @@ def detect_format(content_type: Column, url: Column, data: Column) -> Column:
     """The declared type wins, images by their prefix, then the URL's ending, then the first bytes; else text."""
     kind = F.lower(F.trim(F.split(content_type, ";")[0]))
     path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    head = F.upper(F.hex(F.substring(data, 1, 4)))
+    head = F.upper(F.hex(F.substring(data, 1, 6)))
     out = F.when(kind.startswith("image/"), "image")
     for k, v in BY_TYPE.items():
         out = out.when(kind == k, v)
@@ -94,7 +91,7 @@ def _structured(data: str) -> str:
 
 
 #: Parsers by format, of the decoded text; the last one registered for a format counts. PDF and images have none here.
-PARSERS: dict[str, Callable[[str], str | tuple[str, str]]] = {"text": str, "md": str, "html": text_of_html, "csv": text_of_csv, "json": _structured}
+PARSERS: dict[str, Callable[[str], str | tuple[str, str]]] = {"text": str, "html": text_of_html, "csv": text_of_csv, "json": _structured}
 
 
 def register(format_: str, parser: Callable[[str], str | tuple[str, str]]) -> None:
@@ -109,7 +106,7 @@ def _parse(parsers: dict):
             if kind not in parsers:
                 return None, None, f"no parser for {kind}"
             try:
-                out = parsers[kind](data.decode("utf-8", "replace" if kind == "html" else "strict"))
+                out = parsers[kind](data.decode("utf-8", "replace"))
             except (ValueError, UnicodeError) as e:
                 return None, None, str(e)[:200]
             text, title = out if isinstance(out, tuple) else (out, "")
@@ -145,6 +142,17 @@ def read_requests(spark: SparkSession, at: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", False).json(at)
 
 
+_ITEMS = "array<struct<source_url:string, source_type:string, extractor:string, knowledge:array<struct<subject:string, predicate:string, object:string, uri:string, rdf_type:string, label:string, occurred_at:string, properties:map<string,string>, confidence:double, knowledge_type:string>>>>"
+
+
+def read_claims(spark: SparkSession, at: str) -> DataFrame:
+    """Claims as JSON, a request or a list of requests on each line: a row for each knowledge item (item_index), its request's source
+    beside the items as JSON (answer) that extraction.items_of() takes; a line that isn't JSON gives no item."""
+    requests = spark.read.text(at).where("trim(value) <> ''").select(F.explode(F.from_json("value", _ITEMS)).alias("r")).select("r.*")
+    own = requests.where("knowledge IS NOT NULL").select("source_url", F.coalesce("source_type", F.lit("api")).alias("source_type"), F.coalesce("extractor", F.lit("api")).alias("extractor"), F.posexplode("knowledge").alias("item_index", "item"))
+    return own.select("source_url", "source_type", "extractor", F.to_json(F.struct(F.array("item").alias("items"))).alias("answer"))
+
+
 def csv_lines(*columns: str) -> Column:
     """A row of columns as `name: value` lines."""
     return F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in columns))

@@ -196,8 +196,58 @@ def test_one_batch_of_ingest(spark):
     assert held["extracted", "box", "contains", "ball"] == pytest.approx(0.94)
     assert held["inferred", "ball", "part_of", "box"] == pytest.approx(0.94)
     assert held["asserted", "rain", "inhibits", "flood"] == pytest.approx(0.8 * (1 - 0.9 / 2))
-    assert got.provenance.count() == 3
+    assert got.provenance.count() == 4  # the inferred triple has its own
 
 
 def test_hashes_of_columns(spark):
     assert spark.range(1).select(triple_hash(F.lit("urn:a"), F.lit("urn:b"), F.lit("urn:c")).alias("h")).first().h != spark.range(1).select(triple_hash(F.lit("urn:a"), F.lit("urn:b"), F.lit("c")).alias("h")).first().h
+
+
+def test_strongest_other_is_that_of_all_pairs(spark):
+    rows = [("a", "p", "x", 0.5), ("a", "p", "y", 0.9), ("a", "p", "z", 0.7), ("b", "p", "x", 0.4), ("c", "p", "x", 0.2), ("c", "p", "y", 0.2), ("a", "q", "x", None)]
+    quads_ = spark.createDataFrame(rows, "s string, p string, o string, confidence double")
+    new = spark.createDataFrame([("a", "p", "y"), ("a", "p", "new"), ("b", "p", "x"), ("c", "p", "y"), ("d", "p", "x")], "s string, p string, o string")
+    want = {tuple(r) for r in conflicts.strongest(conflicts.find_contradictions(new, quads_), ["s", "p", "o"]).where("existing IS NOT NULL").collect()}
+    assert {tuple(r) for r in conflicts.strongest_other(new, quads_).select("s", "p", "o", "existing").collect()} == want
+
+
+def test_store_by_graph_prunes(spark, tmp_path):
+    own = made(spark, [("a", "is_a", "b")]).withColumn("graph", F.lit("asserted")).unionByName(made(spark, [("c", "is_a", "d")]).withColumn("graph", F.lit("inferred")))
+    quads.write(own, str(tmp_path / "store"))
+    found = quads.pattern(spark.read.parquet(str(tmp_path / "store")), graphs=["asserted"])
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(graph" in plan
+    assert [r.s.rsplit("/")[-1] for r in found.collect()] == ["a"]
+
+
+def test_changed_values_retract_what_rests_on_them(spark):
+    store = made(spark, [("socrates", "is_a", "man")], confidence=0.9).withColumns({"inference_method": F.lit(None).cast("string"), "derived_from": F.lit(None).cast("array<string>")})
+    old = store.first().triple_hash
+    resting = store.withColumns({"graph": F.lit("inferred"), "o": F.lit("mortal"), "triple_hash": F.lit("h"), "derived_from": F.array(F.lit(old))})
+    new = store.select("s", "p", F.lit("statue").alias("o"))
+    gone = ingest.prior_values(new, store)
+    assert [r.triple_hash for r in gone.collect()] == [old]
+    left, taken = reasoning.retract(store.unionByName(resting), gone)
+    assert [r.triple_hash for r in taken.collect()] == ["h"] and [r.triple_hash for r in left.collect()] == [old]
+    assert ingest.prior_values(store.select("s", "p", "o"), store).count() == 0
+
+
+def test_rules_of_ones_own(spark):
+    store = made(spark, [("a", "likes", "b")], confidence=0.5)
+    triggers = store.select("s", "p", "o", "o_kind", "confidence", "triple_hash")
+
+    def mutual(frontier, held):
+        return frontier.where("p LIKE '%likes'").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "o_kind", "confidence", F.lit("mutual").alias("method"), F.array("triple_hash").alias("derived_from"), "trigger", "path")
+
+    got = reasoning.infer(triggers, store, ontology.inverses(spark), ontology.transitive(spark), more={"mutual": mutual}).collect()
+    assert [(r.s.rsplit("/")[-1], r.o.rsplit("/")[-1], r.method) for r in got] == [("b", "a", "mutual")]
+
+
+def test_path_operators(spark):
+    q = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("d", "p", "b")], "s string, p string, o string")
+    pairs = lambda df: {tuple(r) for r in df.collect()}
+    p, q_ = patterns.step(q, "p"), patterns.step(q, "q")
+    assert pairs(patterns.then(p, q_)) == {("a", "c"), ("d", "c")}
+    assert pairs(patterns.then(p, patterns.step(q, "p", backward=True))) == {(x, y) for x in "ad" for y in "ad"}
+    assert pairs(patterns.either(p, q_)) == {("a", "b"), ("d", "b"), ("b", "c")}
+    assert pairs(patterns.maybe(q_, spark.createDataFrame([("b",)], "node string"))) == {("b", "c"), ("b", "b")}

@@ -11,7 +11,7 @@ from quadloom.streaming import job_states, outbox
 
 @pytest.mark.parametrize(
     ("kind", "url", "head", "expected"),
-    [("Text/HTML; charset=x", "http://a/b.pdf", b"", "html"), ("image/tiff", None, b"", "image"), (None, "http://a/b.PDF?x=1", b"", "pdf"), (None, "http://a/b", b"%PDF-1.7", "pdf"), (None, "http://a/b", b"<html>", "html"), (None, None, b"plain", "text")],
+    [("Text/HTML; charset=x", "http://a/b.pdf", b"", "html"), ("image/tiff", None, b"", "image"), (None, "http://a/b.PDF?x=1", b"", "pdf"), (None, "http://a/b", b"%PDF-1.7", "pdf"), (None, "http://a/b", b"<html>", "text"), (None, None, b"plain", "text")],
 )
 def test_formats(spark, kind, url, head, expected):
     df = spark.createDataFrame([(kind, url, head)], "k string, u string, d binary")
@@ -25,7 +25,7 @@ def test_parsers(spark):
     assert (got[1].text, got[1].title) == ("Head\nBody\ntext", "T")
     assert got[2].text == "entity: cold\nvalue: 1\n\nentity: warm\nvalue: 2"
     assert got[3].text == '{\n  "a": [\n    1\n  ]\n}'
-    assert got[4].error == "no parser for pdf" and got[5].error and got[6].error == "empty text" and got[7].error == "no data"
+    assert got[4].error == "no parser for pdf" and got[5].text == "\ufffd" and got[6].error == "empty text" and got[7].error == "no data"
 
 
 @pytest.mark.parametrize(("url", "safe"), [("https://example.com/x", True), ("http://localhost/x", False), ("http://10.0.0.1/", False), ("http://127.0.0.1:80/", False), ("ftp://example.com", False), ("http://[::1]/", False), ("http://8.8.8.8/", True), (None, False)])
@@ -108,3 +108,13 @@ def test_job_states(spark, tmp_path):
     events = spark.readStream.schema("event_id long, content_id long, status string, ts timestamp").parquet(at)
     job_states.latest_status(events).writeStream.format("memory").queryName("latest").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r)[:2] for r in spark.table("latest").collect()] == [(7, "completed")]
+
+
+def test_claims(spark, tmp_path):
+    from quadloom.operators import extraction
+
+    one = '{"source_url": "u1", "source_type": "api", "extractor": "me", "knowledge": [{"subject": "a", "predicate": "is_a", "object": "b"}, {"subject": "e", "occurred_at": "2024-01-01", "properties": {"k": "v"}}]}'
+    two = '[{"source_url": "u2", "knowledge": [{"uri": "x", "rdf_type": "T", "label": "X", "confidence": 0.4}]}, {"source_url": "u3", "knowledge": []}]'
+    (tmp_path / "claims.jsonl").write_text(one + "\n" + two + "\n\nnot json\n")
+    got = extraction.items_of(formats.read_claims(spark, str(tmp_path / "claims.jsonl")).drop("item_index")).orderBy("source_url", "shape").collect()
+    assert [(r.source_url, r.extractor, r.shape, r.confidence, r.rejected) for r in got] == [("u1", "me", "event", 1.0, None), ("u1", "me", "triple", 0.8, None), ("u2", "api", "entity", 0.4, None)]

@@ -34,8 +34,8 @@ from quadloom.llm.graph import components
 
 BANDS, ROWS = 25, 5
 LAST = 0x7FFFFFFFFFFFFFFF
-#: Members up to which all pairs of a bucket become rows; bytes and number of sets of larger buckets that make one tile (one set at least).
-SMALL, TILE_BYTES, TILE_SETS = 16, 1 << 20, 256
+#: Members up to which all pairs of a bucket become rows; bytes of sets of larger buckets that make one tile (one set at least).
+SMALL, TILE_BYTES = 16, 1 << 20
 #: A bucket's members are dealt to so many keys, so that none gets all of a large bucket.
 SALTS = 256
 
@@ -181,11 +181,11 @@ def _within_large(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members in different components of buckets (bucket, salt, node, size, root) of any size.
 
     A bucket's members in its heaviest component (which need no comparing with one another) and the others are dealt into
-    tiles of about TILE_BYTES or TILE_SETS; a pair of tiles is one group, so groups are bounded and the rows sent grow with the others' tiles."""
-    by_root = open_.groupBy("bucket", "root").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    main = by_root.groupBy("bucket").agg(F.max(F.struct("size", "n", "root")).alias("m"), F.sum("size").alias("size"), F.sum("n").alias("n"))
-    tiles = lambda size, n: F.ceil(F.greatest(size * 8 / TILE_BYTES, n / TILE_SETS)).cast("int")
-    main = main.select("bucket", F.col("m.root").alias("main"), tiles(F.col("m.size"), F.col("m.n")).alias("in_main"), tiles(F.col("size") - F.col("m.size"), F.col("n") - F.col("m.n")).alias("others"))
+    tiles of about TILE_BYTES; a pair of tiles is one group, so groups are bounded and the rows sent grow with the others' tiles."""
+    by_root = open_.groupBy("bucket", "root").agg(F.sum("size").alias("size"))
+    main = by_root.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("size"))
+    tiles = lambda size: F.ceil(size * 8 / TILE_BYTES).cast("int")
+    main = main.select("bucket", F.col("m.root").alias("main"), tiles(F.col("m.size")).alias("in_main"), tiles(F.col("size") - F.col("m.size")).alias("others"))
     main = main.join(open_.select(*_PLACE).distinct(), "bucket")
     chance = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), n).cast("int")
     own = open_.join(main, _PLACE).withColumn("tile", F.when(F.col("root") == F.col("main"), -1 - chance(F.col("in_main"))).otherwise(chance(F.col("others"))))

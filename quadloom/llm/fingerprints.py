@@ -5,9 +5,12 @@ delimiter belongs to what it ends, so the leaves make up the text. A leaf's hash
 its leaves' hashes, a section's that of its paragraphs' hashes, and the root the SHA-256 of the sections' hashes.
 As a string: root|section{paragraph(leaf,leaf)paragraph(leaf)}section{...}, hashes below the root by
 their first 8 digits. Equal roots mean equal texts; where roots differ, the branches that differ show where. The likeness
-of two fingerprints is the share of leaves they have in common (twice the common distinct leaves by the sum of both), 1 for equal roots.
+of two fingerprints is the share of leaves they have in common (twice the common distinct leaves by the sum of both), 1 for equal roots;
+it descends from the roots to the sections that differ, and only their leaves are compared. changed_paragraphs of a query's row counts
+the edited text's paragraphs whose branch the original lacks.
 
-A null text counts as empty: its tree is a root alone.
+A null text counts as empty: its tree is a root alone. An empty table gives no rows; other columns, whatever their names, take no part;
+texts may be of any length, and work grows with it alone.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import partitions, texts, written
+from quadloom.llm.common import partitions, quoted, texts, written
 
 _SECTION, _PARAGRAPH, _LEAF = r"(?<=\n\n)(?!\n)", r"(?<=\n)", r"[^.!?\n]{1,200}[.!?\n]*+|[.!?\n]++"
 FIRST = -0x8000000000000000
@@ -34,14 +37,32 @@ def fingerprint(text: str) -> Column:
     return F.expr(whole)
 
 
-def leaves(fp: str) -> Column:
-    """The distinct leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(fp, F.lit(r"[0-9a-f]{8}(?=[,)])"), F.lit(0)))
+def sections(fp: str) -> Column:
+    """The distinct branches of a fingerprint's sections."""
+    return F.array_distinct(F.regexp_extract_all(fp, F.lit(r"[0-9a-f]{8}\{[^}]*\}"), F.lit(0)))
 
 
-def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    both = F.size(F.array_intersect(leaves_a, leaves_b))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(2.0 * both, F.size(leaves_a) + F.size(leaves_b)), F.lit(0.0)))
+def paragraphs(fp: str) -> Column:
+    """The distinct branches of a fingerprint's paragraphs."""
+    return F.array_distinct(F.regexp_extract_all(fp, F.lit(r"[0-9a-f]{8}\([^)]*\)"), F.lit(0)))
+
+
+def leaves(branches: Column) -> Column:
+    """The distinct leaves of an array of sections."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(branches, ""), F.lit(r"[0-9a-f]{8}(?=[,)])"), F.lit(0)))
+
+
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the likeness of fingerprints a and b: only sections that differ are compared leaf by leaf."""
+    held = [F.col(quoted(c)) for c in df.columns]
+    df = df.select(*held, sections(a).alias("_sa"), sections(b).alias("_sb"))
+    same = df.select(*held, F.array_intersect("_sa", "_sb").alias("_same"), F.array_except("_sa", "_sb").alias("_ra"), F.array_except("_sb", "_sa").alias("_rb"))
+    df = same.select(*held, leaves(F.col("_same")).alias("_ls"), leaves(F.col("_ra")).alias("_la"), leaves(F.col("_rb")).alias("_lb"))
+    both = F.size(F.array_union("_ls", F.array_intersect("_la", "_lb")))
+    all_ = F.size(F.array_union("_ls", "_la")) + F.size(F.array_union("_ls", "_lb"))
+    root = lambda fp: F.substring_index(fp, "|", 1)
+    share = F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(2.0 * both, all_), F.lit(0.0)))
+    return df.select(*held, share.alias(name))
 
 
 def changed_paragraphs(a: str, b: str) -> Column:
@@ -87,15 +108,13 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """Each document's fingerprint and that of its edited text, whose last half is replaced by the next document's beginning."""
+    """Each document's fingerprint, that of its edited text (last half replaced by the next document's beginning), likenesses and changes."""
     near = with_next(documents).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.left("next_text", half))
     fp = near.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
     fp = fp.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("text").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"), fingerprint("next_text").alias("next_fingerprint"))
-    root = {k: F.substring_index(f"{k}fingerprint", "|", 1) for k in ("", "edited_", "next_")}
-    fp = fp.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(leaves(f"{k}fingerprint").alias(f"{k}leaves") for k in root), *(v.alias(f"{k}root") for k, v in root.items()))
-    own = (F.col("root"), F.col("leaves"))
-    near_edited = likeness(*own, F.col("edited_root"), F.col("edited_leaves"))
-    near_next = likeness(*own, F.col("next_root"), F.col("next_leaves"))
-    return fp.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
+    fp = with_likeness(fp, "fingerprint", "edited_fingerprint", "near_edited")
+    fp = with_likeness(fp, "fingerprint", "next_fingerprint", "near_next")
+    changed = F.size(F.array_except(paragraphs("edited_fingerprint"), paragraphs("fingerprint"))).alias("changed_paragraphs")
+    return fp.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", changed)

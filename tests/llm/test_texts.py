@@ -1,6 +1,7 @@
 """Quality, language, secrets and fingerprints against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -140,6 +141,57 @@ def test_fingerprints(spark, documents, rows):
     assert max(map(len, by_text.values())) <= 2
 
 
+def plain_tree(text):
+    """The fingerprint and its set of leaves, character by character."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    parts, begin = [], 0
+    for k in range(1, len(text) + 1):
+        if k == len(text) or (text[max(0, k - 2) : k] == "\n\n" and text[k] != "\n"):
+            parts.append(text[begin:k])
+            begin = k
+    roots, out, found = "", "", set()
+    for section in parts:
+        hashes, below = "", ""
+        for line in re.findall(r"[^\n]*\n|[^\n]+", section):
+            own, i = [], 0
+            while i < len(line):
+                j = i
+                while j < len(line) and j - i < 200 and line[j] not in ".!?\n":
+                    j += 1
+                while j < len(line) and line[j] in ".!?\n":
+                    j += 1
+                own.append(md5(line[i:j]))
+                i = j
+            short = [h[:8] for h in own]
+            found.update(short)
+            h = md5("".join(own))
+            hashes += h
+            below += h[:8] + "(" + ",".join(short) + ")"
+        h = md5(hashes)
+        roots += h
+        out += h[:8] + "{" + below + "}"
+    return hashlib.sha256(roots.encode()).hexdigest() + "|" + out, found
+
+
+def test_fingerprints_against_plain_trees(spark):
+    r = random.Random(3)
+    line = lambda: "".join(r.choice("ab é日.!? ") for _ in range(r.choice((0, 3, 30, 500))))
+    texts = ["".join(line() + r.choice(("\n", "\n\n", "\n\n\n", ". ")) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    texts[10:20] = [t + "One more.\n\nAnd another." for t in texts[11:21]]
+    df = spark.createDataFrame(list(enumerate([*texts, "Same sentence. " * 100_000 + "\n\nEnd."])), "doc_id long, text string")
+    texts = [t for (t,) in df.select("text").collect()]
+    for i, got in enumerate(sorted(fingerprints.edited_fingerprints(df).collect())):
+        text, after = texts[i], texts[i - 1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        (own, a), (fp, b), (other, c) = map(plain_tree, (text, edited, after))
+        like = lambda x, y, same: 1.0 if same else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+        assert (got.fingerprint, got.edited_fingerprint) == (own, fp), i
+        assert got.near_edited == pytest.approx(like(a, b, own == fp)) and got.near_next == pytest.approx(like(a, c, own == other)), i
+        branch = lambda x: set(re.findall(r"[0-9a-f]{8}\([^)]*\)", x))
+        assert got.changed_paragraphs == len(branch(fp) - branch(own)), i
+
+
 def test_trees_locate_edits(spark):
     a, b = "First. Second.\nThird line\n\nNew section.", "First. Second.\nAnother line\n\nNew section."
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint("a").alias("a"), fingerprints.fingerprint("b").alias("b"))

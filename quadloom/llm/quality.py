@@ -59,7 +59,8 @@ class Figures:
         n = len(b.starts)
         doc = np.repeat(np.arange(b.n_docs), self.n_words)
         inside = np.flatnonzero(doc[: n - 2] == doc[2:]) if n > 2 else np.empty(0, np.int64)
-        h = window_hashes(word_hashes(b), 3)[inside] if len(inside) else np.empty(0, np.uint64)
+        self.hashes = word_hashes(b)
+        h = window_hashes(self.hashes, 3)[inside] if len(inside) else np.empty(0, np.uint64)
         order = np.lexsort((h, doc[inside]))
         h, d = h[order], doc[inside][order]
         same = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
@@ -79,15 +80,22 @@ class Figures:
         return np.repeat(self.first[docs] - begin[:-1], n) + np.arange(begin[-1]), begin
 
 
-def _share(x: Figures, docs: np.ndarray, is_such: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def _share(x: Figures, docs: np.ndarray, is_such: Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The share of such words in each of some documents, whose bytes alone are read; is_such gets counts of a table's bytes by word."""
+    b = x.block
     at, begin = x.words_at(docs)
-    total = np.concatenate([[0], np.cumsum(is_such(at))])
-    return (total[begin[1:]] - total[begin[:-1]]) / np.maximum(1, x.n_words[docs])
+    size = b.lengths[docs]
+    moved = np.cumsum(size) - size
+    data = b.data[np.repeat(b.doc_start[docs] - moved, size) + np.arange(size.sum())] if len(docs) < b.n_docs else b.data
+    shift = np.repeat(b.doc_start[docs] - moved, x.n_words[docs]) if len(docs) < b.n_docs else 0
+    starts, ends = b.starts[at] - shift, b.ends[at] - shift
 
+    def counts(table: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(table[data])])
+        return total[ends] - total[starts]
 
-def _counts_within(x: Figures, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(table[x.block.data])])
-    return total[x.block.ends[at]] - total[x.block.starts[at]]
+    total = np.concatenate([[0], np.cumsum(is_such(counts))])
+    return (total[begin[1:]] - total[begin[:-1]]) / np.maximum(1, x.n_words[docs])
 
 
 def few_symbols(x: Figures, docs: np.ndarray) -> np.ndarray:
@@ -107,20 +115,19 @@ def few_repeated_lines(x: Figures, docs: np.ndarray) -> np.ndarray:
 
 def few_capitals(x: Figures, docs: np.ndarray) -> np.ndarray:
     """At most half of the words have two capitals or more from A to Z and no other letter but capitals."""
-    return _share(x, docs, lambda at: ((n := _counts_within(x, _UPPER, at)) >= 2) & (n == _counts_within(x, _LETTER, at))) <= 0.5
+    return _share(x, docs, lambda counts: ((n := counts(_UPPER)) >= 2) & (n == counts(_LETTER))) <= 0.5
 
 
 def mostly_letters(x: Figures, docs: np.ndarray) -> np.ndarray:
     """At least six in ten words hold a letter."""
-    return _share(x, docs, lambda at: _counts_within(x, _LETTER, at) > 0) >= 0.6
+    return _share(x, docs, lambda counts: counts(_LETTER) > 0) >= 0.6
 
 
 def varied_words(x: Figures, docs: np.ndarray) -> np.ndarray:
     """No word makes up more than three in ten words."""
-    h = word_hashes(x.block)
     out = np.ones(len(docs), bool)
     for k, i in enumerate(docs):
-        own = h[x.block.words_of(i)]
+        own = x.hashes[x.block.words_of(i)]
         out[k] = 10 * np.unique(own, return_counts=True)[1].max(initial=0) <= 3 * len(own)
     return out
 

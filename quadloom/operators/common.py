@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows with their place in the order, from 0: they are sorted into ranges, and a window over the few ranges' sizes says where each begins."""
+    spread = cut_lineage(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
+    sizes = spread.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    return spread.withColumn("_within", within).join(F.broadcast(begins), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in spark.checkpoint.dir (in a local session that names none, in one of our own), which goes when the session ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="quadloom-")
+    at = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def first_by(df: DataFrame, keys: list[str], *order, most: int = 1) -> DataFrame:
     """Of each key the first row by the order, or so many of them."""
     return df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most).drop("_place")

@@ -71,11 +71,11 @@ def extract(chunks: DataFrame, synonyms: DataFrame, text: str = "chunk_text") ->
     return hits.select("content_id", "chunk_index", slugify("before").alias("subject"), "predicate", slugify(F.element_at("next", F.col("n") + 1)).alias("object"), F.lit(0.5).alias("confidence"))
 
 
-def job_counters(chunks: DataFrame, embedded: DataFrame, extracted: DataFrame, items: DataFrame, mentions: DataFrame, triples: DataFrame) -> DataFrame:
-    """One row for each content: chunks, chunks embedded and extracted, items rejected, entities linked, triples."""
+def job_counters(chunks: DataFrame, embedded: DataFrame, extracted: DataFrame, items: DataFrame, mentions: DataFrame, new: DataFrame, triples: DataFrame) -> DataFrame:
+    """One row for each content: chunks, chunks embedded and extracted, those that gave nothing, items rejected, entities linked and resolved, new triples."""
     n = lambda df, name, what=F.count("*"): df.groupBy("content_id").agg(what.cast("int").alias(name))
-    parts = [n(chunks, "chunks_total"), n(embedded.where("embedding IS NOT NULL"), "chunks_embedded"), n(extracted, "chunks_extracted", F.countDistinct("chunk_index")), n(items.where("rejected IS NOT NULL"), "items_rejected"), n(mentions.where("wikidata_id IS NOT NULL"), "entities_linked"), n(triples, "triples_created")]
+    parts = [n(chunks, "chunks_total"), n(embedded.where("embedding IS NOT NULL"), "chunks_embedded"), n(extracted, "chunks_extracted", F.countDistinct("chunk_index")), n(items.where("rejected IS NOT NULL"), "items_rejected"), n(mentions.where("wikidata_id IS NOT NULL"), "entities_linked"), n(new, "triples_created"), n(triples, "entities_resolved")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "content_id", "left")
-    return out.na.fill(0)
+    return out.na.fill(0).withColumn("chunks_skipped", F.col("chunks_total") - F.col("chunks_extracted"))

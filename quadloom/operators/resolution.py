@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.terms import is_uri, slugify, to_entity_uri, to_predicate_uri
-from quadloom.operators.common import first_by, small
+from quadloom.operators.common import cut_lineage, first_by, numbered, small
 from quadloom.operators.retrieval import knn_join
 
 ENTITY_LEAST, PREDICATE_LEAST = 0.85, 0.90
@@ -42,28 +44,71 @@ def missed_entities(found: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.withColumns({"rdf_type": F.concat(F.lit("schema:"), "label"), "confidence": F.lit(0.5)})
 
 
+def leaders(labels: DataFrame, least: float) -> DataFrame:
+    """The labels (label, ord, embedding) that make something new when they come one after the other: those not near an earlier one that did.
+
+    A round settles at once all labels without an unsettled earlier neighbour, and those near them; a neighbour is found block by block,
+    one row a label, so dense groups of labels make no table of pairs. Ends when all are settled, after a few rounds unless
+    labels form long chains. A label without a vector is near to none."""
+    as_query = lambda df: df.select(F.col("label").alias("query_id"), "ord", "embedding")
+    as_item = lambda df: df.select(F.col("label").alias("item_id"), "ord", "embedding")
+    left, found = cut_lineage(labels.select("label", "ord", "embedding")), None
+    while not left.isEmpty():
+        waiting = cut_lineage(knn_join(as_query(left), as_item(left), 1, least, earlier=True).select(F.col("query_id").alias("label")))
+        new = cut_lineage(left.join(waiting, "label", "left_anti"))
+        found = new if found is None else found.unionByName(new)
+        rest = left.join(waiting, "label", "left_semi")
+        near = knn_join(as_query(rest), as_item(new), 1, least, earlier=True).select(F.col("query_id").alias("label"))
+        left = cut_lineage(rest.join(near, "label", "left_anti"))
+    return left if found is None else found
+
+
+def _in_order(own: DataFrame, items: DataFrame, least: float, new_uri: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
+    """uri and how of labels (label, ord, embedding): the nearest of the items (uri, embedding) and of what earlier labels made, else a new one.
+
+    Also what is to be added (uri, label, embedding): of labels with one URI the first one's vector counts."""
+    own = cut_lineage(own)
+    query = lambda df: df.select(F.col("label").alias("query_id"), "ord", "embedding")
+    old = cut_lineage(knn_join(query(own).drop("ord"), items.select(F.col("uri").alias("item_id"), "embedding"), 1, least).select(F.col("query_id").alias("label"), F.col("item_id").alias("_old"), F.col("similarity").alias("_by_old")))
+    first = leaders(own.join(old, "label", "left_anti"), least)
+    made = first.select("label", "ord", new_uri("label").alias("uri"), "embedding")
+    among = knn_join(query(own.join(first.select("label"), "label", "left_anti")), made.select(F.col("label").alias("item_id"), "ord", "embedding"), 1, least, earlier=True)
+    near = among.join(made.select(F.col("label").alias("item_id"), "uri"), "item_id").select(F.col("query_id").alias("label"), F.col("uri").alias("_near"), F.col("similarity").alias("_by_near"))
+    out = own.select("label").join(old, "label", "left").join(near, "label", "left").join(made.select("label", F.col("uri").alias("_made")), "label", "left")
+    # The nearer wins, the older on a tie.
+    nearest = F.when(F.col("_by_near") > F.coalesce("_by_old", F.lit(-2.0)), F.col("_near")).otherwise(F.col("_old"))
+    out = out.select("label", F.coalesce("_made", nearest).alias("uri"), F.when(F.col("_made").isNotNull(), "new").otherwise("near").alias("how"))
+    added = first_by(made.join(items.select("uri"), "uri", "left_anti"), ["uri"], "ord").select("uri", "label", "embedding")
+    return out, added
+
+
+def _ordered(labels: DataFrame) -> DataFrame:
+    """Labels once each, whatever their case, with the place of their first row: by seq where labels have it, else by label."""
+    own = labels.withColumn("ord", F.struct(F.col("seq") if "seq" in labels.columns else F.lit(0).alias("seq"), "label"))
+    first = own.groupBy(F.lower("label").alias("_key")).agg(F.min_by(F.struct("label", "embedding"), "ord").alias("x"), F.min("ord").alias("_at"))
+    # Places as numbers, so that matrices of them can be compared: ranges of the order first, then places within each.
+    return numbered(first.select("_key", "x.label", "x.embedding", "_at"), "_at", "ord").drop("_at")
+
+
 def resolve_entities(labels: DataFrame, entities: DataFrame, alias_table: DataFrame, least: float = ENTITY_LEAST) -> tuple[DataFrame, DataFrame]:
-    """uri and how of each distinct label (label, embedding), and the entities to add: by alias, else the nearest entity, else a new one."""
-    distinct = first_by(labels, ["label"], F.size("embedding"))
-    known = small(alias_table).select(F.lower("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
-    own = distinct.join(known, F.lower("label") == F.col("_alias"), "left")
-    left = own.where("_canonical IS NULL")
-    near = knn_join(left.select(F.col("label").alias("query_id"), "embedding"), entities.select(F.col("uri").alias("item_id"), "embedding"), 1, least)
-    out = own.join(near.select(F.col("query_id").alias("label"), F.col("item_id").alias("_near")), "label", "left")
-    uri = F.coalesce(to_entity_uri("_canonical"), "_near", to_entity_uri("label"))
-    how = F.when(F.col("_canonical").isNotNull(), "alias").when(F.col("_near").isNotNull(), "near").otherwise("new")
-    out = out.withColumns({"uri": uri, "how": how})
-    added = first_by(out.where("how = 'new'").select("uri", "label", "embedding").join(entities.select("uri"), "uri", "left_anti"), ["uri"], "label")
-    return out.select("label", "uri", "how"), added
-
-
-def resolve_predicates(labels: DataFrame, predicates: DataFrame, synonym_table: DataFrame, least: float = PREDICATE_LEAST) -> DataFrame:
-    """uri and how of each distinct label (label, embedding): by URI, synonym, nearest predicate (uri, embedding), else a new URI."""
-    distinct = first_by(labels, ["label"], F.size("embedding"))
-    own = distinct.join(small(synonym_table), slugify("label") == F.col("synonym"), "left")
-    left = own.where("predicate IS NULL")
-    near = knn_join(left.select(F.col("label").alias("query_id"), "embedding"), predicates.select(F.col("uri").alias("item_id"), "embedding"), 1, least)
-    out = own.join(near.select(F.col("query_id").alias("label"), F.col("item_id").alias("_near")), "label", "left")
-    uri = F.when(is_uri("label"), F.col("label")).otherwise(F.coalesce("predicate", "_near", to_predicate_uri("label")))
-    how = F.when(is_uri("label"), "uri").when(F.col("predicate").isNotNull(), "synonym").when(F.col("_near").isNotNull(), "near").otherwise("new")
-    return out.select("label", uri.alias("uri"), how.alias("how"))
+    """uri and how of each label (label, embedding, and seq where there is an order), and the entities to add (uri, label, embedding).
+
+    As if labels came one after the other: by alias, else the nearest of the entities and of those that earlier labels made, else a new
+    one. Labels that differ in case alone are one."""
+    own = cut_lineage(_ordered(labels))
+    known = small(alias_table).groupBy(F.lower("alias").alias("_key")).agg(F.max("canonical").alias("_canonical"))
+    by_alias = own.join(known, "_key").select("_key", to_entity_uri("_canonical").alias("uri"), F.lit("alias").alias("how"))
+    out, added = _in_order(own.join(known, "_key", "left_anti"), entities, least, to_entity_uri)
+    every = by_alias.unionByName(own.join(out, "label").select("_key", "uri", "how"))
+    return labels.select("label", F.lower("label").alias("_key")).distinct().join(every, "_key").drop("_key"), added
+
+
+def resolve_predicates(labels: DataFrame, predicates: DataFrame, synonym_table: DataFrame, least: float = PREDICATE_LEAST) -> tuple[DataFrame, DataFrame]:
+    """As resolve_entities(), for predicates: a URI stands for itself, then synonyms, the nearest of the predicates (uri, embedding), a new URI."""
+    own = cut_lineage(_ordered(labels))
+    fixed = own.join(small(synonym_table), slugify("label") == F.col("synonym"), "left")
+    uri = F.when(is_uri("label"), F.col("label")).otherwise(F.col("predicate"))
+    fixed = fixed.select("_key", uri.alias("uri"), F.when(is_uri("label"), "uri").otherwise("synonym").alias("how")).where("uri IS NOT NULL")
+    out, added = _in_order(own.join(fixed.select("_key"), "_key", "left_anti"), predicates, least, to_predicate_uri)
+    every = fixed.unionByName(own.join(out, "label").select("_key", "uri", "how"))
+    return labels.select("label", F.lower("label").alias("_key")).distinct().join(every, "_key").drop("_key"), added

@@ -73,16 +73,8 @@ def search(chunks: DataFrame, content: DataFrame, query: list[float], question:
     return F.broadcast(fused).join(chunks, "chunk_id").join(content, "content_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("vector_place"), "text_place")
 
 
-def knn_join(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, *, chunk_rows: int = 50_000, query_rows: int = 2_000) -> DataFrame:
-    """query_id, item_id, similarity and place (from 1) of the k items most like each query (query_id, embedding), ties by item_id.
-
-    Items (item_id, embedding) and queries are dealt into blocks of bounded size by hash; each pair of blocks is one matrix
-    product, from which k rows a query go on."""
-    blocks = lambda df, rows: max(1, -(-df.count() // rows))
-    n_items, n_queries = blocks(items, chunk_rows), blocks(queries, query_rows)
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
-    right = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_items)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    q_type, i_type = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+def _nearest(k: int, least: float | None, earlier: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a block of queries and one of items each query's k best items by cosine, ties by item_id; earlier: of items with a smaller ord than the query's."""
 
     def best(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -93,16 +85,42 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, least: float | None =
             return empty
         unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, np.nan)
         scores = np.nan_to_num(unit(np.stack(q.embedding).astype(float)) @ unit(np.stack(i.embedding).astype(float)).T, nan=-np.inf)
+        if earlier:
+            scores[i.ord.to_numpy()[None, :] >= q.ord.to_numpy()[:, None]] = -np.inf
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         at, to = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-        real = scores[at, to] > -np.inf
+        real = scores[at, to] > -np.inf if least is None else scores[at, to] >= least
         at, to = at[real], to[real]
         plain = lambda ids, n: pd.Series([ids.iloc[k] for k in n.tolist()], dtype=ids.dtype if ids.dtype.kind in "iu" else object)
         return pd.DataFrame({"query_id": plain(q.query_id, at), "item_id": plain(i.item_id, to), "similarity": scores[at, to]})
 
-    pairs = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(lambda q, i: best(q, i), f"query_id {q_type}, item_id {i_type}, similarity double")
-    ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).where(F.col("place") <= k)
-    return ranked if least is None else ranked.where(F.col("similarity") >= least)
+    return best
+
+
+def ranked_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's pairs (query_id, item_id, similarity) with their place from 1, ties by item_id."""
+    return pairs.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))).where(F.col("place") <= k)
+
+
+def pair_schema(queries: DataFrame, items: DataFrame) -> str:
+    q_type, i_type = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    return f"query_id {q_type}, item_id {i_type}, similarity double"
+
+
+def knn_join(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, *, earlier: bool = False, chunk_rows: int = 50_000, query_rows: int = 2_000) -> DataFrame:
+    """query_id, item_id, similarity and place (from 1) of the k items most like each query (query_id, embedding), ties by item_id.
+
+    Items (item_id, embedding) and queries are dealt into blocks of bounded size by hash; each pair of blocks is one matrix
+    product, from which k rows a query go on. Exact; vector_index has an approximate way. earlier: only items whose ord is less than the query's."""
+    blocks = lambda df, rows: max(1, -(-df.count() // rows))
+    n_items, n_queries = blocks(items, chunk_rows), blocks(queries, query_rows)
+    # Columns of their own, as both sides may come from one table.
+    items = items.select(*(F.col(c).alias(c) for c in items.columns))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))))
+    right = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_items)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    best = _nearest(k, least, earlier)
+    pairs = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(lambda q, i: best(q, i), pair_schema(queries, items))
+    return ranked_pairs(pairs, k)
 
 
 @dataclass

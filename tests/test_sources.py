@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.operators import quads
+from quadloom.operators.store import Store
 from quadloom.schemas import OUTBOX, QUADS
 from quadloom.sources import chunking, formats
 from quadloom.streaming import job_states, outbox
@@ -84,12 +85,11 @@ def test_outbox(spark, tmp_path):
     assert state(outbox.apply(once, pending)) == state(once)
     gone = outbox.apply(once, spark.createDataFrame([_row(6, "retract_inference", "h1")], OUTBOX))
     assert state(gone) == {("extracted", "h1", 0.7), ("extracted", "h3", 0.6)}
-    box, at = str(tmp_path / "box"), str(tmp_path / "quads")
-    outbox.start_table(spark, store, at)
+    box, held = str(tmp_path / "box"), Store(spark, str(tmp_path / "quads")).create(store, buckets=2)
     outbox.stage(spark, pending.coalesce(1), box)
     for _ in range(2):
-        outbox.drain(spark, box, at, str(tmp_path / "checkpoint")).awaitTermination()
-    assert state(spark.read.parquet(f"{at}/v=0")) == state(once)
+        outbox.drain(spark, box, held, str(tmp_path / "checkpoint")).awaitTermination()
+    assert state(held.read()) == state(once)
 
 
 def test_dumps(spark, tmp_path):

@@ -141,15 +141,29 @@ def secret_report(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"))
 
 
+def _cut() -> Column:
+    """The column text with each run of overlapping _spans replaced by the kind of its first, in brackets.
+
+    A run begins where a span starts at the greatest end before it or later; these ends are running maxima by blocks of 256 spans. What
+    lies between runs is taken from pieces of 256 code points, so no place is counted from the text's start again."""
+    maxima = """transform(sequence(0, (size(_spans) - 1) div 256), b -> aggregate(slice(_spans, b * 256 + 1, 256), struct(0L as at, cast(array() as array<bigint>) as before),
+        (acc, s) -> struct(greatest(acc.at, s.end) as at, concat(acc.before, array(acc.at)) as before)))"""
+    over = "aggregate(d, struct(0L as at, cast(array() as array<bigint>) as before), (acc, x) -> struct(greatest(acc.at, x.at) as at, concat(acc.before, array(acc.at)) as before))"
+    runs = "filter(transform(_spans, (s, i) -> struct(s.start as start, s.kind as kind, greatest(d[i div 256].before[i % 256], o.before[i div 256]) as before)), r -> r.start >= r.before)"
+    at = lambda x: f"coalesce(get(c, cast({x} div 256 as int)), '')"
+    between = lambda a, b: f"""CASE WHEN {a} div 256 = {b} div 256 THEN substring({at(a)}, cast({a} % 256 as int) + 1, cast({b} - {a} as int))
+        ELSE concat(substring({at(a)}, cast({a} % 256 as int) + 1), array_join(slice(c, cast({a} div 256 as int) + 2, cast({b} div 256 - {a} div 256 as int) - 1), ''), substring({at(b)}, 1, cast({b} % 256 as int))) END"""
+    told = f"concat(array_join(transform({runs}, r -> concat({between('r.before', 'r.start')}, '[', r.kind, ']')), ''), {between('o.at', 'l')})"
+    bound = [("cast(char_length(text) as bigint)", "l"), ("regexp_extract_all(text, '(?s).{1,256}', 0)", "c"), (maxima, "d"), (over, "o")]
+    for value, name in reversed(bound):
+        told = f"transform(array({value}), {name} -> {told})[0]"
+    return F.expr(told)
+
+
 def redacted(documents: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """The documents, all columns, each run of overlapping spans in their texts replaced by its first kind in brackets."""
     some = find_secrets(documents, scope=scope).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all").alias("_spans")).distinct()
     own = documents.select(whole_rows(documents), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.md5(F.col("text").cast("string")).alias("key"))
     out = own.join(some, own.id.eqNullSafe(some._id) & (own.key == some._key), "left")
-    cut = """aggregate(_spans, struct('' as done, 0L as at),
-        (acc, s) -> CASE WHEN s.start >= acc.at
-            THEN struct(concat(acc.done, substring(text, cast(acc.at as int) + 1, cast(s.start - acc.at as int)), '[', s.kind, ']') as done, s.end as at)
-            ELSE struct(acc.done as done, greatest(acc.at, s.end) as at) END,
-        acc -> concat(acc.done, substring(text, cast(acc.at as int) + 1)))"""
-    text = F.when(F.col("_spans").isNotNull(), F.expr(cut)).otherwise(F.col("text"))
+    text = F.when(F.col("_spans").isNotNull(), _cut()).otherwise(F.col("text"))
     return out.select(F.col("own").withField("text", text).alias("own")).select("own.*")

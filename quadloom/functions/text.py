@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -61,14 +62,16 @@ def ts_rank(words: Column, terms: list[str]) -> Column:
     return _rank([F.size(words) - F.size(F.array_remove(words, t)) for t in terms])
 
 
+def term_rank(n: Column) -> Column:
+    """What a term that occurs n times gives."""
+    squares = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j).cast("double"))
+    return 0.1 * squares / _LIMIT
+
+
 def _rank(counts: list[Column]) -> Column:
     if not counts:
         return F.lit(0.0)
-    total = F.lit(0.0)
-    for n in counts:
-        squares = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, j: a + 1.0 / (j * j).cast("double"))
-        total = total + 0.1 * squares / _LIMIT
-    return total / len(counts)
+    return functools.reduce(Column.__add__, map(term_rank, counts)) / len(counts)
 
 
 def _first_object(t: str | None) -> str | None:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.operators.reasoning import closure
+from quadloom.operators.reasoning import connected, reachable
 
 ANNOTATIONS = ("confidence", "knowledge_type", "valid_from", "valid_until")
 
@@ -76,12 +76,32 @@ def ask(a: DataFrame) -> DataFrame:
 
 
 def path(quads: DataFrame, s: str, p: str, o: str, *, at_least: int = 1, max_depth: int | None = None) -> DataFrame:
-    """Pairs of variables s and o that the predicate connects in at_least (0 or 1) steps or more, whatever the graph; each pair once."""
-    edges = quads.where((F.col("p") == p) & (F.col("o_kind") == "iri")).select("s", "o", F.lit(1.0).alias("confidence"))
-    pairs = closure(edges, max_depth).select("s", "o")
+    """Solutions of a path of a predicate, of at_least (0 or 1) steps or more, whatever the graph; each once.
+
+    s and o are variables or constants, or one variable twice. A constant end is where the search begins, so only what it reaches is
+    looked at. Cycles lead back to their nodes, and a path may end in a literal. Without a step, a constant is connected to itself, a variable
+    stands for each subject and object of the quads. A solution of two constants has no columns' values but `found`."""
+    edges = quads.where(F.col("p") == p).select("s", "o", "o_kind")
+    constant = lambda t: not t.startswith("?")
+    one = lambda t: quads.sparkSession.createDataFrame([(t,)], "node string")
+    if constant(s):
+        ends = reachable(edges, one(s), max_depth).select("node").distinct()
+        ends = ends.union(one(s)).distinct() if not at_least else ends
+        if constant(o):
+            return ends.where(F.col("node") == o).select(F.lit(True).alias("found"))
+        return ends.select(F.col("node").alias(o[1:]))
+    if constant(o):
+        last = edges.where(F.col("o") == o).select(F.col("s").alias("node")).distinct()
+        back = edges.where("o_kind = 'iri'").select(F.col("o").alias("s"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"))
+        begins = last if max_depth == 1 else last.union(reachable(back, last, None if max_depth is None else max_depth - 1).select("node")).distinct()
+        begins = begins.union(one(o)).distinct() if not at_least else begins
+        return begins.select(F.col("node").alias(s[1:]))
+    pairs = connected(edges, max_depth).select("s", "o").distinct()
     if not at_least:
-        nodes = edges.select("s").union(edges.select("o")).distinct()
+        nodes = quads.select("s").union(quads.select("o")).distinct()
         pairs = pairs.union(nodes.select("s", F.col("s").alias("o"))).distinct()
+    if s == o:
+        return pairs.where("s = o").select(F.col("s").alias(s[1:]))
     return pairs.select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:]))
 
 

@@ -73,18 +73,22 @@ def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive
     it comes from, then the rule. triggers: s, p, o, o_kind, confidence, triple_hash, as stored in `quads`.
     more: further rules by method, after the three built in: from the frontier and the quads to rows as inverse_step() gives them."""
     rules = [*_RULES, *(more or {})]
-    stored = quads.select(*SPO).distinct()
+    # Of the store, only what the rules join with takes part in each level, and what a level finds is looked up by its keys.
+    joined = small(transitive.select(F.col("predicate").alias("p")).union(quads.sparkSession.createDataFrame([(IS_A,), (HAS_PROPERTY,)], "p string")).distinct())
+    usable = cut_lineage(quads.where("confidence IS NOT NULL").join(joined, "p", "left_semi").select(*SPO, "o_kind", "confidence", "triple_hash"))
     frontier = triggers.withColumns({"trigger": F.col("triple_hash"), "path": F.lit("")})
     done, seen = None, triggers.select(F.col("triple_hash").alias("trigger"), *SPO)
     for depth in range(1, max_depth + 1):
-        found = inverse_step(frontier, inverses).unionByName(transitive_step(frontier, quads, transitive)).unionByName(inheritance_step(frontier, quads))
+        found = inverse_step(frontier, inverses).unionByName(transitive_step(frontier, usable, transitive)).unionByName(inheritance_step(frontier, usable))
         for rule in (more or {}).values():
             found = found.unionByName(rule(frontier, quads))
         rule = F.array_position(F.array(*map(F.lit, rules)), F.col("method"))
         place = F.concat_ws("/", "path", F.concat(rule.cast("string"), F.lit(":"), F.array_join("derived_from", "+")))
-        found = found.withColumn("path", place).join(stored, SPO, "left_anti").join(seen, ["trigger", *SPO], "left_anti")
-        found = first_by(found, ["trigger", *SPO], "path").withColumn("depth", F.lit(depth))
-        found = cut_lineage(_hashed(found))
+        found = cut_lineage(first_by(found.withColumn("path", place).join(seen, ["trigger", *SPO], "left_anti"), ["trigger", *SPO], "path"))
+        if found.isEmpty():
+            break
+        stored = quads.select(*SPO).join(small(found.select(*SPO).distinct()), SPO, "left_semi").distinct()
+        found = cut_lineage(_hashed(found.join(stored, SPO, "left_anti").withColumn("depth", F.lit(depth))))
         if found.isEmpty():
             break
         done = found if done is None else done.unionByName(found)
@@ -110,6 +114,37 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return best
 
 
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node and kind of what is reached from the start nodes (node) along edges (s, o, o_kind), in one step or more, level by level.
+
+    A start node is among them only if a cycle leads back to it; literals end a path."""
+    seen, frontier, hops = None, cut_lineage(start.select("node").distinct()), 0
+    while max_depth is None or hops < max_depth:
+        hops += 1
+        ahead = edges.join(small(frontier), edges.s == frontier.node).select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).distinct()
+        new = cut_lineage(ahead if seen is None else ahead.join(seen, ["node", "kind"], "left_anti"))
+        seen = new if seen is None else seen.unionByName(new)
+        frontier = new.where("kind = 'iri'").select("node")
+        if frontier.isEmpty():
+            break
+    return edges.select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).limit(0) if seen is None else seen
+
+
+def connected(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All pairs (s, o, o_kind) that edges connect in one step or more, each once; a node on a cycle is connected to itself."""
+    step = cut_lineage(edges.select("s", "o", "o_kind").distinct())
+    ahead = step.select(F.col("s").alias("m"), F.col("o").alias("far"), F.col("o_kind").alias("far_kind"))
+    every, new, hops = step, step, 1
+    while max_depth is None or hops < max_depth:
+        hops += 1
+        more = new.where("o_kind = 'iri'").join(ahead, new.o == ahead.m).select("s", F.col("far").alias("o"), F.col("far_kind").alias("o_kind")).distinct()
+        new = cut_lineage(more.join(every, ["s", "o", "o_kind"], "left_anti"))
+        if new.isEmpty():
+            break
+        every = every.unionByName(new)
+    return every
+
+
 def expand(quads: DataFrame, start: DataFrame, max_hops: int = 4, least: float = 0.1, limit: int | None = 200) -> DataFrame:
     """Edges reached from the start nodes, with the hop: along subjects, to objects that are URIs, over quads of enough confidence.
 

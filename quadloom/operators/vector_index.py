@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.operators.retrieval import _nearest, pair_schema, ranked_pairs
+from quadloom.operators.retrieval import _nearest, knn_join, pair_schema, ranked_pairs
 
 SAMPLE = 20_000
 MOST_LISTS = 4096
@@ -110,6 +110,21 @@ def search(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int
     return ranked_pairs(pairs, k)
 
 
+def probes_for(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, *, least: float = 0.95, sample: int = 200) -> int:
+    """How many lists a query must look into so that the share `least` of its k exact neighbours is there, from at most `sample` of the queries."""
+    some = queries.where("embedding IS NOT NULL").select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    exact = knn_join(some, indexed.select("item_id", "embedding"), k).select("query_id", "item_id")
+    order = _listed(some, centroids, len(centroids)).select("query_id", "lists")
+    place = exact.join(indexed.select("item_id", "list"), "item_id").join(order, "query_id").select(F.array_position("lists", F.col("list")).alias("at"))
+    counts = dict(place.groupBy("at").count().collect())
+    total, so_far = sum(counts.values()), 0
+    for probes in range(1, len(centroids) + 1):
+        so_far += counts.get(probes, 0)
+        if so_far >= least * total:
+            return probes
+    return len(centroids)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact neighbours (query_id, item_id) that were found."""
     pairs = exact.select("query_id", "item_id").join(found.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")

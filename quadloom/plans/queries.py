@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms, text
-from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval
+from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval, text_index, vector_index
 from quadloom.operators import jobs as job_ops
-from quadloom.operators.common import first_by
+from quadloom.operators.common import cut_lineage, first_by, new_folder
+from quadloom.operators.store import Store
 from quadloom.operators.upsert import replace_group, upsert
 from quadloom.plans import ontology, views
+from quadloom.schemas import OUTBOX, QUADS
 from quadloom.sources import chunking, formats
 from quadloom.streaming import outbox
 
@@ -334,6 +336,47 @@ def q_entity_resolve(spark, sf):
     return first_by(near, ["query_id"], "place", most=3).select("query_id", "item_id", _r("similarity"))
 
 
+@query()
+def q_knn_index(spark, sf):
+    """As q_entity_resolve, from an inverted-file index: approximate, so without SQL; its recall is tested."""
+    asked, items = _asked(spark, sf)
+    centroids = vector_index.fit(items)
+    indexed = cut_lineage(vector_index.index(items, centroids))
+    found = vector_index.search(asked, indexed, centroids, 4, probes=vector_index.probes_for(asked, indexed, centroids, 4))
+    return first_by(found.where("query_id <> item_id"), ["query_id"], "place", most=3).select("query_id", "item_id", _r("similarity"))
+
+
+@query(f"WITH {views.CONTENTS}, {_TEXT_SQL} SELECT chunk_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, chunk_id LIMIT 30")
+def q_text_index(spark, sf):
+    """The best chunks for a question from an inverted index of all texts, without stems as SQL has none."""
+    at = new_folder(spark, "postings")
+    text_index.write(text_index.postings(views.contents(spark, sf), stemming=False), at)
+    found = text_index.ranks(spark.read.parquet(at), _QUESTION, stemming=False)
+    return found.orderBy(F.desc("rank"), "chunk_id").limit(30).select("chunk_id", _r("rank"))
+
+
+@query(f"WITH {views.CONTENTS}, {_TEXT_SQL}, p AS (SELECT chunk_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM words) SELECT a.chunk_id, min(abs(a.i - b.i))::BIGINT AS apart FROM p a JOIN p b ON a.chunk_id = b.chunk_id AND a.w = 'thin' AND b.w = 'sting' AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
+def q_text_near(spark, sf):
+    at = new_folder(spark, "postings")
+    text_index.write(text_index.postings(views.contents(spark, sf), stemming=False), at)
+    return text_index.near(spark.read.parquet(at), "thin", "sting", 8, stemming=False).withColumn("apart", F.col("apart").cast("long"))
+
+
+@query(f"""WITH RECURSIVE near AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id WHERE sim >= 0.3),
+n AS MATERIALIZED (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS r, coalesce(js, []) AS js FROM embeddings LEFT JOIN (SELECT i, list(j) AS js FROM near GROUP BY ALL) ON i = vec_id),
+l AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS made UNION ALL SELECT n.r, CASE WHEN list_has_any(made, js) THEN made ELSE list_append(made, i) END FROM l JOIN n ON n.r = l.r + 1),
+m AS MATERIALIZED (SELECT unnest(made) AS j FROM (SELECT made FROM l ORDER BY r DESC LIMIT 1)),
+best AS (SELECT i, arg_max(j, (sim, -j)) AS j FROM near JOIN m USING (j) WHERE i NOT IN (SELECT j FROM m) GROUP BY i)
+SELECT n.i AS vec_id, '{DATA}item_' || coalesce(best.j, n.i) AS uri, CASE WHEN best.j IS NULL THEN 'new' ELSE 'near' END AS how FROM n LEFT JOIN best USING (i)""")
+def q_entities_in_order(spark, sf):
+    """Labels made into entities one after the other, each the nearest earlier one's or a new one."""
+    e = views.table(spark, sf, "embeddings")
+    labels = e.select(F.col("vec_id").alias("seq"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("label"), "embedding")
+    known = spark.createDataFrame([], "uri string, embedding array<float>")
+    got, _ = resolution.resolve_entities(labels, known, spark.createDataFrame([], "alias string, canonical string"), 0.3)
+    return got.select(F.substring("label", 6, 20).cast("long").alias("vec_id"), "uri", "how")
+
+
 @query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], list_transform(b.embedding::DOUBLE[], lambda x: -x)) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
 SELECT query_id::VARCHAR AS query_id, '{DATA}' || arg_max(item_id, sim) AS uri FROM near GROUP BY ALL HAVING max(sim) >= 0.3""")
 def q_name_resolve_semijoin(spark, sf):
@@ -549,6 +592,54 @@ def q_outbox_fold(spark, sf):
     return outbox.fold(rows).select("triple_hash", _r("confidence"))
 
 
+def _staged(spark, sf):
+    """Events as outbox rows: purchases derive a triple from one of five others, errors retract what rests on those, views and signups assert it, clicks set its confidence."""
+    e = views.table(spark, sf, "events")
+    t, k = F.col("event_type"), (F.col("user_id") % 40).cast("string")
+    operation = F.when(t == "purchase", "insert_inferred").when(t == "error", "retract_inference").when(t == "click", "update_confidence").otherwise("insert")
+    base = F.concat(F.lit("base_"), (F.col("user_id") % 5).cast("string"))
+    payload = F.when(t == "purchase", F.to_json(F.struct(F.lit("inverse").alias("inference_method"), F.array(base).alias("derived_from"))))
+    values = {
+        "id": F.col("event_id"), "triple_hash": F.when(t == "error", base).otherwise(k), "operation": operation, "subject": F.concat(F.lit(DATA), k), "predicate": F.lit(KS + "has_property"), "object": F.lit("x"), "confidence": F.col("value"),
+        "knowledge_type": F.lit("claim"), "graph": F.when(t == "purchase", "inferred").otherwise("extracted"), "payload": payload,
+    }
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], OUTBOX).schema}
+    return e.select(*(values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS t, value AS v, user_id % 40 AS k, user_id % 5 AS b FROM events), gone AS (SELECT b, max(id) AS last FROM e WHERE t = 'error' GROUP BY ALL),
+own AS (SELECT 'inferred' AS graph, k, min(id) AS since, arg_min(v, id) AS v, 'inverse' AS method FROM e LEFT JOIN gone USING (b) WHERE t = 'purchase' AND id > coalesce(last, -1) GROUP BY k
+    UNION ALL SELECT 'extracted', k, min(id), arg_min(v, id), NULL FROM e WHERE t IN ('view', 'signup') GROUP BY k),
+u AS (SELECT k, max(id) AS last, arg_max(v, id) AS v FROM e WHERE t = 'click' AND v IS NOT NULL GROUP BY ALL)
+SELECT graph, own.k::VARCHAR AS triple_hash, round(CASE WHEN u.last > since THEN u.v ELSE own.v END, 6) AS confidence, method FROM own LEFT JOIN u USING (k)""")
+def q_outbox_ordered(spark, sf):
+    done = outbox.apply(spark.createDataFrame([], QUADS), _staged(spark, sf))
+    return done.select("graph", "triple_hash", _r("confidence"), F.col("inference_method").alias("method"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS t, user_id % 40 AS k, user_id % 5 AS b FROM events), i AS (SELECT *, CASE t WHEN 'purchase' THEN 'inferred' ELSE 'extracted' END AS graph FROM e WHERE t IN ('purchase', 'view', 'signup')),
+life AS (SELECT i.id, i.k, i.graph, (SELECT count(*) FROM e x WHERE x.t = 'error' AND x.b = i.b AND x.id < i.id AND i.graph = 'inferred') AS life FROM i)
+SELECT id, row_number() OVER (PARTITION BY graph, k, life ORDER BY id) = 1 AS is_new FROM life""")
+def q_outbox_new(spark, sf):
+    """Which inserts made a quad: the first of each, and the first after each retraction."""
+    none = spark.createDataFrame([], QUADS)
+    return outbox.replay(_staged(spark, sf), lambda keys: none, none).entries.where("is_new IS NOT NULL").select("id", "is_new")
+
+
+@query(f"""WITH {views.QUADS} SELECT graph, s, p, o, CASE WHEN p = '{KS}is_a' THEN 0.4::DOUBLE ELSE confidence END AS confidence FROM quads UNION ALL SELECT 'asserted', '{DATA}customer_' || c_custkey, '{KS}has_property', c_mktsegment, 0.6::DOUBLE FROM customer""")
+def q_delta_store(spark, sf):
+    """A store changed by outbox rows: confidences set, triples added, and triples that are there already."""
+    own = cut_lineage(views.quads(spark, sf))
+    store = Store(spark, new_folder(spark, "store")).create(own, buckets=8)
+    segment = views.table(spark, sf, "customer").select(views.data("customer", "c_custkey").alias("s"), F.lit(KS + "has_property").alias("p"), F.col("c_mktsegment").alias("o"), F.lit("literal").alias("o_kind"))
+    row = lambda df, operation, confidence: df.select("triple_hash", F.lit(operation).alias("operation"), F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.lit(confidence).alias("confidence"), F.lit("asserted").alias("graph"))
+    rows = row(own.where(F.col("p") == KS + "is_a"), "update_confidence", 0.4).unionByName(row(quads.with_hash(segment), "insert", 0.6)).unionByName(row(own.where(F.col("p") == KS + "located_in"), "insert", 0.1))
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], OUTBOX).schema}
+    rows = rows.withColumns({"id": F.monotonically_increasing_id(), **{c: F.lit(None).cast(k) for c, k in kinds.items() if c not in (*rows.columns, "id")}})
+    outbox.drain_into(store, rows, label="batch")
+    return store.read().select("graph", "s", "p", "o", "confidence")
+
+
 # Graph patterns
 
 
@@ -597,9 +688,47 @@ def q_pattern_ask(spark, sf):
     return patterns.ask(patterns.triple(views.quads(spark, sf), DATA + "supplier_1", KS + "located_in", "?place"))
 
 
-@query(f"WITH RECURSIVE {views.LOCATIONS}, c AS (SELECT s, o FROM loc UNION SELECT c.s, loc.o FROM c JOIN loc ON c.o = loc.s) SELECT s AS x, o AS place FROM c")
+_REACH = f"WITH RECURSIVE {views.NEIGHBOURS}, c AS (SELECT s, o, k FROM near UNION SELECT c.s, near.o, near.k FROM c JOIN near ON c.o = near.s AND c.k = 'iri')"
+
+
+@query(f"{_REACH} SELECT DISTINCT s AS x, o AS place FROM c")
 def q_pattern_path(spark, sf):
-    return patterns.path(views.quads(spark, sf), "?x", KS + "located_in", "?place")
+    return patterns.path(views.neighbours(spark, sf), "?x", KS + "next_to", "?place")
+
+
+@query(f"{_REACH} SELECT s AS x, o AS place FROM c UNION SELECT s, s FROM near UNION SELECT o, o FROM near")
+def q_pattern_path_or_none(spark, sf):
+    return patterns.path(views.neighbours(spark, sf), "?x", KS + "next_to", "?place", at_least=0)
+
+
+@query(f"WITH RECURSIVE {views.NEIGHBOURS}, c AS (SELECT o, k FROM near WHERE s = '{DATA}customer_1' UNION SELECT near.o, near.k FROM c JOIN near ON c.o = near.s AND c.k = 'iri') SELECT DISTINCT o AS place FROM c")
+def q_pattern_path_from(spark, sf):
+    return patterns.path(views.neighbours(spark, sf), DATA + "customer_1", KS + "next_to", "?place")
+
+
+@query(f"WITH RECURSIVE {views.NEIGHBOURS}, c AS (SELECT s FROM near WHERE o = 'NATION_3' UNION SELECT near.s FROM c JOIN near ON near.o = c.s AND near.k = 'iri') SELECT s AS x FROM c")
+def q_pattern_path_to(spark, sf):
+    return patterns.path(views.neighbours(spark, sf), "?x", KS + "next_to", "NATION_3")
+
+
+@query(f"{_REACH} SELECT DISTINCT s AS x FROM c WHERE s = o")
+def q_pattern_path_cycles(spark, sf):
+    return patterns.path(views.neighbours(spark, sf), "?x", KS + "next_to", "?x")
+
+
+@query(f"""WITH {views.QUADS}, a AS (SELECT DISTINCT x.s, y.o FROM quads x JOIN quads y ON x.o = y.s WHERE x.p = '{KS}supplies' AND y.p = '{KS}is_a'),
+b AS (SELECT DISTINCT o AS s, s AS o FROM quads WHERE p = '{KS}is_a') SELECT s, o, length(o)::BIGINT AS n FROM (SELECT * FROM a UNION SELECT * FROM b UNION SELECT s, s FROM b)""")
+def q_pattern_path_steps(spark, sf):
+    """(supplies / is_a) | (^is_a)?, with a variable bound to a length."""
+    q = views.quads(spark, sf)
+    back = patterns.step(q, KS + "is_a", backward=True)
+    paths = patterns.either(patterns.then(patterns.step(q, KS + "supplies"), patterns.step(q, KS + "is_a")), patterns.maybe(back, back.select(F.col("s").alias("node"))))
+    return patterns.bind(paths, n=F.length("o").cast("long"))
+
+
+@query(f"""WITH {views.QUADS}, h AS (SELECT *, sha256('<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END) AS triple_hash FROM quads) SELECT graph || '#' || triple_hash AS reifier, p, confidence FROM h WHERE confidence < 0.5""")
+def q_pattern_reifiers(spark, sf):
+    return patterns.reifiers(views.quads(spark, sf)).where("confidence < 0.5").select("reifier", "p", "confidence")
 
 
 @query(f"WITH {views.QUADS} SELECT name, count(*) AS n FROM (SELECT 'confidence' AS name FROM quads WHERE graph = 'asserted' UNION ALL SELECT 'knowledge_type' FROM quads WHERE graph = 'asserted') GROUP BY ALL")

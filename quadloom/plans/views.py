@@ -121,3 +121,22 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTENTS = """contents AS (SELECT doc_id AS content_id, doc_id AS chunk_id, 'doc://' || doc_id AS url, source AS source_type, [lang, source] AS tags, text AS chunk_text, embedding::DOUBLE[] AS embedding
     FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads of one predicate with cycles, self-loops and literals: customers to nations, nations to others in rounds, to themselves where they are divisible by 5, and to their names."""
+    t = lambda name: table(spark, sf_dir, name)
+    row = lambda df, s, o, kind="iri": df.select(F.lit("asserted").alias("graph"), s.alias("s"), ks("next_to").alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(0.9).alias("confidence"))
+    nation, near = t("nation"), F.concat(F.lit(f"{DATA_NS}nation_"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("string"))
+    own = data("nation", "n_nationkey")
+    parts = [row(t("customer"), data("customer", "c_custkey"), data("nation", "c_nationkey")), row(nation, own, near), row(nation.where("n_nationkey % 5 = 0"), own, own), row(nation, own, F.col("n_name"), "literal")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+NEIGHBOURS = f"""near AS (SELECT '{DATA_NS}customer_' || c_custkey AS s, '{DATA_NS}nation_' || c_nationkey AS o, 'iri' AS k FROM customer
+    UNION ALL SELECT '{DATA_NS}nation_' || n_nationkey, '{DATA_NS}nation_' || (n_nationkey * 7 + 3) % 25, 'iri' FROM nation
+    UNION ALL SELECT '{DATA_NS}nation_' || n_nationkey, '{DATA_NS}nation_' || n_nationkey, 'iri' FROM nation WHERE n_nationkey % 5 = 0
+    UNION ALL SELECT '{DATA_NS}nation_' || n_nationkey, n_name, 'literal' FROM nation)"""

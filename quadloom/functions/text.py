@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import functools
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,22 +73,37 @@ def _rank(counts: list[Column]) -> Column:
     return functools.reduce(Column.__add__, map(term_rank, counts)) / len(counts)
 
 
-def _first_object(t: str | None) -> str | None:
-    import contextlib
-    import re
+#: Strings, braces and what is between them.
+_TOKENS = r'"(?:[^"\\]|\\.)*+"|[{}]|[^"{}]++|"'
+
+
+def _held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
 
-    answer = re.sub(r"<think>.*?</think>|```(?:json)?", "", t or "", flags=re.S)
-    decoder = json.JSONDecoder()
-    for brace in re.finditer("{", answer):
-        with contextlib.suppress(ValueError):
-            return json.dumps(decoder.raw_decode(answer, brace.start())[0])
-    return None
+def _balanced(t: Column) -> Column:
+    """Of a text that begins with a brace, all up to the brace that closes it, those in strings aside; null if none does."""
+
+    def step(a: Column, token: Column) -> Column:
+        depth = a["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (a["n"] + 1).alias("n"), F.when((a["end"] == 0) & (depth == 0), a["n"] + 1).otherwise(a["end"]).alias("end"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    end = lambda tokens: F.nullif(F.aggregate(tokens, begin, step, lambda a: a["end"]), F.lit(0))
+    return _held(F.regexp_extract_all(t, F.lit(_TOKENS), F.lit(0)), lambda tokens: F.array_join(F.slice(tokens, F.lit(1), end(tokens)), ""))
 
 
 def first_json_object(c: Column | str) -> Column:
-    """The first JSON object in each answer, after fences and thinking blocks are taken out; null without one."""
+    """The first JSON object in each answer, as its text, after fences and thinking blocks are taken out; null without one.
+
+    What the first brace opens is tried first; only where that isn't JSON are the other braces tried in turn."""
+    plain = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?s)<think>.*?</think>|```(?:json)?", "")
+    whole = lambda x: F.try_parse_json(x).isNotNull()
 
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(_first_object)
+    def each(t: Column) -> Column:
+        braces = F.filter(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.substr(t, i, F.lit(1)) == "{")
+        return F.get(F.filter(F.transform(braces, lambda i: _balanced(F.substr(t, i))), whole), F.lit(0))
 
-    return F.pandas_udf(find, "string")(c)
+    first = lambda t: _held(_balanced(F.substr(t, F.locate("{", t))), lambda x: F.when(whole(x), x).otherwise(each(t)))
+    return F.when(F.contains(plain, F.lit("{")), _held(plain, first))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadloom.operators.common import small
@@ -53,6 +54,36 @@ def strongest_other(new: DataFrame, quads: DataFrame) -> DataFrame:
     return out.withColumn("existing", F.when(F.col("o") != F.col("_best.o"), F.col("_best.c")).otherwise(F.col("_next"))).drop("_best", "_next").where("existing IS NOT NULL")
 
 
+#: A class's members are dealt to so many keys, so that a class of any size is many tasks' work.
+SALTS = 64
+
+
+def value_classes(quads: DataFrame, by: tuple[str, ...] = ("s", "p"), top: int = 10) -> DataFrame:
+    """Contradictions as classes: a row for each subject and predicate (or other columns) with several values.
+
+    n_values, n_pairs (unordered pairs of values) and `best`: the `top` values (o, confidence) by confidence, ties by value. So rows grow with
+    the values, not with their pairs; pairs_of() gives the pairs of some classes. Each value counts once, with its greatest confidence."""
+    keys = list(by)
+    values = quads.where("confidence IS NOT NULL").groupBy(*keys, "o").agg(F.max("confidence").alias("confidence"))
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)))
+    order = [F.desc("confidence"), F.asc("o")]
+    # A salt's best go on, with how many values it has.
+    parts = salted.withColumns({"_place": F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order)), "_n": F.count("*").over(W.partitionBy(*keys, "_salt"))}).where(F.col("_place") <= top)
+    own = F.struct((-F.col("confidence")).alias("c"), "o", "confidence")
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(own)), 1, top), lambda x: F.struct(x["o"].alias("o"), x["confidence"].alias("confidence")))
+    out = parts.groupBy(*keys).agg(F.sum(F.when(F.col("_place") == 1, F.col("_n"))).alias("n_values"), listed.alias("best")).where("n_values > 1")
+    return out.select(*keys, "n_values", F.expr("n_values * (n_values - 1) div 2").alias("n_pairs"), "best")
+
+
+def pairs_of(classes: DataFrame, quads: DataFrame, by: tuple[str, ...] = ("s", "p")) -> DataFrame:
+    """The unordered pairs of values (o1 < o2, with conf1 and conf2) of the classes given, on demand; a class's values are dealt to salts on one side and to all of them on the other."""
+    keys = list(by)
+    values = quads.where("confidence IS NOT NULL").join(small(classes.select(*keys).distinct()), keys, "left_semi").groupBy(*keys, "o").agg(F.max("confidence").alias("c"))
+    one = values.select(*keys, F.col("o").alias("o1"), F.col("c").alias("conf1"), F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int").alias("_salt"))
+    two = values.select(*keys, F.col("o").alias("o2"), F.col("c").alias("conf2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return one.join(two, [*keys, "_salt"]).where("o1 < o2").drop("_salt")
+
+
 def find_opposites(new: DataFrame, quads: DataFrame, opposites: DataFrame) -> DataFrame:
     """For each new triple the stored ones with an opposite predicate, declared in either direction; distinct by predicate and confidence."""
     both = small(opposites.select(F.col("p1").alias("p"), F.col("p2").alias("other_p")).union(opposites.select(F.col("p2").alias("p"), F.col("p1").alias("other_p"))).distinct())

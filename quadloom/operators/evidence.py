@@ -34,13 +34,19 @@ def penalised(confidence: Column, existing: Column, factor: float = PENALTY) ->
     return F.when(existing.isNull(), confidence).otherwise(confidence * (1 - existing * factor))
 
 
-def with_provenance(triples: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Each triple with the list of its provenance rows, by time; none give an empty list."""
+def with_provenance(triples: DataFrame, provenance: DataFrame, newest_first: bool = False) -> DataFrame:
+    """Each triple with the list of its provenance rows, by time; none give an empty list. For lookups: the list of a triple has all its sources."""
     own = F.struct("ingested_at", "source_url", "source_type", "extractor", "confidence")
-    lists = provenance.groupBy("triple_hash").agg(F.sort_array(F.collect_list(own)).alias("provenance"))
+    lists = provenance.groupBy("triple_hash").agg(F.sort_array(F.collect_list(own), not newest_first).alias("provenance"))
     return triples.join(lists, "triple_hash", "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(lists.schema["provenance"].dataType)))
 
 
+def provenance_rows(triples: DataFrame, provenance: DataFrame) -> DataFrame:
+    """As with_provenance(), as rows: each triple's sources, the newest first by sorting; a triple without any has one row of nulls. No list is gathered, whatever a triple's number of sources."""
+    own = provenance.select("triple_hash", "ingested_at", "source_url", "source_type", "extractor", F.col("confidence").alias("source_confidence"))
+    return triples.join(own, "triple_hash", "left").orderBy("triple_hash", F.desc_nulls_last("ingested_at"), "source_url")
+
+
 def evidence(triples: DataFrame, provenance: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunks that the triples come from."""
     return triples.join(provenance, "triple_hash").join(chunks, "chunk_id")

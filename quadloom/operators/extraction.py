@@ -10,7 +10,14 @@ from quadloom.functions.terms import slugify
 from quadloom.operators.common import small
 
 _ITEM = "subject string, predicate string, object string, uri string, rdf_type string, label string, occurred_at string, properties map<string,string>, confidence double, knowledge_type string"
-ANSWER = ", ".join(f"{k} array<struct<{_ITEM.replace(' ', ':').replace(',:', ', ')}>>" for k in ("entities", "relations", "items"))
+_STRUCT = f"struct<{_ITEM.replace(' ', ':').replace(',:', ', ')}>"
+KEYS = ("entities", "relations", "items")
+
+
+def _list_of(c: str) -> Column:
+    """Items as a list, or the values of an object of items; null for anything else."""
+    as_object = F.map_values(F.from_json(c, f"map<string,{_STRUCT}>"))
+    return F.when(F.trim(c).startswith("{"), as_object).otherwise(F.from_json(c, f"array<{_STRUCT}>"))
 
 
 def chosen_text(raw: Column, summary: Column, title: Column) -> Column:
@@ -23,9 +30,9 @@ def items_of(answers: DataFrame, text: str = "answer") -> DataFrame:
     """Items of answers in JSON (entities, relations or items; other columns stay), by shape, with the reason for which one is rejected.
 
     The shape is told by the fields: a uri makes an entity, a time an event, else it is a triple. Missing confidences take the shape's default."""
-    parsed = answers.withColumn("_a", F.from_json(first_json_object(text), ANSWER))
-    none = F.array().cast(parsed.select("_a.items").schema["items"].dataType)
-    every = F.concat(*(F.coalesce(f"_a.{k}", none) for k in ("entities", "relations", "items")))
+    parsed = answers.withColumn("_a", F.from_json(first_json_object(text), ", ".join(f"{k} string" for k in KEYS)))
+    none = F.expr(f"cast(array() as array<{_STRUCT}>)")
+    every = F.concat(*(F.coalesce(_list_of(f"_a.{k}"), none) for k in KEYS))
     others = [c for c in answers.columns if c != text]
     out = parsed.select(*others, F.posexplode(every).alias("item_index", "i")).select(*others, "item_index", "i.*")
     shape = F.when(F.col("uri").isNotNull(), "entity").when(F.col("occurred_at").isNotNull(), "event").otherwise("triple")

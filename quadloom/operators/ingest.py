@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.terms import target_graph, to_entity_uri, to_predicate_uri, triple_hash
 from quadloom.operators import conflicts, evidence, quads, reasoning
-from quadloom.operators.common import cut_lineage
+from quadloom.operators.common import cut_lineage, small
 from quadloom.operators.upsert import upsert
 from quadloom.plans.ontology import uri
 
@@ -68,7 +68,11 @@ def ingest(triples: DataFrame, store: DataFrame, provenance: DataFrame, inverses
     against = conflicts.find_contradictions(probe, quads.pattern(grown)).select("seq", "triple_hash", "is_new", "existing")
     against = against.unionByName(conflicts.find_opposites(probe, quads.pattern(grown), opposites).select("seq", "triple_hash", "is_new", "existing"))
     combined = evidence.combine_evidence(known.join(own.select("triple_hash").distinct(), "triple_hash", "left_semi"), ["triple_hash"])
-    worst = conflicts.strongest(against.where("is_new"), ["triple_hash"])
+    # The penalty needs the strongest contradiction alone, so the pairs are found only if the caller looks at them.
+    new = probe.where("is_new")
+    other = conflicts.strongest_other(new.select("triple_hash", "s", "p", "o"), quads.pattern(grown).join(small(new.select("s", "p").distinct()), ["s", "p"], "left_semi")).select("triple_hash", "existing")
+    opposite = conflicts.find_opposites(new, quads.pattern(grown), opposites).select("triple_hash", "existing")
+    worst = conflicts.strongest(other.unionByName(opposite), ["triple_hash"])
     confidence = combined.join(worst, "triple_hash", "left").withColumn("confidence", evidence.penalised(F.col("combined"), F.col("existing")) if apply_penalty else F.col("combined"))
     updates = own.select("triple_hash", "s", "p", "o").distinct().join(confidence.select("triple_hash", "confidence"), "triple_hash").withColumn("seq", F.lit(0))
     settled = cut_lineage(quads.update_confidence(grown, updates))

@@ -36,8 +36,19 @@ def write(quads: DataFrame, at: str) -> None:
     quads.repartition("graph", F.pmod(F.xxhash64("s"), F.lit(64))).write.partitionBy("graph").parquet(at)
 
 
-def by_hash(quads: DataFrame, triple_hash: str) -> DataFrame:
-    return quads.where(F.col("triple_hash") == triple_hash)
+def by_hash(quads: DataFrame, *hashes: str) -> DataFrame:
+    """The quads with one of the hashes, in every graph."""
+    return quads.where(F.col("triple_hash").isin(*hashes))
+
+
+def by_uri(table: DataFrame, *uris: str) -> DataFrame:
+    """Rows of a table of entities or predicates with one of the URIs."""
+    return table.where(F.col("uri").isin(*uris))
+
+
+def by_hashes(table: DataFrame, hashes: DataFrame) -> DataFrame:
+    """As by_hash(), for a table of hashes of any size; a repeated hash gives no row twice."""
+    return table.join(small(hashes.select("triple_hash").distinct()), "triple_hash", "left_semi")
 
 
 def knowledge_query(quads: DataFrame, subject: str | None = None, predicate: str | None = None, object_: str | None = None) -> DataFrame:

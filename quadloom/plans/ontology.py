@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,8 @@ alternative_to | technology | 0.5 | - | - | - | similar_to competitor_of compara
 MORE_OPPOSITES = (("increases", "decreases"), ("activates", "inhibits"), ("precedes", "follows"))
 FUNCTIONAL = ("amount", "currency")
 
+TYPE, LABEL, SINGLE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2002/07/owl#FunctionalProperty"
+
 SCHEMA_NS = "http://knowledge.local/schema/"
 DATA_NS = "http://knowledge.local/data/"
 #: The materiality of a predicate that the ontology doesn't name.
@@ -131,3 +135,54 @@ def registry(spark: SparkSession) -> DataFrame:
     """Each predicate with its sorted synonyms."""
     names = synonyms(spark).groupBy("predicate").agg(F.sort_array(F.collect_set("synonym")).alias("synonyms"))
     return predicates(spark).join(names, "predicate", "left")
+
+
+# Vocabularies of one's own, from triples
+
+
+def _pairs(triples: DataFrame, predicate: str, a: str, b: str) -> DataFrame:
+    one = triples.where(F.col("p") == uri(predicate)).select(F.col("s").alias(a), F.col("o").alias(b))
+    return one.union(one.select(F.col(b), F.col(a))).distinct()
+
+
+@dataclass
+class Vocabulary:
+    """The ontology's tables from triples (s, p, o), with the columns of the functions above."""
+
+    predicates: DataFrame
+    synonyms: DataFrame
+    opposites: DataFrame
+    inverses: DataFrame
+    functional: DataFrame
+
+    @property
+    def transitive(self) -> DataFrame:
+        return self.predicates.where("transitive").select("predicate")
+
+
+def vocabulary(triples: DataFrame, default: float = DEFAULT_MATERIALITY) -> Vocabulary:
+    """The vocabulary that an ontology graph holds: a predicate has a label and a domain (of several the first in the alphabet), and a weight or the default.
+
+    Of a synonym that several predicates have, one that is a label wins, then the first predicate in the alphabet."""
+    own = triples.where(F.col("s").isNotNull()).select("s", "p", "o").distinct()
+    one = lambda p, name: own.where(F.col("p") == p).groupBy(F.col("s").alias("predicate")).agg(F.min("o").alias(name))
+    known = own.where((F.col("p") == TYPE) & (F.col("o") == uri("Predicate"))).select(F.col("s").alias("predicate")).distinct()
+    out = known.join(one(LABEL, "label"), "predicate").join(one(uri("domain"), "domain"), "predicate")
+    weight = F.coalesce(F.expr("try_cast(weight as double)"), F.lit(default)).alias("materiality")
+    out = out.join(one(uri("materialityWeight"), "weight"), "predicate", "left").join(one(uri("transitivePredicate"), "flag"), "predicate", "left")
+    out = out.select("predicate", "label", "domain", weight, (F.coalesce("flag", F.lit("")) == "true").alias("transitive"))
+    slug = lambda c: F.replace(F.trim(F.lower(c)), F.lit(" "), F.lit("_")).alias("synonym")
+    names = out.select(slug("label"), "predicate", F.lit(0).alias("place")).union(own.where(F.col("p") == uri("synonym")).join(out, own.s == out.predicate).select(slug("o"), "predicate", F.lit(1)))
+    names = names.groupBy("synonym").agg(F.min(F.struct("place", "predicate")).alias("x")).select("synonym", "x.predicate")
+    single = own.where((F.col("p") == TYPE) & (F.col("o") == SINGLE)).select(F.col("s").alias("predicate")).distinct()
+    return Vocabulary(out, names, _pairs(own, "oppositePredicate", "p1", "p2"), _pairs(own, "inversePredicate", "predicate", "inverse"), single)
+
+
+def bootstrap(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The triples (s, p, o, o_kind) of vocabulary files that the ontology graph (s, p, o) lacks, as quads of it; loading files again gives none.
+
+    Triples of every file are taken, so a file dropped in later adds what it declares; single-valued predicates of the ontology are declared in any case."""
+    spark = found.sparkSession
+    fixed = spark.createDataFrame([(uri(x), TYPE, SINGLE, "iri") for x in FUNCTIONAL], "s string, p string, o string, o_kind string")
+    new = found.where(F.col("s").isNotNull()).select("s", "p", "o", "o_kind").union(fixed).distinct()
+    return new.join(held.select("s", "p", "o"), ["s", "p", "o"], "left_anti").select(F.lit("ontology").alias("graph"), "s", "p", "o", "o_kind")

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms, text
-from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, quads, reasoning, resolution, retrieval, text_index, vector_index
+from quadloom.operators import conflicts, evidence, extraction, ingest, patterns, prompts, quads, reasoning, resolution, retrieval, text_index, vector_index
 from quadloom.operators import jobs as job_ops
 from quadloom.operators.common import cut_lineage, first_by, new_folder
 from quadloom.operators.store import Store
 from quadloom.operators.upsert import replace_group, upsert
 from quadloom.plans import ontology, views
-from quadloom.schemas import OUTBOX, QUADS
-from quadloom.sources import chunking, formats
-from quadloom.streaming import outbox
+from quadloom.schemas import JOB_STATES, OUTBOX, QUADS
+from quadloom.sources import chunking, formats, turtle
+from quadloom.streaming import job_states, outbox
 
 KS, DATA = ontology.SCHEMA_NS, ontology.DATA_NS
 
@@ -736,6 +736,95 @@ def q_pattern_annotations(spark, sf):
     return patterns.annotations(quads.pattern(views.quads(spark, sf), graphs=["asserted"])).groupBy("name").agg(F.count("*").alias("n"))
 
 
+# Vocabularies, prompts, jobs and point reads
+
+
+@query(f"""WITH b AS (SELECT DISTINCT regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') AS brand, lower(p_type) AS kind FROM part), n AS (SELECT brand, brand = (SELECT min(brand) FROM b) AS first FROM b GROUP BY brand),
+w AS (SELECT replace(kind, ' ', '_') AS synonym, min(brand) AS brand FROM b GROUP BY ALL), s AS (SELECT brand, count(*) AS n FROM w WHERE synonym NOT IN (SELECT brand FROM b) GROUP BY ALL)
+SELECT '{KS}' || n.brand AS predicate, replace(n.brand, '_', ' ') AS label, 'parts' AS domain, CASE WHEN first THEN 0.5 ELSE 0.75 END::DOUBLE AS materiality, first AS transitive, coalesce(s.n, 0)::BIGINT AS n_synonyms FROM n LEFT JOIN s USING (brand)""")
+def q_turtle_vocabulary(spark, sf):
+    """Vocabulary files written from the parts' brands and types, read back, taken into the ontology graph twice, and made into tables."""
+    part = views.table(spark, sf, "part")
+    brands = part.select(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "_").alias("brand"), F.lower("p_type").alias("kind")).distinct()
+    own = brands.groupBy("brand").agg(F.array_join(F.array_sort(F.collect_set(turtle.literal("kind"))), ", ").alias("kinds")).crossJoin(F.broadcast(brands.agg(F.min("brand").alias("first"))))
+    flag = F.when(F.col("brand") == F.col("first"), ' ;\n  ks:transitivePredicate true').otherwise(' ; ks:materialityWeight "0.75"^^<http://www.w3.org/2001/XMLSchema#float>')
+    said = F.concat(F.lit(f"PREFIX ks: <{KS}>\nks:"), "brand", F.lit(f" a ks:Predicate ; # one of the brands\n  <{ontology.LABEL}> "), turtle.literal(F.replace("brand", F.lit("_"), F.lit(" "))), F.lit(' ; ks:domain "parts" ;\n  ks:synonym '), "kinds", flag, F.lit(" ."))
+    at = new_folder(spark, "vocabulary")
+    own.select(said.alias("value")).write.text(at)
+    found = cut_lineage(turtle.read_turtle(spark, at, glob="*.txt"))
+    graph = cut_lineage(ontology.bootstrap(found, spark.createDataFrame([], "s string, p string, o string")))
+    graph = graph.unionByName(ontology.bootstrap(found.unionByName(found), graph))
+    known = ontology.vocabulary(graph)
+    n = known.synonyms.join(known.predicates.select("predicate", F.replace("label", F.lit(" "), F.lit("_")).alias("slug")), "predicate").where("synonym <> slug").groupBy("predicate").agg(F.count("*").alias("n_synonyms"))
+    return known.predicates.join(n, "predicate", "left").na.fill(0, ["n_synonyms"])
+
+
+_PROMPT_SQL = "'" + prompts.DEFAULTS["entities"].format(context="{context}", text="{text}").replace("'", "''").replace("{context}", "' || 'Source type: ' || source || chr(10) || '").replace("{text}", "' || left(text, 4000) || '") + "'"
+
+
+@query(f"SELECT doc_id, {_PROMPT_SQL} AS prompt FROM documents WHERE source <> ''")
+def q_prompts(spark, sf):
+    own = views.table(spark, sf, "documents").where("source <> ''").select("doc_id", F.col("text").alias("chunk_text"), F.col("source").alias("source_type"))
+    return prompts.prompts(own, "entities").select("doc_id", "prompt")
+
+
+_ORDER_SQL = "[" + ", ".join(f"'{x}'" for x in JOB_STATES) + "]"
+
+
+@query(f"""WITH {views.JOBS}, r AS (SELECT content_id || '-' || job_id % 10 AS job_id, job_id AS event_id, created_at AS ts, status, list_position({_ORDER_SQL}, status) AS rank, status IN ('completed', 'failed') AS done FROM jobs),
+d AS (SELECT job_id, arg_min(status, (ts, event_id)) AS status, min(ts) AS since FROM r WHERE done GROUP BY ALL), l AS (SELECT job_id, arg_max(status, rank) AS status FROM r WHERE NOT done GROUP BY ALL),
+b AS (SELECT job_id, status, min(ts) AS since FROM r GROUP BY ALL), h AS (SELECT job_id, max(ts) AS heard, (SELECT max(ts) FROM r) AS now FROM r GROUP BY ALL)
+SELECT h.job_id, CASE WHEN d.status IS NOT NULL THEN d.status WHEN heard + INTERVAL 6 HOUR <= now THEN 'failed' ELSE l.status END AS status,
+    floor(epoch(CASE WHEN d.status IS NOT NULL THEN d.since WHEN heard + INTERVAL 6 HOUR <= now THEN heard + INTERVAL 6 HOUR ELSE b.since END))::BIGINT AS since,
+    CASE WHEN d.status IS NULL AND heard + INTERVAL 6 HOUR <= now THEN l.status END AS phase FROM h LEFT JOIN d USING (job_id) LEFT JOIN l USING (job_id) LEFT JOIN b ON b.job_id = l.job_id AND b.status = l.status""")
+def q_job_states(spark, sf):
+    own = views.jobs(spark, sf).select(F.concat_ws("-", "content_id", (F.col("job_id") % 10).cast("string")).alias("job_id"), F.col("job_id").alias("event_id"), F.col("created_at").alias("ts"), "status")
+    now = own.agg(F.max("ts")).first()[0]
+    return job_states.states(own, at=now, timeout="6 hours").select("job_id", "status", F.unix_timestamp("since").alias("since"), F.get_json_object("error", "$.phase").alias("phase"))
+
+
+@query(f"""WITH {views.PROVENANCE}, v AS (SELECT object AS s, subject AS o, max(confidence) AS c FROM prov GROUP BY ALL), n AS (SELECT s, count(*) AS n FROM v GROUP BY ALL HAVING n > 1)
+SELECT s, n AS n_values, (n * (n - 1) // 2)::BIGINT AS n_pairs, (SELECT string_agg(o || '=' || round(c, 2), ' ' ORDER BY c DESC, o) FROM (SELECT * FROM v WHERE v.s = n.s ORDER BY c DESC, o LIMIT 3)) AS best FROM n""")
+def q_contradiction_classes(spark, sf):
+    """Suppliers of a part as values of one property: classes with their three best."""
+    p = views.provenance(spark, sf).select(F.col("object").alias("s"), F.lit(KS + "supplied_by").alias("p"), F.col("subject").alias("o"), "confidence")
+    best = F.array_join(F.transform("best", lambda x: F.concat_ws("=", x["o"], F.round(x["confidence"], 2).cast("string"))), " ")
+    return conflicts.value_classes(p, top=3).select("s", "n_values", "n_pairs", best.alias("best"))
+
+
+@query(f"WITH {views.RETURN_FLAGS} SELECT a.s, a.o AS o1, b.o AS o2, a.confidence AS conf1, b.confidence AS conf2 FROM flags a JOIN flags b ON a.s = b.s AND a.o < b.o")
+def q_contradiction_pairs(spark, sf):
+    own = views.return_flags(spark, sf)
+    return conflicts.pairs_of(conflicts.value_classes(own), own).select("s", "o1", "o2", "conf1", "conf2")
+
+
+@query(f"""WITH {views.QUADS}, h AS (SELECT graph, sha256('<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END) AS triple_hash, p FROM quads) SELECT graph, triple_hash FROM h WHERE p = '{KS}located_in'""")
+def q_by_hashes(spark, sf):
+    """Quads by a list of hashes, made from the terms alone."""
+    asked = views.locations(spark, sf).select(terms.triple_hash("s", "p", "o").alias("triple_hash"))
+    return quads.by_hashes(views.quads(spark, sf), asked.unionByName(asked)).select("graph", "triple_hash")
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 4 < 3 THEN CASE WHEN event_id % 4 = 0 THEN epoch(ts::DATE)::BIGINT ELSE floor(epoch(ts))::BIGINT END END, -1) AS at FROM events")
+def q_iso_dates(spark, sf):
+    """Times as ISO texts of several forms, and as texts that are none, read back."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    text_ = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "dd.MM.yyyy HH:mm"))
+    return views.table(spark, sf, "events").select("event_id", F.coalesce(F.unix_timestamp(terms.iso_date(text_)), F.lit(-1)).alias("at"))
+
+
+@query(f"""SELECT 'order://' || o_orderkey AS source_url, 'llm' AS extractor, CASE WHEN o_orderkey % 2 = 0 THEN 'triple' ELSE 'event' END AS shape, CASE WHEN o_orderkey % 2 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM orders""")
+def q_claims(spark, sf):
+    """Orders as claims written as JSON lines, with lines that aren't JSON between them, and read back as items."""
+    o = views.table(spark, sf, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    item = F.struct(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("subject"), F.when(even, "ordered").alias("predicate"), F.when(even, F.col("o_orderkey").cast("string")).alias("object"), F.when(~even, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("occurred_at"))
+    line = F.to_json(F.struct(F.concat(F.lit("order://"), F.col("o_orderkey").cast("string")).alias("source_url"), F.lit("llm").alias("extractor"), F.array(item).alias("knowledge")))
+    at = new_folder(spark, "claims")
+    o.select(F.explode(F.array(line, F.lit("{not json"))).alias("value")).write.text(at)
+    return extraction.items_of(formats.read_claims(spark, at).where("error IS NULL").drop("item_index")).select("source_url", "extractor", "shape", "confidence")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suppliers supply, by combined evidence."""
     return q_noisy_or(spark, sf_dir)

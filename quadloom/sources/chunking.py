@@ -78,9 +78,9 @@ def sections(text: str) -> Iterator[tuple[str, str]]:
 
 
 def chunks_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """The chunks of one text with their section and place in it; places are looked for from a cursor that only moves on, then from the beginning."""
-    if not text.strip():
-        return []
+    """The chunks of one text with their section and place in it; places are looked for from a cursor that only moves on, then from the beginning.
+
+    A text that fits is one chunk, blank or not."""
     if is_markdown(text):
         parts = [(head, piece) for head, body in sections(text) for piece in split_text(body, size, overlap)]
     elif len(text) <= size:
@@ -99,12 +99,12 @@ def chunks_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]
 
 
 def chunk_documents(documents: DataFrame, key: str = "content_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key and the chunks of each document, in one pass without a shuffle."""
+    """key and the chunks of each document, in one pass without a shuffle; a null text has none."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{key: i, **c} for i, t in zip(pdf[key], pdf[text], strict=True) for c in chunks_of(t or "", size, overlap)]
+            rows = [{key: i, **c} for i, t in zip(pdf[key], pdf[text], strict=True) for c in (() if t is None else chunks_of(t, size, overlap))]
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_text", "section_header", "char_start", "char_end"])
 
     return documents.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CHUNK}")

@@ -106,7 +106,7 @@ def _parse(parsers: dict):
             if kind not in parsers:
                 return None, None, f"no parser for {kind}"
             try:
-                out = parsers[kind](data.decode("utf-8", "replace"))
+                out = parsers[kind](data.decode("utf-8", "strict" if kind == "text" else "replace"))
             except (ValueError, UnicodeError) as e:
                 return None, None, str(e)[:200]
             text, title = out if isinstance(out, tuple) else (out, "")
@@ -137,9 +137,9 @@ def read_url_list(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.text(at).select(F.trim("value").alias("url")).where("url <> '' AND NOT url LIKE '#%'")
 
 
-def read_requests(spark: SparkSession, at: str, schema: str) -> DataFrame:
-    """Requests as JSON lines or arrays; a line that isn't one has its text in _corrupt_record."""
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", False).json(at)
+def read_requests(spark: SparkSession, at: str, schema: str, *, whole: bool = False) -> DataFrame:
+    """Requests as JSON lines, or (whole) as files of one request or array each over any number of lines; what isn't one has its text in _corrupt_record."""
+    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", whole).json(at)
 
 
 _ITEMS = "array<struct<source_url:string, source_type:string, extractor:string, knowledge:array<struct<subject:string, predicate:string, object:string, uri:string, rdf_type:string, label:string, occurred_at:string, properties:map<string,string>, confidence:double, knowledge_type:string>>>>"
@@ -147,10 +147,13 @@ _ITEMS = "array<struct<source_url:string, source_type:string, extractor:string,
 
 def read_claims(spark: SparkSession, at: str) -> DataFrame:
     """Claims as JSON, a request or a list of requests on each line: a row for each knowledge item (item_index), its request's source
-    beside the items as JSON (answer) that extraction.items_of() takes; a line that isn't JSON gives no item."""
-    requests = spark.read.text(at).where("trim(value) <> ''").select(F.explode(F.from_json("value", _ITEMS)).alias("r")).select("r.*")
+    beside the items as JSON (answer) that extraction.items_of() takes; a line that isn't JSON gives a row with its text as error alone."""
+    lines = spark.read.text(at).where("trim(value) <> ''")
+    bad = lines.where(F.try_parse_json("value").isNull()).select(F.col("value").alias("error"))
+    requests = lines.where(F.try_parse_json("value").isNotNull()).select(F.explode(F.from_json("value", _ITEMS)).alias("r")).select("r.*")
     own = requests.where("knowledge IS NOT NULL").select("source_url", F.coalesce("source_type", F.lit("api")).alias("source_type"), F.coalesce("extractor", F.lit("api")).alias("extractor"), F.posexplode("knowledge").alias("item_index", "item"))
-    return own.select("source_url", "source_type", "extractor", F.to_json(F.struct(F.array("item").alias("items"))).alias("answer"))
+    own = own.select("source_url", "source_type", "extractor", F.to_json(F.struct(F.array("item").alias("items"))).alias("answer"), F.lit(None).cast("string").alias("error"))
+    return own.unionByName(bad, allowMissingColumns=True)
 
 
 def csv_lines(*columns: str) -> Column:

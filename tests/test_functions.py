@@ -75,6 +75,10 @@ def test_json_in_answers(spark):
     answer = 'noise <think>{"no": 1}</think> ```json\n{"a": {"b": [1]}} trailing```'
     assert one(spark, text.first_json_object("v"), v=answer) == '{"a": {"b": [1]}}'
     assert one(spark, text.first_json_object("v"), v="{broken") is None
+    for answer, want in {
+        'a {odd} then {"x": "}{", "y": "\\"}"} {"z": 1}': '{"x": "}{", "y": "\\"}"}', '{"a": 1': None, '{ {"b": {"c": []}}': '{"b": {"c": []}}', "": None, 'say "{ {"k": null}': '{"k": null}', "[1, 2]": None, '[{"q": 1}]': '{"q": 1}',
+    }.items():
+        assert one(spark, text.first_json_object("v"), v=answer) == want, answer
 
 
 def test_cosine(spark):

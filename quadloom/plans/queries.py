@@ -825,6 +825,152 @@ def q_claims(spark, sf):
     return extraction.items_of(formats.read_claims(spark, at).where("error IS NULL").drop("item_index")).select("source_url", "extractor", "shape", "confidence")
 
 
+# Upserts, filters, lookups and texts not met above
+
+
+@query("""SELECT 'urn:item_' || vec_id AS uri, CASE WHEN vec_id % 3 = 0 THEN 'renamed ' ELSE 'item ' END || vec_id AS label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM embeddings""")
+def q_upsert_embeddings(spark, sf):
+    e = views.table(spark, sf, "embeddings")
+    own = lambda df, word, version: df.select(F.concat(F.lit("urn:item_"), F.col("vec_id").cast("string")).alias("uri"), F.concat(F.lit(word), F.col("vec_id").cast("string")).alias("label"), "embedding", F.lit(version).cast("long").alias("version"))
+    return upsert(own(e, "item ", 1), own(e.where("vec_id % 3 = 0"), "renamed ", 2), ["uri"], "version").select("uri", "label", "version")
+
+
+@query("""WITH a AS (SELECT lower(p_brand) AS alias, p_type AS canonical, p_partkey AS seq FROM part) SELECT alias, arg_max(canonical, seq) AS canonical FROM a GROUP BY ALL""")
+def q_upsert_alias(spark, sf):
+    rows = views.table(spark, sf, "part").select(F.lower("p_brand").alias("alias"), F.col("p_type").alias("canonical"), F.col("p_partkey").alias("seq"))
+    return upsert(spark.createDataFrame([], "alias string, canonical string"), rows, ["alias"], "seq").select("alias", "canonical")
+
+
+@query(f"WITH {views.CONTENTS} SELECT content_id FROM contents WHERE source_type = 'src1'")
+def q_source_type(spark, sf):
+    return retrieval.eligible(views.contents(spark, sf), source_type="src1").select("content_id")
+
+
+@query(f"WITH {views.CONTENTS}, {_TEXT_SQL} SELECT chunk_id, round(rank, 6) AS rank FROM ranked WHERE content_id = (SELECT max(content_id) FROM ranked)")
+def q_content_scope(spark, sf):
+    """Text ranking within one content, the last that has a match."""
+    own = views.contents(spark, sf)
+    last = own.where(text.holds_any("chunk_text", _TERMS)).agg(F.max("content_id")).first()[0]
+    return retrieval.text_topk(retrieval.eligible(own, content_id=last), _QUESTION, 5).select("chunk_id", _r("rank"))
+
+
+@query(f"""WITH {views.QUADS}, f AS (SELECT s, p, o, graph, confidence FROM quads WHERE s = '{DATA}supplier_1' AND confidence >= 0.6 QUALIFY row_number() OVER (PARTITION BY s, p, o ORDER BY confidence DESC, graph) = 1)
+SELECT s, p, o, confidence, CASE graph WHEN 'asserted' THEN 'verified' ELSE 'extracted' END AS trust_tier FROM f""")
+def q_retrieve_entity(spark, sf):
+    """What a question about a name finds in the graph, with trust tiers and a least confidence."""
+    own = views.contents(spark, sf)
+    none = spark.createDataFrame([], "uri string, embedding array<double>")
+    chunks, content = own.select("content_id", "chunk_id", "chunk_text", "embedding"), own.select("content_id", "url", "source_type", "tags")
+    found = retrieval.retrieve("what of Supplier 1", lambda _: _query_vector(spark, sf), chunks=chunks, content=content, quads=views.quads(spark, sf), entities=none, predicates=none, kind="entity", names=["supplier 1"], least=0.6)
+    return found.triples.select("s", "p", "o", "confidence", "trust_tier")
+
+
+@query(f"""WITH {views.QUADS}, h AS (SELECT s, p, o, confidence FROM quads WHERE s = '{DATA}supplier_1' QUALIFY row_number() OVER (PARTITION BY s, p, o ORDER BY confidence DESC, graph) = 1),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY s, p ORDER BY confidence DESC, o) = 1)
+SELECT b.s, b.p, b.o, q.o AS other, q.confidence AS existing FROM b JOIN quads q ON q.s = b.s AND q.p = b.p AND q.o <> b.o""")
+def q_retrieve_contradictions(spark, sf):
+    """Contradictions of what was retrieved: of each property found, the surest value against all others stored."""
+    own = views.contents(spark, sf)
+    none = spark.createDataFrame([], "uri string, embedding array<double>")
+    chunks, content = own.select("content_id", "chunk_id", "chunk_text", "embedding"), own.select("content_id", "url", "source_type", "tags")
+    found = retrieval.retrieve("what of Supplier 1", lambda _: _query_vector(spark, sf), chunks=chunks, content=content, quads=views.quads(spark, sf), entities=none, predicates=none, kind="entity", names=["supplier 1"])
+    return found.contradictions.select("s", "p", "o", "other", "existing")
+
+
+@query(f"WITH {views.LOCATIONS} SELECT s, o, 1::BIGINT AS hop FROM loc WHERE starts_with(s, '{DATA}customer_') ORDER BY s, o LIMIT 200")
+def q_edges_capped(spark, sf):
+    """Edges from all customers, the first 200 by hop and terms."""
+    own = views.quads(spark, sf).where(F.col("p") == KS + "located_in")
+    start = own.where(F.col("s").startswith(DATA + "customer_")).select(F.col("s").alias("node"))
+    return reasoning.expand(own, start, 2, limit=200).select("s", "o", F.col("hop").cast("long").alias("hop"))
+
+
+@query(f"""WITH {views.RETURN_FLAGS}, {views.EFFECTS} SELECT 'value' AS kind, a.s, a.o AS o1, b.o AS o2, round(a.confidence * b.confidence, 6) AS probability FROM flags a JOIN flags b ON a.s = b.s AND a.o < b.o WHERE a.confidence * b.confidence >= 0.4
+UNION ALL SELECT 'opposite', a.s, a.o, NULL, round(a.confidence * b.confidence, 6) FROM effects a JOIN effects b ON a.s = b.s AND a.o = b.o AND a.p = '{KS}decreases' AND b.p = '{KS}increases'""")
+def q_all_conflicts(spark, sf):
+    own = views.return_flags(spark, sf).unionByName(views.effects(spark, sf))
+    found = conflicts.all_conflicts(own, ontology.functional(spark, ("return_flag",)), ontology.opposites(spark), least=0.4)
+    return found.select("kind", "s", F.coalesce("o1", "o").alias("o1"), "o2", _r("probability"))
+
+
+@query("SELECT doc_id, k::BIGINT AS chunk_index, substr(text, k * 3800 + 1, 4000) AS chunk_text FROM documents, unnest([0, 2]) t(k) WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE length(text) > 8000) ORDER BY k")
+def q_chunks_at(spark, sf):
+    """The first and the third chunk of the last long document."""
+    d = views.table(spark, sf, "documents")
+    last = d.where("length(text) > 8000").agg(F.max("doc_id")).first()[0]
+    own = chunking.fixed_chunks(d.select(F.col("doc_id").alias("content_id"), "text")).select("content_id", "chunk_index", "chunk_text")
+    return retrieval.chunks_at(own, last, [2, 0]).select(F.col("content_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
+
+
+@query(f"""WITH {views.QUADS} SELECT '<' || s || '> <' || p || '> ' || CASE o_kind WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END || ' <' || graph || '> .' AS line FROM quads""")
+def q_nquads(spark, sf):
+    at = new_folder(spark, "nquads")
+    formats.write_nquads(views.quads(spark, sf), at)
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("SELECT url FROM pages")
+def q_url_list(spark, sf):
+    """A list of the pages' URLs between comments and empty lines, read back."""
+    at = new_folder(spark, "urls")
+    pages = views.table(spark, sf, "pages")
+    pages.select(F.explode(F.array(F.concat(F.lit("# "), "url"), F.concat(F.lit("  "), "url", F.lit(" ")), F.lit(""))).alias("value")).write.text(at)
+    return formats.read_url_list(spark, at)
+
+
+@query("SELECT c_custkey, array_to_string([x FOR x IN [trim(y) FOR y IN string_split(c_name || ',' || c_mktsegment || ', ', ',')] IF x <> ''], '|') AS items FROM customer")
+def q_string_list(spark, sf):
+    c = views.table(spark, sf, "customer")
+    return c.select("c_custkey", F.array_join(formats.string_list(F.concat("c_name", F.lit(","), "c_mktsegment", F.lit(", "))), "|").alias("items"))
+
+
+@query(f"""WITH {views.QUADS} SELECT graph, CASE WHEN graph = 'asserted' THEN 'verified' WHEN graph = 'federated' THEN 'federated' ELSE 'extracted' END AS tier, s, string_split(s, '/')[-1] AS label, replace(replace(replace(o, '"', ''), '<', ''), '>', '') AS plain FROM quads""")
+def q_term_texts(spark, sf):
+    q = views.quads(spark, sf)
+    return q.select("graph", terms.trust_tier("graph").alias("tier"), "s", terms.display_label("s").alias("label"), terms.sanitised("o").alias("plain"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS as_date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS as_time, CASE WHEN o_orderkey % 2 = 0 THEN 'asserted' ELSE 'extracted' END AS graph,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || ' > ' || o_orderkey ELSE o_orderkey::VARCHAR END AS header, array_to_string(regexp_extract_all(o_orderstatus || '-' || o_orderkey || '?', '[A-Za-z0-9]+'), ' | ') AS words FROM orders""")
+def q_small_texts(spark, sf):
+    """Dates as texts, the graph that an extractor writes to, headings of sections and OR queries, for every order."""
+    o = views.table(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    key = F.col("o_orderkey").cast("string")
+    return o.select(
+        "o_orderkey", terms.validity_text("ts", F.lit(True)).alias("as_date"), terms.validity_text("ts", F.lit(False)).alias("as_time"), terms.target_graph(F.when(F.col("o_orderkey") % 2 == 0, "api").otherwise("llm")).alias("graph"),
+        terms.section_header(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")), F.lit(""), key).alias("header"), text.or_query(F.concat("o_orderstatus", F.lit("-"), key, F.lit("?"))).alias("words"),
+    )
+
+
+@query("""SELECT page_id, starts_with(url, 'http') AND NOT contains(url, 'localhost') AS safe, false AS local_safe, false AS file_safe FROM pages""")
+def q_url_safe(spark, sf):
+    """The pages' URLs, the same paths on a private address, and as files."""
+    path = F.regexp_replace("url", "^https?://[^/]*", "")
+    return views.table(spark, sf, "pages").select("page_id", formats.url_is_safe("url").alias("safe"), formats.url_is_safe(F.concat(F.lit("http://10.1.2.3"), path)).alias("local_safe"), formats.url_is_safe(F.concat(F.lit("file://"), path)).alias("file_safe"))
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, event_type AS t, value AS v FROM events) SELECT id FROM e WHERE (t IN ('purchase', 'view', 'signup', 'error') OR t = 'click') AND id % 2 = 1""")
+def q_outbox_pending(spark, sf):
+    """The rows still pending after half of them were marked as applied."""
+    rows = _staged(spark, sf)
+    marks = rows.where("id % 2 = 0").select("id", F.current_timestamp().alias("applied_at"))
+    return outbox.marked(rows, marks).where("applied_at IS NULL").select("id")
+
+
+@query(f"""WITH {views.LOCATIONS}, t AS (SELECT s, o FROM loc WHERE starts_with(s, '{DATA}nation')) SELECT o AS s, s AS o, 0.25::DOUBLE AS confidence FROM t""")
+def q_rules_of_ones_own(spark, sf):
+    """A rule beside the built-in ones: what a nation lies in surrounds it."""
+    own = views.quads(spark, sf).where(F.col("p") == KS + "located_in").withColumn("confidence", F.lit(0.5))
+
+    def surrounds(frontier, held):
+        found = frontier.where(F.col("p") == KS + "located_in").select(F.col("o").alias("s"), F.lit(KS + "surrounds").alias("p"), F.col("s").alias("o"), F.lit("iri").alias("o_kind"), (F.col("confidence") / 2).alias("confidence"), F.lit("surrounds").alias("method"), F.array("triple_hash").alias("derived_from"), "trigger", "path")
+        return found
+
+    triggers = own.where(F.col("s").startswith(DATA + "nation")).select("s", "p", "o", "o_kind", "confidence", "triple_hash")
+    got = reasoning.infer(triggers, own, ontology.inverses(spark), ontology.transitive(spark), max_depth=1, more={"surrounds": surrounds})
+    return got.where("method = 'surrounds'").select("s", "o", "confidence")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suppliers supply, by combined evidence."""
     return q_noisy_or(spark, sf_dir)

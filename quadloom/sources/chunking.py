@@ -36,7 +36,10 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
         return [text] if text.strip() else []
     at = next(k for k, s in enumerate(separators) if s == "" or s in text)
     mark, rest = separators[at], separators[at + 1 :]
-    parts = re.split(f"(?={re.escape(mark)})", text) if mark else [text[i : i + size] for i in range(0, len(text), size - overlap)]
+    if not mark:
+        # Windows that overlap as they are; the last one is that which reaches the end.
+        return [w for i in range(0, len(text) - overlap, size - overlap) if (w := text[i : i + size].strip())]
+    parts = re.split(f"(?={re.escape(mark)})", text)
     out: list[str] = []
     held: list[str] = []
 

@@ -80,7 +80,7 @@ def path(quads: DataFrame, s: str, p: str, o: str, *, at_least: int = 1, max_dep
 
     s and o are variables or constants, or one variable twice. A constant end is where the search begins, so only what it reaches is
     looked at. Cycles lead back to their nodes, and a path may end in a literal. Without a step, a constant is connected to itself, a variable
-    stands for each subject and object of the quads. A solution of two constants has no columns' values but `found`."""
+    stands for each subject and object of the quads. With two constants there is a row (`found`) if a path connects them."""
     edges = quads.where(F.col("p") == p).select("s", "o", "o_kind")
     constant = lambda t: not t.startswith("?")
     one = lambda t: quads.sparkSession.createDataFrame([(t,)], "node string")

@@ -877,7 +877,7 @@ def q_retrieve_contradictions(spark, sf):
     return found.contradictions.select("s", "p", "o", "other", "existing")
 
 
-@query(f"WITH {views.LOCATIONS} SELECT s, o, 1::BIGINT AS hop FROM loc WHERE starts_with(s, '{DATA}customer_') ORDER BY s, o LIMIT 200")
+@query(f"WITH {views.LOCATIONS}, a AS (SELECT s, o FROM loc WHERE starts_with(s, '{DATA}customer_')) SELECT s, o, hop FROM (SELECT s, o, 1::BIGINT AS hop FROM a UNION ALL SELECT s, o, 2::BIGINT FROM loc WHERE s IN (SELECT o FROM a)) ORDER BY hop, s, o LIMIT 200")
 def q_edges_capped(spark, sf):
     """Edges from all customers, the first 200 by hop and terms."""
     own = views.quads(spark, sf).where(F.col("p") == KS + "located_in")

@@ -50,6 +50,53 @@ def test_language(spark):
     assert right >= 0.97
 
 
+def plain_grams(text):
+    """How often each n-gram of one to three symbols occurs; what isn't a letter is a border, a triple has a letter in its middle."""
+    c, n = [0], Counter()
+    for x in (text or "").lower():
+        x = ord(x) if x.isalpha() else 0
+        if x or c[-1]:
+            c.append(x)
+    if c[-1]:
+        c.append(0)
+    for k, x in enumerate(c):
+        if x:
+            n[x] += 1
+        if k + 1 < len(c):
+            n[(x << 21) | c[k + 1]] += 1
+        if k + 2 < len(c) and c[k + 1]:
+            n[(((x << 21) | c[k + 1]) << 21) | c[k + 2]] += 1
+    return n
+
+
+def plain_top(n, size):
+    return [g for g, _ in sorted(n.items(), key=lambda i: (-i[1], i[0]))[:size]]
+
+
+def test_out_of_place_distances(spark):
+    r = random.Random(12)
+    letters = {"aa": "abcdeé", "bb": "cdefgß", "cc": "ghiабв"}
+    rows = [(k, " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(1, 5))) + r.choice(["", ".", "9", "-"]) for _ in range(r.randint(1, 40))), lang) for k, lang in enumerate(list(letters) * 5)]
+    rows += [(90, "12 !", "aa"), (91, None, "bb"), (92, "ABC ab", None)]
+    size = 25
+    profiles = {}
+    for lang in letters:
+        total = Counter()
+        for _, t, own in rows:
+            total += plain_grams(t) if own == lang and t is not None else Counter()
+        profiles[lang] = plain_top(total, size)
+    want = {}
+    for k, t, _ in rows:
+        top = plain_top(plain_grams(t), size) if any(x.isalpha() for x in t or "") else []
+        away = {lang: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        want[k] = (best, round(1 - away[best] / (size * len(top)), 9)) if top else ("und", 0.0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.profiles(docs, size=size)
+    assert found == profiles
+    assert {x.doc_id: (x.lang_pred, round(x.score, 9)) for x in language.predict(docs, found, size=size).collect()} == want
+
+
 def test_odd_texts_have_no_language(documents, rows):
     got = {r.doc_id: r for r in language.identify(documents).collect()}
     for i in (1, 2, 3, 18):

@@ -4,7 +4,8 @@ The format is a Parquet table of blocks, so that Spark's committer deals with lo
 documents, in ascending doc_id over all shards: `doc_ids`, `lengths` (ids of each), `packed` (ids of `width`
 bits, lowest bit first, back to back) and `block_start` (ids of the shard before it), by which any document's
 ids are found without unpacking others. Null texts count as empty, null doc_ids come first, repeated rows
-each have their place, an empty table gives an empty file set.
+each have their place (one after the other, in any order), an empty table gives an empty file set. Extra columns of any name take no part; a
+document of any length is in one block.
 """
 
 from __future__ import annotations

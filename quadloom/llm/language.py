@@ -7,7 +7,9 @@ share of the largest possible one.
 
 Training uses text and language of a sample of about `train_docs` documents of each language (a parameter; all
 of them where there are fewer); every document is then predicted from its whole text alone. A null text and one
-without letters give `und` and score 0. Without any labelled document all predictions are `und`.
+without letters give `und` and score 0. Without any labelled document all predictions are `und`;
+a table without a column `lang` can't be learned from and is an error, as are more than 5,000 languages, whose profiles wouldn't fit a worker.
+Repeated rows are predicted each, extra columns take no part, an empty table gives no rows, and n-grams of long texts are counted in parts.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ the threshold of 0.85 misses all 25 bands of 5 with a chance of 4e-7.
 
 Null and empty texts and those without words have an empty set and link with nothing; a text of fewer words
 than a shingle is one shingle as a whole. Rows with the same doc_id and text are one document in the result,
-each with its row; a null doc_id sorts after all others.
+each with its row; a null doc_id sorts after all others. An empty table gives no rows, extra columns of any name take no part
+(and stay, where whole rows are returned), and a text of any length is one set.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ packs what is left by best fit. The plan says for each length which stretches of
 sequences. A piece's number among those of its length comes from its task's counter and a running sum over
 tasks, so frequent lengths need no large group.
 
-Null texts count as empty (one piece: the end id alone); repeated rows are packed each; an empty table gives no rows.
+Null texts count as empty (one piece: the end id alone); repeated rows are packed each, in any order among pieces of one length;
+an empty table gives no rows, extra columns of any name take no part, and a text of any length is cut into as many pieces as it needs.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ Every document gets the base figures (words, their code points, symbols, repeate
 3-word windows). Documents that pass the base rule go through the cascade; each later rule runs on what the
 earlier ones left. The order changes the time taken and never the verdict. A null text counts as empty and
 fails the base rule, as does any text under 50 words; repeated rows are judged each.
+An empty table gives no rows, extra columns of any name take no part, and a text of any length is judged whole.
 """
 
 from __future__ import annotations

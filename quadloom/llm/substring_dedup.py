@@ -16,6 +16,7 @@ Documents with the same words are one class: the one with the least doc_id stand
 repeat. "Earlier" is by doc_id, then start; rows with the same doc_id and words are one document, those with the
 same doc_id and other words come by their words' hash; a null doc_id comes last. Texts of fewer than k words, empty
 and null ones lose nothing. Windows match by two 64-bit hashes, of the anchor and of all k words.
+An empty table gives no rows; extra columns of any name take no part (and stay, where whole rows are returned); a text may have any length.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ times, most of the distinct ones, are counted once per block right there: to joi
 more bytes than the texts have. A frequent pre-token has one row per block, whatever its
 number of documents, so no key is hot. (What is called a pre-token here is SPACED_WORD, a whole number of
 the tokenizer's own.) Nulls count as empty texts, an empty text has no tokens, and each row of the input has
-its row of the output, repeated ids too.
+its row of the output, repeated ids too. An empty table gives no rows, extra columns of any name take no part, and
+a text of any length is one document of its block.
 """
 
 from __future__ import annotations

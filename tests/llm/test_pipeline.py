@@ -38,3 +38,30 @@ def test_stages(spark):
     assert [i for i, _ in sorted(safe)] == [i for i, _ in sorted(passages)]
     assert not any(base_spans(t) for _, t in safe)
     assert {i for i, *_ in packed} == {i for i, _ in safe}
+
+
+@pytest.mark.parametrize("without", [(), ("n_chars",), ("source", "a.b")])
+def test_odd_documents(spark, documents, rows, without):
+    """Nulls, empty and long texts, repeated rows and clashing names go through every stage; extra columns stay until the last."""
+    docs = documents.select(*(f"`{c}`" for c in documents.columns if c not in without))
+    columns = docs.columns
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = written(stage(spark, docs, ""), "stage")
+        if k < 4:
+            assert docs.columns == columns
+            kept.append(docs.select("doc_id", "text", *(["n_chars"] if "n_chars" in columns else [])).collect())
+    assert {1, 2, 3, 18}.isdisjoint(r.doc_id for r in kept[0])
+    # Both rows of a repeated document stay as one document's; its near copies go.
+    assert [r.doc_id for r in kept[1] if r.doc_id in (6, 7, 8)] == [6]
+    assert all(r.text for r in kept[2])
+    if "n_chars" in columns:
+        assert all(r.n_chars == len(r.text) for r in kept[3])
+    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in kept[3]}
+
+
+def test_no_documents(spark, none):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), "stage")
+        assert docs.isEmpty()

@@ -31,9 +31,11 @@ def pattern(quads: DataFrame, s: str | None = None, p: str | None = None, o: str
     return quads
 
 
-def write(quads: DataFrame, at: str) -> None:
-    """The store as files in a folder for each graph, so that a restriction to graphs reads theirs alone."""
-    quads.repartition("graph", F.pmod(F.xxhash64("s"), F.lit(64))).write.partitionBy("graph").parquet(at)
+def write(quads: DataFrame, at: str, *, rows: int = 1_000_000) -> None:
+    """The store as files in a folder for each graph, so that a restriction to graphs reads theirs alone; a task writes about `rows` of a graph, whatever its subjects."""
+    largest = quads.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
+    groups = max(1, -(-largest // rows))
+    quads.repartition("graph", F.pmod(F.xxhash64("s", "p", "o"), F.lit(groups))).sortWithinPartitions("graph", "s", "p").write.partitionBy("graph").parquet(at)
 
 
 def by_hash(quads: DataFrame, *hashes: str) -> DataFrame:

@@ -38,7 +38,7 @@ def plain(labels, entities, aliases, least, ns=DATA):
     return {(label, cache[label.lower()], how[label.lower()]) for label, _ in labels}, added
 
 
-@pytest.mark.parametrize(("seed", "size", "least"), [(0, 2, 0.95), (1, 3, 0.8), (2, 6, 0.5), (3, 2, 0.2)])
+@pytest.mark.parametrize(("seed", "size", "least"), [(0, 2, 0.95), (2, 6, 0.5)])
 def test_entities_made_in_order(spark, seed, size, least):
     r = random.Random(seed)
     vector = lambda: [r.gauss(0, 1) for _ in range(size)]

@@ -80,5 +80,7 @@ def _resolved(found: DataFrame, embed: Callable[[str], Column], entities: DataFr
     e, added = resolution.resolve_entities(names, entities, aliases)
     for c in ("subject", "object"):
         to = e.select(F.col("label").alias(c), F.col("uri").alias("_uri"))
-        out = out.join(to, c, "left").withColumn(c, F.coalesce("_uri", c)).drop("_uri")
+        # A literal stays one, though a subject may have the same text.
+        resolved = F.col("_uri") if c == "subject" else F.when(is_object_entity(c), F.col("_uri"))
+        out = out.join(to, c, "left").withColumn(c, F.coalesce(resolved, c)).drop("_uri")
     return out, entities.unionByName(cut_lineage(added.select("uri", "label", F.col("embedding").cast(entities.schema["embedding"].dataType))), allowMissingColumns=True)

@@ -59,3 +59,23 @@ def test_run(spark):
     assert got.batch.contradictions.count() == 2
     counters = {r.content_id: r for r in got.counters.collect()}
     assert (counters["c1"].chunks_total, counters["c1"].chunks_embedded, counters["c1"].entities_linked) == (1, 1, 1)
+
+
+def test_entities_and_counters_of_a_run(spark):
+    """Near labels of one run are one entity; only new triples count, and what objects name still comes in as a fallback."""
+    rows = [("c1", "http://x/1", "Caffeine boosts alertness. Coffee boosts alertnes. It helps Rome boosts Paris.", None, "T", "web", dt.datetime(2024, 1, 1))]
+    content = spark.createDataFrame(rows, "content_id string, url string, raw_text string, summary string, title string, source_type string, ingested_at timestamp")
+    provenance = spark.createDataFrame([], "triple_hash string, source_url string, subject string, predicate string, object string, confidence double, ingested_at timestamp")
+    embed = lambda c: F.array(F.when(F.col(c).startswith("alert"), 1.0).otherwise(0.0), F.lit(0.0))
+    none = spark.createDataFrame([], "uri string, label string, embedding array<double>")
+    got = ingestion.run(content, spark.createDataFrame([], QUADS), provenance, embed, entities=none)
+    short = lambda x: x.rsplit("/")[-1]
+    held = {(short(r.s), short(r.p), short(r.o)) for r in got.batch.quads.where("graph = 'extracted'").collect()}
+    assert {("caffeine", "increases", "alertness"), ("coffee", "increases", "alertness"), ("rome", "increases", "paris")} <= held
+    assert {("paris", "label", "Paris")} <= {(s, p.rsplit("#")[-1], o) for s, p, o in held} and not any(s == "rome" and p.endswith("label") for s, p, o in held)
+    uris = {short(r.uri) for r in got.entities.collect()}
+    assert {"caffeine", "coffee", "alertness", "rome", "paris"} <= uris and "alertnes" not in uris
+    first = got.counters.first()
+    assert first.triples_created == len(held) and first.entities_resolved >= first.triples_created
+    again = ingestion.run(content, got.batch.quads, got.batch.provenance, embed, entities=got.entities)
+    assert again.counters.first().triples_created == 0 and again.entities.count() == got.entities.count()

@@ -113,3 +113,36 @@ def test_index_on_disk_reads_probed_lists(spark, tmp_path):
     assert {x.list for x in near.select("list").distinct().collect()} == set(vector_index.nearest_lists(query, centroids, 3))
     assert vector_index.fit(items.limit(0)).size == 0
     assert vector_index.search(items.select(F.col("item_id").alias("query_id"), "embedding"), vector_index.index(items, np.zeros((0, 0))), np.zeros((0, 0)), 3).isEmpty()
+
+
+def test_nearest_holds_tiles_not_products():
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(7)
+    # Components of few values, so that many scores tie.
+    q, i = r.integers(-1, 2, (2_000, 4)).astype(float), r.integers(-1, 2, (10_000, 4)).astype(float)
+    frame = lambda v, name, seed: pd.DataFrame({name: np.random.default_rng(seed).permutation(len(v)), "embedding": list(v), "ord": range(len(v))})
+    asked, items = frame(q, "query_id", 1), frame(i, "item_id", 2)
+    tracemalloc.start()
+    got = retrieval._nearest(3, None, True)(asked, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    by_id = items.sort_values("item_id")
+    with np.errstate(invalid="ignore"):
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        at = np.arange(0, 2_000, 37)
+        scores = np.nan_to_num(unit(q[at]) @ unit(np.stack(by_id.embedding)).T, nan=-np.inf)
+    scores[by_id.ord.to_numpy()[None, :] >= at[:, None]] = -np.inf
+    found = {k: x for k, x in got.groupby("query_id")}
+    for row, s in zip(at, scores, strict=True):
+        own = found.get(asked.query_id[row])
+        want = np.sort(s)[::-1][:3]
+        want = want[want > -np.inf]
+        assert np.allclose([] if own is None else own.similarity, want)
+    # Whatever the tiles, the same rows.
+    small = retrieval._nearest(3, 0.2, True, tile=(7, 11))(asked[:200], items[:300])
+    whole = retrieval._nearest(3, 0.2, True, tile=(200, 300))(asked[:200], items[:300])
+    assert len(small) == len(whole) and np.allclose(small.similarity, whole.similarity) and list(small.query_id) == list(whole.query_id)

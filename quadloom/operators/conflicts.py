@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import small
+from quadloom.operators.common import cut_lineage, small
 
 
 def _scored(pairs: DataFrame, least: float) -> DataFrame:
@@ -75,12 +75,23 @@ def value_classes(quads: DataFrame, by: tuple[str, ...] = ("s", "p"), top: int =
     return out.select(*keys, "n_values", F.expr("n_values * (n_values - 1) div 2").alias("n_pairs"), "best")
 
 
+#: Values of a class that one key has, about, when its pairs are made.
+KEY_VALUES = 1_000
+
+
 def pairs_of(classes: DataFrame, quads: DataFrame, by: tuple[str, ...] = ("s", "p")) -> DataFrame:
-    """The unordered pairs of values (o1 < o2, with conf1 and conf2) of the classes given, on demand; a class's values are dealt to salts on one side and to all of them on the other."""
+    """The unordered pairs of values (o1 < o2, with conf1 and conf2) of the classes given, on demand.
+
+    A class of up to KEY_VALUES values has one key. A larger one has a key for each so many of its values: its values are dealt to them on one
+    side and copied to all of them on the other, so what is shuffled grows with the values and, for large classes, slower than their pairs."""
     keys = list(by)
-    values = quads.where("confidence IS NOT NULL").join(small(classes.select(*keys).distinct()), keys, "left_semi").groupBy(*keys, "o").agg(F.max("confidence").alias("c"))
-    one = values.select(*keys, F.col("o").alias("o1"), F.col("c").alias("conf1"), F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int").alias("_salt"))
-    two = values.select(*keys, F.col("o").alias("o2"), F.col("c").alias("conf2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    wanted = quads.where("confidence IS NOT NULL").join(small(classes.select(*keys).distinct()), keys, "left_semi")
+    values = cut_lineage(wanted.groupBy(*keys, "o").agg(F.max("confidence").alias("c")))
+    # Few classes are large, whatever the number of classes.
+    large = values.groupBy(*keys).count().where(F.col("count") > KEY_VALUES).select(*keys, F.ceil(F.col("count") / KEY_VALUES).cast("int").alias("_keys"))
+    dealt = values.join(small(large), keys, "left").withColumn("_keys", F.coalesce("_keys", F.lit(1)))
+    one = dealt.select(*keys, F.col("o").alias("o1"), F.col("c").alias("conf1"), F.pmod(F.xxhash64("o"), F.col("_keys")).cast("int").alias("_salt"))
+    two = dealt.select(*keys, F.col("o").alias("o2"), F.col("c").alias("conf2"), F.explode(F.sequence(F.lit(0), F.col("_keys") - 1)).alias("_salt"))
     return one.join(two, [*keys, "_salt"]).where("o1 < o2").drop("_salt")
 
 

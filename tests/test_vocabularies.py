@@ -122,3 +122,25 @@ def test_items_as_objects_and_bad_lines(spark, tmp_path):
     assert sorted((r.source_url or "", r.error or "") for r in rows) == [("", "oops"), ("u", "")]
     (tmp_path / "many.json").write_text('[\n {"k": 1},\n {"k": 2}\n]')
     assert sorted(r.k for r in formats.read_requests(spark, str(tmp_path / "many.json"), "k int", whole=True).collect()) == [1, 2]
+
+
+def _generated(node) -> list[int]:
+    """Rows that each Generate of an executed plan made."""
+    name = node.nodeName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    own = [node.metrics().apply("numOutputRows").value()] if name == "Generate" else []
+    return own + [n for x in below for n in _generated(x)]
+
+
+def test_pairs_of_small_classes_are_not_copied(spark, monkeypatch):
+    rows = [("g", f"s{i}", "p", f"v{j}", 0.5) for i in range(50) for j in range(3)] + [("g", "hot", "p", f"w{j:02}", 0.5) for j in range(40)]
+    df = spark.createDataFrame(rows, "graph string, s string, p string, o string, confidence double")
+    every = sorted([(f"s{i}", f"v{a}", f"v{b}") for i in range(50) for a in range(3) for b in range(a + 1, 3)] + [("hot", f"w{a:02}", f"w{b:02}") for a in range(40) for b in range(a + 1, 40)])
+    pairs = conflicts.pairs_of(conflicts.value_classes(df), df)
+    assert sorted((x.s, x.o1, x.o2) for x in pairs.collect()) == every
+    assert sum(_generated(pairs._jdf.queryExecution().executedPlan())) <= len(rows)
+    # A large class has several keys, a small one still one.
+    monkeypatch.setattr(conflicts, "KEY_VALUES", 10)
+    pairs = conflicts.pairs_of(conflicts.value_classes(df), df)
+    assert sorted((x.s, x.o1, x.o2) for x in pairs.collect()) == every
+    assert sum(_generated(pairs._jdf.queryExecution().executedPlan())) == 150 + 4 * 40

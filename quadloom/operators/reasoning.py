@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import cut_lineage, first_by, small
+from quadloom.operators.common import cut_lineage, dealt, first_by, small
 from quadloom.plans.ontology import uri
 
 SPO = ["s", "p", "o"]
@@ -75,7 +75,8 @@ def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive
     rules = [*_RULES, *(more or {})]
     # Of the store, only what the rules join with takes part in each level, and what a level finds is looked up by its keys.
     joined = small(transitive.select(F.col("predicate").alias("p")).union(quads.sparkSession.createDataFrame([(IS_A,), (HAS_PROPERTY,)], "p string")).distinct())
-    usable = cut_lineage(quads.where("confidence IS NOT NULL").join(joined, "p", "left_semi").select(*SPO, "o_kind", "confidence", "triple_hash"))
+    # These are dealt out by their terms: a predicate's few quads may be read by one task, and what each joins with is made where it is.
+    usable = cut_lineage(quads.where("confidence IS NOT NULL").join(joined, "p", "left_semi").select(*SPO, "o_kind", "confidence", "triple_hash").repartition(*SPO))
     frontier = triggers.withColumns({"trigger": F.col("triple_hash"), "path": F.lit("")})
     done, seen = None, triggers.select(F.col("triple_hash").alias("trigger"), *SPO)
     for depth in range(1, max_depth + 1):
@@ -84,7 +85,9 @@ def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive
             found = found.unionByName(rule(frontier, quads))
         rule = F.array_position(F.array(*map(F.lit, rules)), F.col("method"))
         place = F.concat_ws("/", "path", F.concat(rule.cast("string"), F.lit(":"), F.array_join("derived_from", "+")))
-        found = cut_lineage(first_by(found.withColumn("path", place).join(seen, ["trigger", *SPO], "left_anti"), ["trigger", *SPO], "path"))
+        # Derivations go to tasks by their number before any is sorted, as a few quads of a class may lead to most of them.
+        found = dealt(found.withColumn("path", place), ["trigger", *SPO])
+        found = cut_lineage(first_by(found.join(seen, ["trigger", *SPO], "left_anti"), ["trigger", *SPO], "path"))
         if found.isEmpty():
             break
         stored = quads.select(*SPO).join(small(found.select(*SPO).distinct()), SPO, "left_semi").distinct()

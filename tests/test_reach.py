@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions import stemming, text
-from quadloom.operators import patterns, quads, reasoning, text_index
+from quadloom.operators import common, patterns, quads, reasoning, text_index
 from quadloom.plans import ontology
 from quadloom.plans.ontology import DATA_NS as DATA
 from quadloom.plans.ontology import uri
@@ -134,3 +134,22 @@ def test_knn_index_query_recall(spark):
 
     sf = "/root/testdata/sf0.01"
     assert vector_index.recall(QUERIES["q_knn_index"](spark, sf), QUERIES["q_entity_resolve"](spark, sf)) >= 0.9
+
+
+def test_derivations_of_one_class_go_to_many_tasks(spark, monkeypatch):
+    spread = []
+
+    def first_by(df, *a, **b):
+        spread.append([r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return common.first_by(df, *a, **b)
+
+    monkeypatch.setattr(common, "TASK_ROWS", 500)
+    monkeypatch.setattr(reasoning, "first_by", first_by)
+    isa = spark.range(1000).select(F.concat(F.lit("http://x/part"), F.col("id").cast("string")).alias("s"), F.lit(reasoning.IS_A).alias("p"), F.lit("http://x/brand").alias("o"), F.lit("iri").alias("o_kind"))
+    held = spark.createDataFrame([("http://x/brand", reasoning.HAS_PROPERTY, f"v{i}", "literal") for i in range(5)], "s string, p string, o string, o_kind string").coalesce(1)
+    own = quads.with_hash(isa.unionByName(held).withColumn("confidence", F.lit(0.5)))
+    triggers = own.where(F.col("p") == reasoning.IS_A)
+    got = reasoning.infer(triggers, own, ontology.inverses(spark), ontology.transitive(spark))
+    assert got.where("depth = 1").count() == 5_000 == got.select("s", "o").distinct().count()
+    # Before any is sorted, in ten tasks, none with most of them.
+    assert len(spread[0]) == 10 and max(spread[0]) < 1_200

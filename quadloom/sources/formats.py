@@ -195,8 +195,8 @@ def url_is_safe(url: Column | str) -> Column:
 
 
 def write_nquads(quads: DataFrame, at: str) -> None:
-    """A dump, a line for each quad."""
+    """A dump, a line for each quad, in gzip files of a million lines at most: these are read by a task each, and lines repeat most of their terms."""
     from quadloom.functions.terms import term_text
 
     line = F.concat_ws(" ", F.concat(F.lit("<"), "s", F.lit(">")), F.concat(F.lit("<"), "p", F.lit(">")), term_text("o", F.col("o_kind") == "iri"), F.concat(F.lit("<"), "graph", F.lit(">")), F.lit("."))
-    quads.select(line.alias("value")).write.text(at)
+    quads.select(line.alias("value")).write.option("maxRecordsPerFile", 1_000_000).text(at, compression="gzip")

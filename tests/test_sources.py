@@ -118,3 +118,19 @@ def test_claims(spark, tmp_path):
     (tmp_path / "claims.jsonl").write_text(one + "\n" + two + "\n\nnot json\n")
     got = extraction.items_of(formats.read_claims(spark, str(tmp_path / "claims.jsonl")).drop("item_index")).orderBy("source_url", "shape").collect()
     assert [(r.source_url, r.extractor, r.shape, r.confidence, r.rejected) for r in got] == [("u1", "me", "event", 1.0, None), ("u1", "me", "triple", 0.8, None), ("u2", "api", "entity", 0.4, None)]
+
+
+def test_dump_is_compressed(spark, tmp_path):
+    lines = spark.range(20_000).selectExpr("'asserted' AS graph", "concat('http://knowledge.local/data/order_', id) AS s", "'http://knowledge.local/schema/contains' AS p", "concat('http://knowledge.local/data/part_', id % 99) AS o", "'iri' AS o_kind")
+    formats.write_nquads(lines, str(tmp_path / "nq"))
+    back = spark.read.text(str(tmp_path / "nq"))
+    assert back.distinct().count() == 20_000
+    assert back.where("value = '<http://knowledge.local/data/order_7> <http://knowledge.local/schema/contains> <http://knowledge.local/data/part_7> <asserted> .'").count() == 1
+    assert sum(f.stat().st_size for f in (tmp_path / "nq").iterdir()) < 20_000 * 130 / 5
+
+
+def test_views_shuffle_keys_not_terms(spark):
+    from quadloom.plans import views
+
+    plan = views.quads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey#" in plan and "hashpartitioning(l_orderkey#" in plan

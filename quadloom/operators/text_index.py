@@ -19,7 +19,8 @@ SALTS = 16
 
 def postings(chunks: DataFrame, *, stemming: bool = True) -> DataFrame:
     """term, chunk_id and positions (from 0, among the words that count) of all chunks (chunk_id, chunk_text)."""
-    words = chunks.select("chunk_id", F.posexplode(text.analyze("chunk_text")).alias("at", "word"))
+    # Texts are shuffled instead of their words with places: what is grouped lies together then.
+    words = chunks.select("chunk_id", "chunk_text").repartition("chunk_id").select("chunk_id", F.posexplode(text.analyze("chunk_text")).alias("at", "word"))
     each = words.groupBy("chunk_id", "word").agg(F.collect_list("at").alias("positions"))
     if not stemming:
         return each.select(F.col("word").alias("term"), "chunk_id", F.array_sort("positions").alias("positions"))
@@ -35,8 +36,8 @@ def _bucket(buckets: int):
 
 def write(found: DataFrame, at: str, *, buckets: int = BUCKETS, parts: int = 8) -> None:
     """Postings as files; a bucket's rows are dealt to `parts` tasks by chunk, so a frequent term isn't one task's."""
-    own = found.withColumn("bucket", _bucket(buckets)).withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
-    own.repartition("bucket", "_part").sortWithinPartitions("bucket", "term").drop("_part").write.partitionBy("bucket").parquet(at)
+    own = found.repartition(_bucket(buckets), F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("bucket", _bucket(buckets))
+    own.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(at)
 
 
 def terms(question: str, *, stemming: bool = True) -> list[str]:

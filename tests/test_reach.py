@@ -153,3 +153,12 @@ def test_derivations_of_one_class_go_to_many_tasks(spark, monkeypatch):
     assert got.where("depth = 1").count() == 5_000 == got.select("s", "o").distinct().count()
     # Before any is sorted, in ten tasks, none with most of them.
     assert len(spread[0]) == 10 and max(spread[0]) < 1_200
+
+
+def test_postings_shuffle_texts_once(spark):
+    from quadloom.plans import views
+
+    plan = text_index.postings(views.chunks(spark, "/root/testdata/sf0.001"), stemming=False)._jdf.queryExecution().executedPlan().toString()
+    # One exchange, below the words and their places; none for vectors.
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate")
+    assert "embedding" not in plan

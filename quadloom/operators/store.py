@@ -12,12 +12,14 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import small
+from quadloom.operators.common import few, sieve, small
 from quadloom.operators.quads import insert as inserted
 from quadloom.schemas import QUADS
 
 #: Quads of a bucket, about, when a store is made.
 BUCKET_ROWS = 1_000_000
+#: A store of so few buckets may have buckets of any size: these are written by the tasks that have the rows, instead of one task for each.
+FEW_BUCKETS = 16
 _VERSION = "graph string, bucket int, folder string, buckets int, label string"
 
 
@@ -56,11 +58,13 @@ class Store:
         self.spark.createDataFrame(rows, _VERSION).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/versions/{version}")
         return version
 
-    def _write(self, quads: DataFrame, version: int, buckets: int) -> list[tuple]:
-        """Writes quads by bucket; the folders made."""
+    def _write(self, quads: DataFrame, version: int, buckets: int, *, gathered: bool) -> list[tuple]:
+        """Writes quads by bucket, gathered in one file for each or, without a shuffle, in one for each of the tasks that have some; the folders made."""
         at = f"{self.at}/data/{version}"
-        dealt = quads.select(*_columns(), F.col("graph").alias("g"), self._bucket(buckets).alias("b")).repartition("g", "b").sortWithinPartitions("g", "b", "s", "p")
-        dealt.write.mode("overwrite").partitionBy("g", "b").parquet(at)
+        dealt = quads.select(*_columns(), F.col("graph").alias("g"), self._bucket(buckets).alias("b"))
+        dealt = dealt.repartition("g", "b") if gathered else dealt
+        # Hashes are most of a quad, and half as long when their digits are coded.
+        dealt.sortWithinPartitions("g", "b", "s", "p").write.mode("overwrite").option("compression", "zstd").partitionBy("g", "b").parquet(at)
         name = lambda folder: unquote(folder.split("=", 1)[1])
         return [(name(g), int(name(b)), f"{at}/{g}/{b}") for g in self._folders(at) if g.startswith("g=") for b in self._folders(f"{at}/{g}")]
 
@@ -75,7 +79,7 @@ class Store:
         if buckets is None:
             largest = quads.groupBy("graph").count().agg(F.max("count")).first()[0] or 0
             buckets = max(1, -(-largest // BUCKET_ROWS))
-        self._commit(0, self._write(quads, 0, buckets), buckets, None)
+        self._commit(0, self._write(quads, 0, buckets, gathered=buckets > FEW_BUCKETS), buckets, None)
         return self
 
     def label(self) -> str | None:
@@ -95,7 +99,16 @@ class Store:
         """The quads with the keys' hashes (triple_hash, and graph if it has that), read from their buckets alone."""
         entries = self._entries(version)[1]
         on = [c for c in ("graph", "triple_hash") if c in keys.columns]
-        return self._of(self._touched(entries, keys)).join(small(keys.select(*on).distinct()), on, "left_semi").select(*_columns())
+        return self._apart(self._touched(entries, keys), keys.select(*on))[0]
+
+    def _apart(self, entries: list[Row], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The entries' quads with the keys, and those without; quads that can't have one aren't shuffled, whatever the number of keys."""
+        own, on = self._of(entries), keys.columns
+        if few(keys):
+            return tuple(own.join(F.broadcast(keys), on, how).select(*_columns()) for how in ("left_semi", "left_anti"))
+        may, other = sieve(own, keys, "triple_hash")
+        keys = keys.distinct()
+        return may.join(keys, on, "left_semi").select(*_columns()), other.unionByName(may.join(keys, on, "left_anti").select(*_columns()))
 
     def _touched(self, entries: list[Row], keys: DataFrame) -> list[Row]:
         """The entries that keys fall in; as many rows as there are buckets at most."""
@@ -111,8 +124,9 @@ class Store:
         if label is not None and entries[0].label == label:
             return last
         touched = self._touched(entries, keys)
-        kept = self._of(touched).join(small(keys.select("graph", "triple_hash").distinct()), ["graph", "triple_hash"], "left_anti")
-        new = self._write(kept.select(*_columns()).unionByName(quads.select(*_columns())), last + 1, entries[0].buckets)
+        kept = self._apart(touched, keys.select("graph", "triple_hash"))[1]
+        gathered = entries[0].buckets > FEW_BUCKETS or self._of(touched).count() <= BUCKET_ROWS
+        new = self._write(kept.unionByName(quads.select(*_columns())), last + 1, entries[0].buckets, gathered=gathered)
         gone = {(e.graph, e.bucket) for e in touched} | {(g, b) for g, b, _ in new}
         stays = [(e.graph, e.bucket, e.folder) for e in entries if e.folder and (e.graph, e.bucket) not in gone]
         return self._commit(last + 1, stays + new, entries[0].buckets, label)

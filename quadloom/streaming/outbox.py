@@ -41,7 +41,7 @@ def fold(rows: DataFrame, keys: tuple[str, ...] = ("graph", "triple_hash")) -> D
 
 @dataclass
 class Applied:
-    """What rows come to: the keys (graph, triple_hash) that may change, their quads afterwards, and each row applied (id, operation, triple_hash, is_new)."""
+    """What rows come to: the keys (graph, triple_hash) that may change (a key may come twice), their quads afterwards, and each row applied (id, operation, triple_hash, is_new)."""
 
     keys: DataFrame
     state: DataFrame
@@ -147,7 +147,7 @@ def _reached(explicit: DataFrame, rests: DataFrame, events: DataFrame, held: Cal
 
 
 def replay(rows: DataFrame, held: Callable[[DataFrame], DataFrame], inferred: DataFrame) -> Applied:
-    """Pending rows in the order of their ids, over quads that held() gives by triple_hash; inferred: the inferred graph's quads.
+    """Pending rows in the order of their ids, over quads that held() gives by triple_hash (a hash may come many times); inferred: the inferred graph's quads.
 
     Inserts keep a quad's first annotations and add what it rests on; confidences are set in every graph that has the triple then (null ones
     are passed over); rows of no known operation stay pending."""
@@ -157,15 +157,18 @@ def replay(rows: DataFrame, held: Callable[[DataFrame], DataFrame], inferred: Da
     explicit = rows.where("operation = 'retract_inference'").select("triple_hash", "id", F.lit(0).alias("level"))
     rests = inferred.select("triple_hash", F.explode("derived_from").alias("on")).union(events.where("graph = 'inferred'").select("triple_hash", F.explode("derived_from"))).distinct()
     folded = None if explicit.isEmpty() else _reached(explicit, rests, events, held)
+    keys = events.select("triple_hash")
     if folded is None:
-        folded = spark.createDataFrame([], _FOLDED)
-    ordered = folded.select("triple_hash").distinct()
-    plain = events.join(ordered, "triple_hash", "left_anti")
-    stored = cut_lineage(held(events.select("triple_hash").unionByName(ordered).distinct()))
+        # Without retractions there is nothing to tell apart, and no row is shuffled for it.
+        folded, others = spark.createDataFrame([], _FOLDED), lambda df: df
+    else:
+        ordered = folded.select("triple_hash").distinct()
+        keys, others = keys.union(ordered), lambda df: df.join(ordered, "triple_hash", "left_anti")
+    plain, stored = others(events), cut_lineage(held(keys))
     # Of the other triples: the first insert of each graph, what they rest on, and the last confidence if it came later.
     first = plain.where("kind = 'insert'").groupBy("graph", "triple_hash").agg(F.min("id").alias("since"), F.min_by(F.struct(*_OWN[1:]), "id").alias("x"), F.array_distinct(F.flatten(F.collect_set("derived_from"))).alias("more"))
     last = plain.where("kind = 'update'").groupBy("triple_hash").agg(F.max("id").alias("at"), F.max_by("confidence", "id").alias("_confidence"))
-    own = stored.join(ordered, "triple_hash", "left_anti").select("graph", "triple_hash", F.struct(*_OWN[1:], "derived_from").alias("h"))
+    own = others(stored).select("graph", "triple_hash", F.struct(*_OWN[1:], "derived_from").alias("h"))
     both = own.join(first, ["graph", "triple_hash"], "full").join(last, "triple_hash", "left")
     value = lambda c: F.when(F.col("h").isNotNull(), F.col(f"h.{c}")).otherwise(F.col(f"x.{c}")).alias(c)
     later = F.col("_confidence").isNotNull() & (F.col("h").isNotNull() | (F.col("at") > F.col("since")))
@@ -178,14 +181,14 @@ def replay(rows: DataFrame, held: Callable[[DataFrame], DataFrame], inferred: Da
     plain_new = plain.where("kind = 'insert'").join(begun, ["graph", "triple_hash"], "left").select("id", F.coalesce(F.col("id") == F.col("since"), F.lit(False)).alias("is_new"))
     is_new = plain_new.unionByName(folded.where("what = 'entry'").select("id", "is_new"))
     entries = rows.select("id", "operation", "triple_hash").join(is_new, "id", "left")
-    keys = stored.select("graph", "triple_hash").union(state.select("graph", "triple_hash")).distinct()
+    keys = stored.select("graph", "triple_hash").union(state.select("graph", "triple_hash"))
     return Applied(keys, state, entries)
 
 
 def apply(quads: DataFrame, rows: DataFrame) -> DataFrame:
     """The quads after the pending rows. Applying rows again changes nothing, unless they retract what they insert later."""
-    done = replay(rows, lambda keys: quads.join(small(keys), "triple_hash", "left_semi"), quads.where("graph = 'inferred'"))
-    return quads.join(small(done.keys), ["graph", "triple_hash"], "left_anti").select(*quads.columns).unionByName(done.state.select(*quads.columns))
+    done = replay(rows, lambda keys: quads.join(small(keys.distinct()), "triple_hash", "left_semi"), quads.where("graph = 'inferred'"))
+    return quads.join(small(done.keys.distinct()), ["graph", "triple_hash"], "left_anti").select(*quads.columns).unionByName(done.state.select(*quads.columns))
 
 
 def drain_into(store: Store, rows: DataFrame, *, label: str | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.operators import quads
+from quadloom.operators import common, quads
+from quadloom.operators import store as store_module
 from quadloom.operators.store import Store
 from quadloom.schemas import OUTBOX, QUADS
 from quadloom.streaming import outbox
@@ -162,3 +163,32 @@ def test_drain_with_repeated_batches(spark, tmp_path, monkeypatch):
     assert rows.where("applied_at IS NULL").select("operation").distinct().collect() == [("unknown",)]
     assert outbox.apply(store.read(), rows).exceptAll(store.read()).isEmpty()
     assert rows.where(F.col("applied_at").isNotNull()).count() == len(entries)
+
+
+def test_sieve_keeps_every_row_and_lets_few_others_through(spark):
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k string, id long"))
+    keys = spark.range(0, 60_000, 30).select(F.col("id").cast("string").alias("k")).unionByName(spark.createDataFrame([("5",)] * 50 + [("not there",)], "k string"))
+    may, other = common.sieve(df, keys, "k")
+    assert may.unionByName(other).exceptAll(df).isEmpty() and may.count() + other.count() == 60_001
+    assert other.join(keys, "k", "left_semi").isEmpty() and may.count() < 2_000 + 3_000
+    assert may.where("id >= 0").join(keys, "k", "left_semi").count() == 2_001
+    # Rows are looked up before a join with the keys shuffles them.
+    plan = may.join(keys.hint("merge"), "k", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Inner")
+
+
+def test_store_changed_by_many_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "few", lambda df, rows=0: False)
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 100)
+    every = [made(g, k) for g in ("extracted", "asserted") for k in range(400)]
+    store = Store(spark, str(tmp_path / "s")).create(spark.createDataFrame(every, QUADS), buckets=4)
+    keys = spark.createDataFrame([("extracted", f"h{k}") for k in range(0, 400, 7)] * 2, "graph string, triple_hash string")
+    assert state_of(store.holding(keys)) == {(g, f"h{k}", 0.5, (), None, "claim") for g in ("extracted",) for k in range(0, 400, 7)}
+    assert store.holding(keys.select("triple_hash")).count() == 2 * 58
+    store.replace(keys, spark.createDataFrame([made("extracted", k, 0.9) for k in range(0, 400, 7)], QUADS))
+    want = {(g, f"h{k}", 0.9 if g == "extracted" and k % 7 == 0 else 0.5, (), None, "claim") for g in ("extracted", "asserted") for k in range(400)}
+    assert state_of(store.read()) == want and store.read().count() == 800
+    assert all(".zstd." in f for f in store.read().inputFiles())
+    # The kept quads of a large store go to files without being shuffled, so both are linear in the quads alone.
+    plan = store._apart(store._entries()[1], keys)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 0 and plan.index("LeftAnti") < plan.rindex("Inner")

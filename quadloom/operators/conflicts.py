@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import cut_lineage, small
+from quadloom.operators.common import cut_lineage, dealt, small
 
 
 def _scored(pairs: DataFrame, least: float) -> DataFrame:
@@ -43,15 +43,20 @@ def find_contradictions(new: DataFrame, quads: DataFrame) -> DataFrame:
     return new.join(held, ["s", "p"]).where("o <> other")
 
 
-def strongest_other(new: DataFrame, quads: DataFrame) -> DataFrame:
+def strongest_other(new: DataFrame, quads: DataFrame, rows: int | None = None) -> DataFrame:
     """The new triples (s, p, o) with `existing`: the greatest confidence of another stored object of their subject and predicate.
 
-    As strongest(find_contradictions()), from the two best objects of each subject and predicate instead of all pairs."""
-    each = quads.groupBy("s", "p", "o").agg(F.max("confidence").alias("c"))
-    best = each.groupBy("s", "p").agg(F.max(F.struct("c", "o")).alias("_best"))
-    next_ = each.join(best, ["s", "p"]).where(F.col("o") != F.col("_best.o")).groupBy("s", "p").agg(F.max("c").alias("_next"))
-    out = new.join(best, ["s", "p"]).join(next_, ["s", "p"], "left")
-    return out.withColumn("existing", F.when(F.col("o") != F.col("_best.o"), F.col("_best.c")).otherwise(F.col("_next"))).drop("_best", "_next").where("existing IS NOT NULL")
+    As strongest(find_contradictions()), from the two best objects of each subject and predicate instead of all pairs.
+    rows: how many quads there are about; both sides are then dealt out by subject and predicate to as many tasks as these need, once for all steps."""
+    # A key of one column: of two, a constant one would be left out of a join's keys, and rows dealt out by both be shuffled again.
+    held, new = (df.withColumn("_class", F.struct("s", "p")) for df in (quads.select("s", "p", "o", "confidence"), new))
+    if rows is not None:
+        held, new = dealt(held.select("_class", "o", "confidence"), ["_class"], rows), dealt(new, ["_class"], rows)
+    each = held.groupBy("_class", "o").agg(F.max("confidence").alias("c"))
+    best = each.groupBy("_class").agg(F.max(F.struct("c", "o")).alias("_best"))
+    next_ = each.join(best, "_class").where(F.col("o") != F.col("_best.o")).groupBy("_class").agg(F.max("c").alias("_next"))
+    out = new.join(best, "_class").join(next_, "_class", "left")
+    return out.withColumn("existing", F.when(F.col("o") != F.col("_best.o"), F.col("_best.c")).otherwise(F.col("_next"))).drop("_class", "_best", "_next").where("existing IS NOT NULL")
 
 
 #: A class's members are dealt to so many keys, so that a class of any size is many tasks' work.

@@ -252,3 +252,19 @@ def test_path_operators(spark):
     assert pairs(patterns.then(p, patterns.step(q, "p", backward=True))) == {(x, y) for x in "ad" for y in "ad"}
     assert pairs(patterns.either(p, q_)) == {("a", "b"), ("d", "b"), ("b", "c")}
     assert pairs(patterns.maybe(q_, spark.createDataFrame([("b",)], "node string"))) == {("b", "c"), ("b", "b")}
+
+
+def test_strongest_other_of_many_quads_is_dealt_out_once(spark, monkeypatch):
+    from quadloom.operators import common
+
+    monkeypatch.setattr(common, "TASK_ROWS", 100)
+    rows = [(f"s{i % 300}", f"o{i % 7}", (i * 37 % 100) / 100) for i in range(2000)] + [("s1", "x", 0.99)]
+    flags = spark.createDataFrame(rows, "s string, o string, confidence double").groupBy("s", "o").agg(F.max("confidence").alias("confidence")).withColumn("p", F.lit("flag"))
+    found = conflicts.strongest_other(flags, flags, rows=2001)
+    held = [tuple(r) for r in flags.select("s", "o", "confidence").collect()]
+    want = {(s, o, max(c for t, x, c in held if t == s and x != o)) for s, o, _ in held if sum(t == s for t, _, _ in held) > 1}
+    assert {(r.s, r.o, r.existing) for r in found.collect()} == want and found.count() == len(want)
+    # All steps work on the tasks that the rows were dealt to, though p is the same everywhere.
+    plan = conflicts.strongest_other(flags.hint("merge"), flags, rows=2001)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_class" in line]
+    assert dealt and all(", 21), REPARTITION_BY_NUM" in line for line in dealt)

@@ -34,11 +34,13 @@ def penalised(confidence: Column, existing: Column, factor: float = PENALTY) ->
     return F.when(existing.isNull(), confidence).otherwise(confidence * (1 - existing * factor))
 
 
-def with_provenance(triples: DataFrame, provenance: DataFrame, newest_first: bool = False) -> DataFrame:
-    """Each triple with the list of its provenance rows, by time; none give an empty list. For lookups: the list of a triple has all its sources."""
+def with_provenance(triples: DataFrame, provenance: DataFrame, newest_first: bool = False, keys: tuple[str, ...] = ("triple_hash",)) -> DataFrame:
+    """Each triple with the list of its provenance rows, by time; none give an empty list. For lookups: the list of a triple has all its sources.
+
+    keys: columns that both have and that tell triples apart; hashes are longer to shuffle than most terms, so terms do for whole tables."""
     own = F.struct("ingested_at", "source_url", "source_type", "extractor", "confidence")
-    lists = provenance.groupBy("triple_hash").agg(F.sort_array(F.collect_list(own), not newest_first).alias("provenance"))
-    return triples.join(lists, "triple_hash", "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(lists.schema["provenance"].dataType)))
+    lists = provenance.groupBy(*keys).agg(F.sort_array(F.collect_list(own), not newest_first).alias("provenance"))
+    return triples.join(lists, list(keys), "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(lists.schema["provenance"].dataType)))
 
 
 def provenance_rows(triples: DataFrame, provenance: DataFrame) -> DataFrame:

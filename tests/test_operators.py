@@ -268,3 +268,15 @@ def test_strongest_other_of_many_quads_is_dealt_out_once(spark, monkeypatch):
     plan = conflicts.strongest_other(flags.hint("merge"), flags, rows=2001)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_class" in line]
     assert dealt and all(", 21), REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_provenance_by_terms_shuffles_no_hash(spark):
+    from quadloom.operators import evidence
+    from quadloom.plans.queries import QUERIES
+
+    p = spark.createDataFrame([("a", "x", dt.datetime(2020, 1, d), f"u{d}", "t", "e", 0.5) for d in (3, 1, 2)] + [("b", "x", dt.datetime(2020, 1, 1), "v", "t", "e", 0.5)], "subject string, object string, ingested_at timestamp, source_url string, source_type string, extractor string, confidence double")
+    triples = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "subject string, object string")
+    lists = {r.subject: [x.source_url for x in r.provenance] for r in evidence.with_provenance(triples, p, keys=("subject", "object")).collect()}
+    assert lists == {"a": ["u1", "u2", "u3"], "b": ["v"], "c": []}
+    plan = QUERIES["q_provenance_enrich"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and plan.count("Exchange hashpartitioning") == 2

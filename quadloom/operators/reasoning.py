@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import cut_lineage, dealt, first_by, small
+from quadloom.operators.common import cut_lineage, dealt, few, first_by, small
 from quadloom.plans.ontology import uri
 
 SPO = ["s", "p", "o"]
@@ -120,12 +120,14 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node and kind of what is reached from the start nodes (node) along edges (s, o, o_kind), in one step or more, level by level.
 
-    A start node is among them only if a cycle leads back to it; literals end a path."""
+    A start node is among them only if a cycle leads back to it; literals end a path. What is broadcast in a level has been counted;
+    otherwise both sides are shuffled, since Spark would send the whole table of edges through the driver in each level while its files are small."""
+    counted = lambda df: F.broadcast(df) if few(df) else df.hint("merge")
     seen, frontier, hops = None, cut_lineage(start.select("node").distinct()), 0
     while max_depth is None or hops < max_depth:
         hops += 1
-        ahead = edges.join(small(frontier), edges.s == frontier.node).select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).distinct()
-        new = cut_lineage(ahead if seen is None else ahead.join(seen, ["node", "kind"], "left_anti"))
+        ahead = edges.join(counted(frontier), edges.s == frontier.node).select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).distinct()
+        new = cut_lineage(ahead if seen is None else ahead.join(counted(seen), ["node", "kind"], "left_anti"))
         seen = new if seen is None else seen.unionByName(new)
         frontier = new.where("kind = 'iri'").select("node")
         if frontier.isEmpty():

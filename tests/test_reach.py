@@ -162,3 +162,20 @@ def test_postings_shuffle_texts_once(spark):
     # One exchange, below the words and their places; none for vectors.
     assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate")
     assert "embedding" not in plan
+
+
+def test_edges_are_not_broadcast_in_each_level(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def cut_lineage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.cut_lineage(df)
+
+    # 12,000 nodes lead to one more each, and these to one end.
+    node = lambda prefix: F.concat(F.lit(prefix), F.col("id").cast("string"))
+    spark.range(12_000).select(node("a").alias("s"), node("b").alias("o"), F.lit("iri").alias("o_kind")).union(spark.range(12_000).select(node("b"), F.lit("end"), F.lit("literal"))).write.parquet(str(tmp_path / "edges"))
+    monkeypatch.setattr(reasoning, "cut_lineage", cut_lineage)
+    start = spark.range(11_000).select(node("a").alias("node"))
+    found = reasoning.reachable(spark.read.parquet(str(tmp_path / "edges")), start)
+    assert found.count() == 11_001 and found.where("kind = 'literal'").count() == 1
+    assert len(plans) == 3 and not any("BroadcastExchange" in p for p in plans)

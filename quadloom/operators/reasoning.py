@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadloom.operators.common import cut_lineage, dealt, few, first_by, small
+from quadloom.operators.common import SMALL_ROWS, cut_lineage, dealt, few, first_by, small, written
 from quadloom.plans.ontology import uri
 
 SPO = ["s", "p", "o"]
@@ -28,33 +28,90 @@ def _kept(frontier: DataFrame) -> list[str]:
     return [c for c in ("trigger", "path") if c in frontier.columns]
 
 
-def _joined(frontier: DataFrame, quads: DataFrame, transitive: DataFrame):
-    held = quads.where("o_kind = 'iri' AND confidence IS NOT NULL").select(F.col("s").alias("qs"), "p", F.col("o").alias("qo"), F.col("confidence").alias("qc"), F.col("triple_hash").alias("qh"))
-    return frontier.where("o_kind = 'iri'").join(small(transitive.withColumnRenamed("predicate", "p")), "p", "left_semi"), held
-
-
-def transitive_step(frontier: DataFrame, quads: DataFrame, transitive: DataFrame, backward: bool = True) -> DataFrame:
-    """a p c for a p b and b p c, extending the frontier's triples at their ends and, if backward, at their beginnings; never to a p a."""
-    own, held = _joined(frontier, quads, transitive)
-    kept = _kept(frontier)
-    ahead = own.join(held, (own.o == held.qs) & (own.p == held.p)).where("qo <> s")
-    ahead = ahead.select("s", own.p, F.col("qo").alias("o"), F.lit("iri").alias("o_kind"), (F.col("confidence") * F.col("qc")).alias("confidence"), F.lit("transitive").alias("method"), F.array("triple_hash", "qh").alias("derived_from"), *kept)
+#: Rows that go to a task before each may lead to many.
+STREAM_ROWS = 25_000
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows, else for a join that shuffles both sides: Spark would go by the size of files, in which terms take little space."""
+    return F.broadcast(df) if few(df) else df.hint("merge")
+
+
+def _narrowed(df: DataFrame, columns: list[str], by: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The rows of df whose columns have values of the other table's (of its columns `names`), where these are few enough to be broadcast; else all of them."""
+    keys = by.select(*(F.col(b).alias(a) for a, b in zip(columns, names or columns, strict=True))).distinct()
+    return df.join(F.broadcast(keys), columns, "left_semi").select(*df.columns) if few(keys) else df
+
+
+def _meet(own: DataFrame, held: DataFrame, on: dict[str, str], rows: tuple[int, int] | None = None) -> DataFrame:
+    """own and held joined where own's columns equal held's.
+
+    rows: how many each has, for tables so large that what they lead to is dealt out afterwards. A side with few rows is then broadcast, and the
+    other's rows that meet one are dealt out, STREAM_ROWS to a task; of two large sides each is narrowed first by the other's keys, where these are few.
+    So rows that lead to nothing aren't shuffled, and others only where both sides stay large."""
+    met = lambda a, b: a.join(b, [F.col(x) == F.col(y) for x, y in on.items()])
+    if rows is None:
+        return met(own, held)
+    left, right, (n, m) = list(on), list(on.values()), rows
+    if min(n, m) > SMALL_ROWS:
+        own = _narrowed(own, left, held, right)
+        n = own.count()
+    if min(n, m) > SMALL_ROWS:
+        held = _narrowed(held, right, own, left)
+        m = held.count()
+    if min(n, m) > SMALL_ROWS:
+        return met(own, held.hint("merge"))
+    if m and n > SMALL_ROWS:
+        own = _narrowed(own, left, held, right)
+        n = own.count()
+    elif n and m > SMALL_ROWS:
+        held = _narrowed(held, right, own, left)
+        m = held.count()
+    if not n or not m:
+        return met(own.limit(0), held)
+    if m <= SMALL_ROWS:
+        return met(dealt(own, ["triple_hash"], n, each=STREAM_ROWS), F.broadcast(held))
+    return met(F.broadcast(own), dealt(held, ["qh"], m, each=STREAM_ROWS))
+
+
+def _held(quads: DataFrame) -> DataFrame:
+    return quads.where("confidence IS NOT NULL").select(F.col("s").alias("qs"), F.col("p").alias("qp"), F.col("o").alias("qo"), F.col("o_kind").alias("qk"), F.col("confidence").alias("qc"), F.col("triple_hash").alias("qh"))
+
+
+def _sizes(df: DataFrame, links: DataFrame) -> tuple[int, int, int]:
+    """How many triples there are with a predicate of the links and a URI as object, how many say what is a what, and how many give a property."""
+    iri, p = F.col("o_kind") == "iri", F.col("p")
+    every = df.join(F.broadcast(links.select(F.col("predicate").alias("p"), F.lit(True).alias("_link"))), "p", "left")
+    return tuple(every.agg(F.count_if(F.col("_link") & iri), F.count_if((p == IS_A) & iri), F.count_if(p == HAS_PROPERTY)).first())
+
+
+def transitive_step(frontier: DataFrame, quads: DataFrame, transitive: DataFrame, backward: bool = True, *, rows: tuple[int, int] | None = None) -> DataFrame:
+    """a p c for a p b and b p c, extending the frontier's triples at their ends and, if backward, at their beginnings; never to a p a.
+
+    rows: as _meet() takes them."""
+    links = small(transitive.select("predicate"))
+    own = frontier.where("o_kind = 'iri'").join(links, F.col("p") == F.col("predicate"), "left_semi")
+    held = _held(quads).where("qk = 'iri'")
+    if rows:
+        held = held.join(links, F.col("qp") == F.col("predicate"), "left_semi")
+    columns = lambda s, o: [F.col(s).alias("s"), "p", F.col(o).alias("o"), F.lit("iri").alias("o_kind"), (F.col("confidence") * F.col("qc")).alias("confidence"), F.lit("transitive").alias("method"), F.array("triple_hash", "qh").alias("derived_from"), *_kept(frontier)]
+    ahead = _meet(own, held, {"o": "qs", "p": "qp"}, rows).where("qo <> s").select(*columns("s", "qo"))
     if not backward:
         return ahead
-    behind = own.join(held, (own.s == held.qo) & (own.p == held.p)).where("qs <> o")
-    behind = behind.select(F.col("qs").alias("s"), own.p, "o", F.lit("iri").alias("o_kind"), (F.col("confidence") * F.col("qc")).alias("confidence"), F.lit("transitive").alias("method"), F.array("triple_hash", "qh").alias("derived_from"), *kept)
+    behind = _meet(own, held, {"s": "qo", "p": "qp"}, rows).where("qs <> o").select(*columns("qs", "o"))
     return ahead.unionByName(behind)
 
 
-def inheritance_step(frontier: DataFrame, quads: DataFrame) -> DataFrame:
-    """a has_property v for a is_a b and b has_property v, whichever of the two is in the frontier."""
-    kept = _kept(frontier)
-    held = quads.where("confidence IS NOT NULL").select(F.col("s").alias("qs"), F.col("p").alias("qp"), F.col("o").alias("qo"), F.col("o_kind").alias("qk"), F.col("confidence").alias("qc"), F.col("triple_hash").alias("qh"))
-    columns = lambda s, o, kind: [s.alias("s"), F.lit(HAS_PROPERTY).alias("p"), o.alias("o"), kind.alias("o_kind"), (F.col("confidence") * F.col("qc")).alias("confidence"), F.lit("type_inheritance").alias("method"), F.array("triple_hash", "qh").alias("derived_from"), *map(F.col, kept)]
+def inheritance_step(frontier: DataFrame, quads: DataFrame, *, down_rows: tuple[int, int] | None = None, up_rows: tuple[int, int] | None = None) -> DataFrame:
+    """a has_property v for a is_a b and b has_property v, whichever of the two is in the frontier.
+
+    down_rows: as _meet() takes them, where a is_a b is in the frontier; up_rows: where b has_property v is."""
+    kept, held = _kept(frontier), _held(quads)
+    columns = lambda s, o, kind: [F.col(s).alias("s"), F.lit(HAS_PROPERTY).alias("p"), F.col(o).alias("o"), F.col(kind).alias("o_kind"), (F.col("confidence") * F.col("qc")).alias("confidence"), F.lit("type_inheritance").alias("method"), F.array("triple_hash", "qh").alias("derived_from"), *kept]
     isa = frontier.where((F.col("p") == IS_A) & (F.col("o_kind") == "iri"))
-    down = isa.join(held.where(F.col("qp") == HAS_PROPERTY), isa.o == F.col("qs")).select(*columns(F.col("s"), F.col("qo"), F.col("qk")))
+    down = _meet(isa, held.where(F.col("qp") == HAS_PROPERTY), {"o": "qs"}, down_rows).select(*columns("s", "qo", "qk"))
     prop = frontier.where(F.col("p") == HAS_PROPERTY)
-    up = prop.join(held.where((F.col("qp") == IS_A) & (F.col("qk") == "iri")), prop.s == F.col("qo")).select(*columns(F.col("qs"), F.col("o"), F.col("o_kind")))
+    up = _meet(prop, held.where((F.col("qp") == IS_A) & (F.col("qk") == "iri")), {"s": "qo"}, up_rows).select(*columns("qs", "o", "o_kind"))
     return down.unionByName(up)
 
 
@@ -73,27 +130,47 @@ def infer(triggers: DataFrame, quads: DataFrame, inverses: DataFrame, transitive
     it comes from, then the rule. triggers: s, p, o, o_kind, confidence, triple_hash, as stored in `quads`.
     more: further rules by method, after the three built in: from the frontier and the quads to rows as inverse_step() gives them."""
     rules = [*_RULES, *(more or {})]
-    # Of the store, only what the rules join with takes part in each level, and what a level finds is looked up by its keys.
+    # The store is gone through once: what the rules join with takes part in each level, and what a level finds is looked up in it too.
     joined = small(transitive.select(F.col("predicate").alias("p")).union(quads.sparkSession.createDataFrame([(IS_A,), (HAS_PROPERTY,)], "p string")).distinct())
-    # These are dealt out by their terms: a predicate's few quads may be read by one task, and what each joins with is made where it is.
-    usable = cut_lineage(quads.where("confidence IS NOT NULL").join(joined, "p", "left_semi").select(*SPO, "o_kind", "confidence", "triple_hash").repartition(*SPO))
+    held = written(quads.join(joined, "p", "left_semi").select(*SPO, "o_kind", "confidence", "triple_hash"), "held")
+    links, isa, props = _sizes(held.where("confidence IS NOT NULL"), transitive)
+    triggers = written(triggers, "triggers")
     frontier = triggers.withColumns({"trigger": F.col("triple_hash"), "path": F.lit("")})
     done, seen = None, triggers.select(F.col("triple_hash").alias("trigger"), *SPO)
+    # Where a derived triple comes from is in its path as far as its parent; the rest is put there when it is read, so that it isn't moved or stored twice.
+    rule = F.array_position(F.array(*map(F.lit, rules)), F.col("method"))
+    place = F.concat_ws("/", "path", F.concat(rule.cast("string"), F.lit(":"), F.array_join("derived_from", "+")))
     for depth in range(1, max_depth + 1):
-        found = inverse_step(frontier, inverses).unionByName(transitive_step(frontier, usable, transitive)).unionByName(inheritance_step(frontier, usable))
-        for rule in (more or {}).values():
-            found = found.unionByName(rule(frontier, quads))
-        rule = F.array_position(F.array(*map(F.lit, rules)), F.col("method"))
-        place = F.concat_ws("/", "path", F.concat(rule.cast("string"), F.lit(":"), F.array_join("derived_from", "+")))
-        # Derivations go to tasks by their number before any is sorted, as a few quads of a class may lead to most of them.
-        found = dealt(found.withColumn("path", place), ["trigger", *SPO])
-        found = cut_lineage(first_by(found.join(seen, ["trigger", *SPO], "left_anti"), ["trigger", *SPO], "path"))
-        if found.isEmpty():
+        own = _sizes(frontier, transitive)
+        found = inverse_step(frontier, inverses).unionByName(transitive_step(frontier, held, transitive, rows=(own[0], links)))
+        found = found.unionByName(inheritance_step(frontier, held, down_rows=(own[1], props), up_rows=(own[2], isa)))
+        for step in (more or {}).values():
+            found = found.unionByName(step(frontier, quads))
+        kinds = cut_lineage(found.groupBy("p").agg(F.count("*").alias("n")))
+        n = kinds.agg(F.sum("n")).first()[0]
+        if not n:
             break
-        stored = quads.select(*SPO).join(small(found.select(*SPO).distinct()), SPO, "left_semi").distinct()
-        found = cut_lineage(_hashed(found.join(stored, SPO, "left_anti").withColumn("depth", F.lit(depth))))
+        # Derivations go to tasks by their number before any is sorted, as a few quads of a class may lead to most of them.
+        found = dealt(found, ["trigger", *SPO], n)
+        known = _counted(_narrowed(seen, ["p"], kinds))
+        found = first_by(found.join(known, ["trigger", *SPO], "left_anti"), ["trigger", *SPO], place)
+        found = written(found.select(*SPO, "trigger", "o_kind", "confidence", "method", "derived_from", "path"), "found")
+        more_kinds = kinds.join(joined, "p", "left_anti")
+        stored = held.select(*SPO) if more_kinds.isEmpty() else held.select(*SPO).union(quads.select(*SPO).join(small(more_kinds.select("p")), "p", "left_semi").select(*SPO))
+        for keys in (["p"], ["p", "o"], ["p", "s"]):
+            if few(stored):
+                break
+            stored = _narrowed(stored, keys, found)
+        else:
+            stored = stored.join(found.select(*SPO).distinct().hint("merge"), SPO, "left_semi")
+        stored = cut_lineage(stored.distinct())
+        if few(stored):
+            found = found.join(F.broadcast(stored), SPO, "left_anti")
+        else:
+            found = written(found.join(stored.hint("merge"), SPO, "left_anti").select(*found.columns), "found")
         if found.isEmpty():
             break
+        found = _hashed(found.withColumns({"path": place, "depth": F.lit(depth)}))
         done = found if done is None else done.unionByName(found)
         seen = seen.unionByName(found.select("trigger", *SPO))
         frontier = found.select(*SPO, "o_kind", "confidence", "triple_hash", "trigger", "path")
@@ -122,12 +199,11 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
 
     A start node is among them only if a cycle leads back to it; literals end a path. What is broadcast in a level has been counted;
     otherwise both sides are shuffled, since Spark would send the whole table of edges through the driver in each level while its files are small."""
-    counted = lambda df: F.broadcast(df) if few(df) else df.hint("merge")
     seen, frontier, hops = None, cut_lineage(start.select("node").distinct()), 0
     while max_depth is None or hops < max_depth:
         hops += 1
-        ahead = edges.join(counted(frontier), edges.s == frontier.node).select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).distinct()
-        new = cut_lineage(ahead if seen is None else ahead.join(counted(seen), ["node", "kind"], "left_anti"))
+        ahead = edges.join(_counted(frontier), edges.s == frontier.node).select(F.col("o").alias("node"), F.col("o_kind").alias("kind")).distinct()
+        new = cut_lineage(ahead if seen is None else ahead.join(_counted(seen), ["node", "kind"], "left_anti"))
         seen = new if seen is None else seen.unionByName(new)
         frontier = new.where("kind = 'iri'").select("node")
         if frontier.isEmpty():
